@@ -107,7 +107,9 @@ def apply_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMP
     case = F.when(F.col("base_failed"), F.lit("base"))
     for r, _, _ in ordered:  # a CASE stops at its first true branch
         case = case.when(r.rejects, F.lit(r.name))
-    return measured.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull()).drop("_words", "_n_lines")
+    # always true, but not deterministic: else a later filter on kept is pushed below, each measure copied into each use
+    barrier = F.monotonically_increasing_id() >= 0
+    return measured.withColumn("rejected_by", case).withColumn("kept", F.col("rejected_by").isNull() & barrier).drop("_words", "_n_lines")
 
 
 def op9_quality(spark, sf_dir):
