@@ -1,4 +1,361 @@
 """Queries over the driver's tables, with their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from placelark.functions import geo
+from placelark.functions.priors import CATCHMENT_KM, PLACE_BASE, POI_PRIOR, place_prior, poi_prior
+from placelark.functions.text import ABBREVIATIONS, GENERIC, fold, native_fold, native_index_tokens, native_tokens
+from placelark.operators import features, forward, index, reverse
+from placelark.sources import corpus
+from placelark.sources.corpus import CATEGORIES, PLACE_CLASSES
+
+QUERIES, SQL = {}, {}
+
+# --- SQL of the synthetic gazetteer -----------------------------------------------------------------------------------
+_list = lambda xs: "[" + ",".join(f"'{x}'" for x in xs) + "]"
+_map = lambda m: "MAP {" + ",".join(f"'{k}':{v!r}" for k, v in m.items()) + "}"
+_foldsql = lambda c: f"trim(regexp_replace(replace(replace(replace(strip_accents(lower({c})),'ß','ss'),'æ','ae'),'œ','oe'),'[^\\p{{L}}\\p{{N}}]+',' ','g'))"
+
+
+def _tokensql(c):
+    full = f"list_transform(list_filter(string_split({_foldsql(c)},' '), lambda t: t <> ''), lambda t: coalesce({_map(ABBREVIATIONS)}[t], t))"
+    short = f"list_filter({full}, lambda t: NOT list_contains({_list(GENERIC)}, t))"
+    return f"CASE WHEN len({short}) > 0 THEN {short} ELSE {full} END"
+
+
+ANCHORS = f"""w0 AS (SELECT *, regexp_extract_all(coalesce(text,''),'\\p{{L}}+') AS w FROM documents),
+anchors AS (SELECT doc_id AS anchor_id, CAST(doc_id % 3 AS INTEGER) AS layer, lang AS country, concat_ws(' ', w[1], w[2]) AS name, coalesce(w[3],'') AS locality, coalesce(w[4],'') AS alias, n_chars AS population,
+  {_list(PLACE_CLASSES)}[CAST(doc_id % 10 AS INTEGER)+1] AS place_type, {_list(CATEGORIES)}[CAST(doc_id % 7 AS INTEGER)+1] AS category, 47 + (doc_id*7919 % 10000)/10000 AS lat, 9 + (doc_id*104729 % 10000)/10000 AS lon FROM w0)"""
+ADDRESSES = """addr0 AS (SELECT o_orderkey AS address_id, o_custkey % (SELECT count(*) FROM documents) AS anchor_id, o_orderkey%97+1 AS a, o_orderkey%31+1 AS b FROM orders),
+addresses AS (SELECT address_id, anchor_id, CASE address_id % 6 WHEN 0 THEN a||'' WHEN 1 THEN a||'/'||b WHEN 2 THEN a||'A' WHEN 3 THEN 'ev.'||a WHEN 4 THEN a||'-'||b ELSE a||' b' END AS house_number,
+  47 + (anchor_id*7919 % 10000)/10000 + ((address_id*31 % 200)-100)/100000 AS lat, 9 + (anchor_id*104729 % 10000)/10000 + ((address_id*17 % 200)-100)/100000 AS lon FROM addr0)"""
+SHAPES = """shapes AS (SELECT *, lat-h AS min_lat, lat+h AS max_lat, lon-h AS min_lon, lon+h AS max_lon, CASE WHEN shape_id % 2 = 0 THEN 4*h*h ELSE 3*h*h END AS area_deg FROM
+ (SELECT p_partkey AS shape_id, 47 + (p_partkey*7919 % 10000)/10000 AS lat, 9 + (p_partkey*104729 % 10000)/10000 AS lon, p_size*CAST(0.0005 AS DOUBLE) AS h, p_partkey % 4 <> 3 AS closed FROM part))"""
+POINTS = "points AS (SELECT c_custkey AS point_id, 47 + (c_custkey*7919 % 10000)/10000 AS plat, 9 + (c_custkey*104729 % 10000)/10000 AS plon FROM customer)"
+POSTS = f"posts AS (SELECT DISTINCT unnest(list_concat(t, list_transform(t, lambda x: regexp_replace(x,'s{{3,}}','ss','g')))) AS term, anchor_id FROM (SELECT anchor_id, list_concat({', '.join(_tokensql(c) + ', ' + _tokensql('replace(replace(replace(lower(' + c + '),chr(228),chr(97)||chr(101)),chr(246),chr(111)||chr(101)),chr(252),chr(117)||chr(101))') for c in ('name', 'locality', 'alias'))}) AS t FROM anchors))"
+HAV = "2*6371008.8*asin(sqrt(least(pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-{c})/2),2),1.0)))"
+
+
+def hav(a, c, b, d):
+    return HAV.format(a=a, b=b, c=c, d=d)
+
+
+def query(name, sql=None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def documents(s, d):
+    return s.read.parquet(f"{d}/documents.parquet")
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+@query("fold_text", f"SELECT doc_id, {_foldsql('text')} AS folded FROM documents")
+def _(s, d):
+    return documents(s, d).select("doc_id", native_fold(F.col("text")).alias("folded"))
+
+
+@query("fold_text_unicode", f"SELECT doc_id, {_foldsql('text')} AS folded FROM documents")
+def _(s, d):
+    return documents(s, d).select("doc_id", fold(F.col("text")).alias("folded"))
+
+
+@query("tokens_abbrev_stopword", f"WITH {ANCHORS} SELECT anchor_id, array_to_string({_tokensql('name')}, ' ') AS tokens FROM anchors")
+def _(s, d):
+    return corpus.anchors(s, d).select("anchor_id", F.array_join(native_tokens(F.col("name")), " ").alias("tokens"))
+
+
+@query("postings_build", f"WITH {ANCHORS}, {POSTS} SELECT term, anchor_id FROM posts")
+def _(s, d):
+    return index.postings(corpus.anchors(s, d))
+
+
+@query("term_df", f"WITH {ANCHORS}, {POSTS} SELECT term, count(*) AS df FROM posts GROUP BY term")
+def _(s, d):
+    return index.term_df(index.postings(corpus.anchors(s, d)))
+
+
+@query("text_df", f"SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(string_split({_foldsql('text')},' ')) AS t FROM documents) WHERE t <> '' GROUP BY t")
+def _(s, d):
+    words = documents(s, d).select(F.explode(F.array_distinct(F.split(native_fold(F.col("text")), " "))).alias("term")).filter("term <> ''")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _df(s, d):
+    a = corpus.anchors(s, d)
+    return a, index.postings(a), index.term_df(index.postings(a))
+
+
+@query("idf_weights", f"WITH {ANCHORS}, {POSTS} SELECT term, count(*) AS df, round(ln(1 + (SELECT count(*) FROM anchors) / (500 + count(*))), 6) AS idf FROM posts GROUP BY term")
+def _(s, d):
+    a, _, t = _df(s, d)
+    return index.idf(t, a.agg(F.count(F.lit(1)).alias("n"))).withColumn("idf", F.round("idf", 6))
+
+
+def _prefixes(a):
+    return a.select(F.col("anchor_id").alias("query_id"), F.left(native_fold(F.col("name")), F.lit(3)).alias("prefix")).filter("prefix <> ''")
+
+
+PREFIX = f"pre AS (SELECT anchor_id AS query_id, left({_foldsql('name')},3) AS prefix FROM anchors WHERE {_foldsql('name')} <> ''), tdf AS (SELECT term, count(*) AS df FROM posts GROUP BY term)"
+
+
+@query("prefix_range", f"WITH {ANCHORS}, {POSTS}, {PREFIX} SELECT query_id, count(*) AS terms, CAST(sum(df) AS BIGINT) AS df FROM pre JOIN tdf ON starts_with(term, prefix) GROUP BY query_id")
+def _(s, d):
+    a, _, t = _df(s, d)
+    return forward.prefix_hits(_prefixes(a), t).groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("df"))
+
+
+@query("prefix_completeness_weight", f"WITH {ANCHORS}, {POSTS}, {PREFIX}, h AS (SELECT query_id, prefix, term, sum(df) OVER (PARTITION BY query_id) AS total FROM pre JOIN tdf ON starts_with(term, prefix)) SELECT query_id, term, round(ln(1 + (SELECT count(*) FROM anchors)/(500 + total)) * pow(length(prefix)/length(term),2), 6) AS w FROM h")
+def _(s, d):
+    a, _, t = _df(s, d)
+    hits = forward.prefix_hits(_prefixes(a), t)
+    total = index.idf(hits.groupBy("query_id").agg(F.sum("df").alias("df")), a.agg(F.count(F.lit(1)).alias("n"))).select("query_id", "idf")
+    return hits.join(total, "query_id").select("query_id", "term", F.round(F.col("idf") * F.pow(F.char_length("prefix") / F.char_length("term"), F.lit(2)), 6).alias("w"))
+
+
+def _query_tokens(a):
+    return a.select(F.col("anchor_id").alias("query_id"), F.posexplode(native_tokens(F.col("name"))).alias("pos", "form"))
+
+
+def _candidates(s, d):
+    a, posts, t = _df(s, d)
+    q = _query_tokens(a)
+    w = index.idf(t, a.agg(F.count(F.lit(1)).alias("n"))).select(F.col("term").alias("form"), "idf")
+    weights = q.join(w, "form").groupBy("query_id", "pos").agg(F.max("idf").alias("w"))
+    return a, forward.candidates(q, posts, weights)
+
+
+CAND = f"""qt AS (SELECT query_id, unnest(toks) AS form, generate_subscripts(toks,1) AS pos, len(toks) AS n FROM (SELECT anchor_id AS query_id, {_tokensql('name')} AS toks FROM anchors)),
+tdf AS (SELECT term, ln(1 + (SELECT count(*) FROM anchors)/(500+count(*))) AS idf FROM posts GROUP BY term),
+cand AS (SELECT query_id, p.anchor_id, sum(idf) AS text_weight FROM qt JOIN posts p ON form = p.term JOIN tdf ON tdf.term = form GROUP BY query_id, p.anchor_id HAVING count(DISTINCT pos) = any_value(n))"""
+
+
+@query("candidates_and", f"WITH {ANCHORS}, {POSTS}, {CAND} SELECT query_id, anchor_id, round(text_weight, 6) AS text_weight FROM cand")
+def _(s, d):
+    return _candidates(s, d)[1].select("query_id", "anchor_id", F.round("text_weight", 6).alias("text_weight"))
+
+
+_prior = lambda a: F.when(F.col("layer") == 1, place_prior(F.col("place_type"), F.col("population"))).when(F.col("layer") == 2, poi_prior(F.col("category"))).otherwise(1.0)
+PRIOR = f"CASE layer WHEN 1 THEN {_map(PLACE_BASE)}[place_type] + CASE WHEN population > 0 THEN log10(population) ELSE 0 END WHEN 2 THEN coalesce({_map({c: p for p, cs in POI_PRIOR.items() for c in cs})}[category], 1.8) ELSE 1.0 END"
+CHEAP = f"""pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors), loc AS (SELECT name AS locality, max(prior) AS best FROM pr WHERE layer = 1 GROUP BY name),
+cheap AS (SELECT query_id, anchor_id, round(text_weight * prior * CASE layer WHEN 1 THEN 1.25 WHEN 0 THEN 1 + coalesce(best,0)/10 ELSE 1 END, 6) AS score FROM cand JOIN pr USING (anchor_id) LEFT JOIN loc USING (locality))"""
+
+
+def _cheap(s, d):
+    a, c = _candidates(s, d)
+    a = a.withColumn("prior", _prior(a))
+    best = a.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("best"))
+    boost = F.when(F.col("layer") == 1, 1.25).when(F.col("layer") == 0, 1 + F.coalesce("best", F.lit(0.0)) / 10).otherwise(1.0)
+    return c.join(a, "anchor_id").join(best, "locality", "left").withColumn("score", F.round(F.col("text_weight") * F.col("prior") * boost, 6))
+
+
+@query("cheap_score", f"WITH {ANCHORS}, {POSTS}, {CAND}, {CHEAP} SELECT query_id, anchor_id, score FROM cheap")
+def _(s, d):
+    return _cheap(s, d).select("query_id", "anchor_id", "score")
+
+
+@query("cheap_topk", f"WITH {ANCHORS}, {POSTS}, {CAND}, {CHEAP} SELECT query_id, anchor_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor_id) AS r FROM cheap) WHERE r <= 10")
+def _(s, d):
+    return forward.top(_cheap(s, d)).select("query_id", "anchor_id", "score", "rank")
+
+
+@query("locality_prior", f"WITH {ANCHORS}, pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors) SELECT a.anchor_id, round(max(p.prior),6) AS best FROM anchors a JOIN pr p ON p.layer = 1 AND p.name = a.locality GROUP BY a.anchor_id")
+def _(s, d):
+    a = corpus.anchors(s, d).withColumn("prior", _prior(None))
+    best = a.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("best"))
+    return a.join(best, "locality").select("anchor_id", F.round("best", 6).alias("best"))
+
+
+@query("anchor_prior", f"WITH {ANCHORS} SELECT anchor_id, round(CAST({PRIOR} AS DOUBLE), 6) AS prior FROM anchors")
+def _(s, d):
+    return corpus.anchors(s, d).select("anchor_id", F.round(_prior(None), 6).alias("prior"))
+
+
+def _forward(s, d):
+    c = _cheap(s, d).join(_query_tokens(corpus.anchors(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("q")), "query_id")
+    q = F.transform("q", lambda x: x["form"])
+    variants = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
+    return c.withColumn("score", F.round(F.col("score") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
+
+
+@query("forward_topk")
+def _(s, d):
+    return forward.top(_forward(s, d)).select("query_id", "rank", "anchor_id", "name", "locality", "country", "score")
+
+
+@query("forward_dedup")
+def _(s, d):
+    ranked = forward.top(_forward(s, d), 10 + forward.HEADROOM).withColumn("k", native_fold(F.col("name"))).withColumn("number", F.lit(None).cast("string"))
+    return forward.drop_near(ranked)
+
+
+@query("bound_admissible", "SELECT CAST(0 AS BIGINT) AS violations")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    v = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
+    q = native_tokens(F.col("name"))
+    shortest = F.array_min(F.transform(F.filter(v, lambda x: F.size(x) > 0), lambda x: F.size(x)))
+    return a.filter(F.size(q) > 0).agg(F.count_if(forward.best_relevance(q, v, native_tokens(F.col("locality"))) > forward.bound(F.size(q), shortest) + 1e-9).alias("violations"))
+
+
+# --- house numbers ----------------------------------------------------------------------------------------------------
+@query("leading_int", f"WITH {ADDRESSES} SELECT address_id, coalesce(TRY_CAST(regexp_extract(house_number,'[0-9]+') AS BIGINT), 0) AS n FROM addresses")
+def _(s, d):
+    return corpus.addresses(s, d).select("address_id", index.leading_int(F.col("house_number")).alias("n"))
+
+
+@query("house_number_match", f"""WITH {ANCHORS}, {ADDRESSES}, asked AS (SELECT anchor_id AS query_id, anchor_id, country, (anchor_id%97+1)||'' AS number FROM anchors),
+k AS (SELECT q.*, address_id, house_number, coalesce(TRY_CAST(regexp_extract(house_number,'[0-9]+') AS BIGINT),0) AS sk, CASE WHEN lower(regexp_replace(house_number,'\\s+','','g')) = number THEN 1 WHEN coalesce(TRY_CAST(regexp_extract(house_number,'[0-9]+') AS BIGINT),0) = CAST(number AS BIGINT) THEN 3 END AS kind FROM asked q LEFT JOIN addresses USING (anchor_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind NULLS LAST, sk, house_number, address_id) AS r FROM k)
+SELECT query_id, anchor_id, CASE WHEN kind IS NOT NULL THEN address_id END AS address_id, CAST(CASE kind WHEN 1 THEN 18 WHEN 3 THEN 6 ELSE 0.4 END AS DOUBLE) AS factor FROM b WHERE r = 1""")
+def _(s, d):
+    asked = corpus.anchors(s, d).select(F.col("anchor_id").alias("query_id"), "anchor_id", "country", (F.col("anchor_id") % 97 + 1).cast("string").alias("number"))
+    return forward.match_house(asked, corpus.addresses(s, d))
+
+
+@query("address_runs_csr", f"WITH {ADDRESSES}, c AS (SELECT anchor_id, count(*) AS n FROM addresses GROUP BY anchor_id) SELECT anchor_id, n, CAST(coalesce(sum(n) OVER (ORDER BY anchor_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS first FROM c")
+def _(s, d):
+    return index.address_runs(corpus.addresses(s, d))
+
+
+@query("anchor_centroid", f"WITH {ADDRESSES} SELECT anchor_id, CAST(trunc(sum(CAST(round(lat*1e7) AS BIGINT))/count(*)) AS BIGINT) AS lat_e7, CAST(trunc(sum(CAST(round(lon*1e7) AS BIGINT))/count(*)) AS BIGINT) AS lon_e7 FROM addresses GROUP BY anchor_id")
+def _(s, d):
+    return index.centroids(corpus.addresses(s, d))
+
+
+@query("coverage_bbox", f"WITH {ANCHORS} SELECT country, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM anchors GROUP BY country")
+def _(s, d):
+    return index.coverage(corpus.anchors(s, d))
+
+
+@query("address_binding_street", f"""WITH {ANCHORS}, {ADDRESSES}, own AS (SELECT x.address_id, concat_ws('|', a.country, {_foldsql('a.name')}, {_foldsql("CASE WHEN x.address_id % 5 = 0 THEN 'nowhere' ELSE a.locality END")}) AS key FROM addresses x JOIN anchors a USING (anchor_id)),
+known AS (SELECT concat_ws('|', country, {_foldsql('name')}, {_foldsql('locality')}) AS key, min(anchor_id) AS id FROM anchors WHERE layer = 0 GROUP BY 1)
+SELECT address_id, coalesce(id, -min(address_id) OVER (PARTITION BY key) - 1) AS anchor_id, id IS NULL AS synthetic FROM own LEFT JOIN known USING (key)""")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    own = corpus.addresses(s, d).join(a.select("anchor_id", "country", "name", "locality"), "anchor_id").select("address_id", "country", F.col("name").alias("street"), F.when(F.col("address_id") % 5 == 0, "nowhere").otherwise(F.col("locality")).alias("city"))
+    return index.bind_streets(own, a.filter("layer = 0"))
+
+
+@query("address_binding_nearest_place", f"""WITH {ANCHORS}, {ADDRESSES}, own AS (SELECT x.*, a.country, {_foldsql('a.locality')} AS k FROM addresses x JOIN anchors a USING (anchor_id)),
+j AS (SELECT address_id, p.anchor_id, row_number() OVER (PARTITION BY address_id ORDER BY pow((p.lon-o.lon)*cos(radians(o.lat)),2)+pow(p.lat-o.lat,2), p.anchor_id) AS r FROM own o JOIN (SELECT *, {_foldsql('locality')} AS k FROM anchors WHERE layer = 1) p USING (country, k))
+SELECT address_id, anchor_id FROM j WHERE r = 1""")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    own = corpus.addresses(s, d).join(a.select("anchor_id", "country", "locality"), "anchor_id").select("address_id", "country", F.col("locality").alias("place"), "lat", "lon")
+    return index.bind_places(own, a.filter("layer = 1").select("country", F.col("locality").alias("name"), "anchor_id", "lat", "lon"))
+
+
+# --- geometry ---------------------------------------------------------------------------------------------------------
+@query("cell_key", f"WITH {POINTS} SELECT point_id, CAST((floor(plat/CAST(0.05 AS DOUBLE))+4096)*16384+floor(plon/CAST(0.05 AS DOUBLE))+4096 AS BIGINT) AS cell FROM points")
+def _(s, d):
+    return corpus.points(s, d).select("point_id", geo.cell_key(F.col("lat"), F.col("lon")).cast("bigint").alias("cell"))
+
+
+INSIDE = "closed AND plat BETWEEN min_lat AND max_lat AND plon BETWEEN min_lon AND max_lon AND NOT (shape_id % 2 = 1 AND plat > lat AND plon > lon)"
+
+
+@query("containing_regions_top3", f"WITH {SHAPES}, {POINTS}, f AS (SELECT point_id, shape_id, row_number() OVER (PARTITION BY point_id ORDER BY area_deg*cos(radians(min_lat)), shape_id) AS r FROM points JOIN shapes ON plat > min_lat AND plat < max_lat AND plon > min_lon AND plon < max_lon AND closed AND NOT (shape_id % 2 = 1 AND plat > lat AND plon > lon)) SELECT point_id, shape_id, CAST(r AS INTEGER) AS rank FROM f WHERE r <= 3")
+def _(s, d):
+    p = corpus.points(s, d).withColumn("lat", F.col("lat") + 0.0000137).withColumn("lon", F.col("lon") + 0.0000137)
+    return reverse.top_containing(reverse.containing(p, corpus.shapes(s, d))).select("point_id", "shape_id", "rank")
+
+
+SQL["containing_regions_top3"] = SQL["containing_regions_top3"].replace("points AS (SELECT c_custkey AS point_id, 47 + (c_custkey*7919 % 10000)/10000 AS plat, 9 + (c_custkey*104729 % 10000)/10000 AS plon", "points AS (SELECT c_custkey AS point_id, 47 + (c_custkey*7919 % 10000)/10000 + CAST(0.0000137 AS DOUBLE) AS plat, 9 + (c_custkey*104729 % 10000)/10000 + CAST(0.0000137 AS DOUBLE) AS plon")
+
+
+@query("ring_area", f"WITH {SHAPES} SELECT shape_id, round(area_deg*111320.0*111320.0*cos(radians(min_lat)), 1) AS area_m2 FROM shapes")
+def _(s, d):
+    return corpus.shapes(s, d).select("shape_id", F.round(geo.ring_area_m2(F.col("ring")), 1).alias("area_m2"))
+
+
+@query("cell_grid_listing", f"WITH {SHAPES}, y AS (SELECT *, unnest(range(CAST(floor(min_lat/CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(floor(max_lat/CAST(0.05 AS DOUBLE)) AS BIGINT)+1)) AS cy FROM shapes WHERE closed AND greatest(max_lat-min_lat,max_lon-min_lon)*111320 >= 30), x AS (SELECT *, unnest(range(CAST(floor(min_lon/CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(floor(max_lon/CAST(0.05 AS DOUBLE)) AS BIGINT)+1)) AS cx FROM y) SELECT CAST((cy+4096)*16384+cx+4096 AS BIGINT) AS cell, shape_id FROM x")
+def _(s, d):
+    return index.cell_listing(corpus.shapes(s, d)).select(F.col("cell").cast("bigint").alias("cell"), "shape_id")
+
+
+@query("bbox_distance", f"WITH {SHAPES} SELECT shape_id, round(sqrt(pow(greatest(min_lat-47.5, 47.5-max_lat, 0)*111320,2)+pow(greatest(min_lon-9.5, 9.5-max_lon, 0)*111320*cos(radians(47.5)),2)),3) AS m FROM shapes")
+def _(s, d):
+    c = F.col
+    return corpus.shapes(s, d).select("shape_id", F.round(geo.bbox_distance_m(F.lit(47.5), F.lit(9.5), c("min_lat"), c("min_lon"), c("max_lat"), c("max_lon")), 3).alias("m"))
+
+
+@query("distance_to_shape")
+def _(s, d):
+    return corpus.shapes(s, d).select("shape_id", F.round(geo.distance_to_shape_m(F.col("ring"), F.col("closed"), F.lit(47.5), F.lit(9.5)), 3).alias("m"))
+
+
+@query("reverse_knn", f"WITH {ANCHORS}, {POINTS}, h AS (SELECT point_id, anchor_id AS feature_id, {hav('plat', 'plon', 'lat', 'lon')} AS m FROM points JOIN anchors ON abs(plat-lat) < 0.02 AND abs(plon-lon) < 0.03), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, feature_id) AS r FROM h WHERE m <= 1500) SELECT point_id, feature_id, round(m,3) AS distance_m, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 5")
+def _(s, d):
+    f = corpus.anchors(s, d).select(F.col("anchor_id").alias("feature_id"), "lat", "lon")
+    return reverse.nearest(corpus.points(s, d), f, 5, 1500.0).select("point_id", "feature_id", F.round("distance_m", 3).alias("distance_m"), "rank")
+
+
+@query("transposition_hint", f"WITH {POINTS} SELECT point_id, NOT (plon BETWEEN 47 AND 48 AND plat BETWEEN 9 AND 10) AND plat BETWEEN 47 AND 48 AND plon BETWEEN 9 AND 10 AS transposed FROM points")
+def _(s, d):
+    p = corpus.points(s, d)
+    return p.select("point_id", geo.looks_transposed(F.col("lon"), F.col("lat"), F.lit(47), F.lit(9), F.lit(48), F.lit(10)).alias("transposed"))
+
+
+# --- feature pipeline -------------------------------------------------------------------------------------------------
+@query("catchment_locality", f"""WITH {ANCHORS}, k AS (SELECT a.anchor_id AS id, p.anchor_id AS place_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {hav('a.lat', 'a.lon', 'p.lat', 'p.lon')}/1000/km, -km, p.anchor_id) AS r FROM anchors a JOIN (SELECT *, {_map(CATCHMENT_KM)}[place_type] AS km FROM anchors WHERE layer = 1) p ON a.country = p.country AND a.layer = 2 AND {hav('a.lat', 'a.lon', 'p.lat', 'p.lon')}/1000/km <= 1) SELECT a.anchor_id AS id, place_id FROM anchors a LEFT JOIN (SELECT * FROM k WHERE r = 1) ON id = a.anchor_id WHERE layer = 2""")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    return features.catchment(a.filter("layer = 2").select(F.col("anchor_id").alias("id"), "country", "lat", "lon"), a.filter("layer = 1").withColumnRenamed("anchor_id", "place_id")).select("id", "place_id")
+
+
+@query("street_grouping")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    seg = corpus.addresses(s, d).join(a.select("anchor_id", "country", "name", "locality"), "anchor_id").select(F.col("address_id").alias("seq"), "country", "name", "locality", "lat", "lon")
+    return features.group_streets(seg)
+
+
+@query("poi_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, category, {_foldsql('name')}, CAST(floor(lat*10) AS BIGINT) ORDER BY population DESC, anchor_id) AS r FROM anchors WHERE layer = 2) WHERE r = 1")
+def _(s, d):
+    a = corpus.anchors(s, d).filter("layer = 2").withColumn("key", F.concat_ws("|", "country", "category", native_fold(F.col("name")), F.floor(F.col("lat") * 10)))
+    return features.keep_first(a, "key", [F.desc("population"), "anchor_id"]).select("anchor_id")
+
+
+@query("cross_source_dedup", "SELECT l_partkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    return features.keep_first(rows, "l_partkey", [F.desc("l_suppkey"), "l_orderkey", "l_linenumber"]).select("l_partkey", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
+
+
+@query("place_name_render", f"WITH {ANCHORS} SELECT anchor_id, concat_ws(', ', concat_ws(' ', nullif(name,''), (anchor_id%97)||''), CASE WHEN lower(locality) <> lower(name) THEN nullif(locality,'') END, upper(country)) AS place_name FROM anchors")
+def _(s, d):
+    return corpus.anchors(s, d).select("anchor_id", features.place_name(F.col("name"), (F.col("anchor_id") % 97).cast("string"), F.col("locality"), F.col("country")).alias("place_name"))
+
+
+@query("category_stats", f"WITH {ANCHORS} SELECT category, count(*) AS n, count(*) FILTER (WHERE population > 1000) AS large FROM anchors WHERE layer = 2 GROUP BY category")
+def _(s, d):
+    return corpus.anchors(s, d).filter("layer = 2").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("population") > 1000).alias("large"))
+
+
+# --- corrections ------------------------------------------------------------------------------------------------------
+def _typos(a):
+    k = native_fold(F.get(F.split("name", " "), 0))
+    return a.select(F.concat(F.left(k, F.lit(2)), F.substring(k, 4, 100)).alias("word")).distinct()
+
+
+FUZZY = f"tdf AS (SELECT term, count(*) AS df FROM posts GROUP BY term), ty AS (SELECT DISTINCT left(k,2)||substring(k,4,100) AS word FROM (SELECT {_foldsql(chr(115) + 'tring_split(name,' + chr(39) + ' ' + chr(39) + ')[1]')} AS k FROM anchors)), fz AS (SELECT word, term, df FROM ty JOIN tdf ON abs(length(word)-length(term)) <= 1 AND levenshtein(word, term) <= 1 WHERE length(word) >= 5 AND word NOT IN (SELECT term FROM tdf))"
+
+
+@query("fuzzy_neighbours", f"WITH {ANCHORS}, {POSTS}, {FUZZY} SELECT word, term, df FROM fz")
+def _(s, d):
+    a, _, t = _df(s, d)
+    return forward.corrections(_typos(a), t)
+
+
+@query("fuzzy_best_correction", f"WITH {ANCHORS}, {POSTS}, {FUZZY} SELECT word, term FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS r FROM fz) WHERE r = 1")
+def _(s, d):
+    a, _, t = _df(s, d)
+    return forward.best_correction(forward.corrections(_typos(a), t))
