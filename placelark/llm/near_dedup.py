@@ -11,9 +11,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelark.llm.common import mix, n_partitions, table, window_hashes, written
@@ -151,6 +154,34 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     return [(int(ids[i]), int(ids[j])) for i, j in forest(len(ids), near)]
 
 
+#: Bits of the filter that keeps other texts out of the confirming join: 4 MB, whatever the input.
+FILTER_LOG2 = 25
+
+
+def probably_in(ids: DataFrame, c: Column) -> Column:
+    """Whether c may be in ids (_id): a Bloom filter of fixed size, merged on the executors. Never false for a member; a
+    full filter is always true, and the join behind it decides then."""
+    mask, spark = (1 << FILTER_LOG2) - 1, ids.sparkSession
+    at = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask).cast("long")) for k in (0, 19, 38)]
+    bits = ids.select(F.explode(F.array(*at(F.xxhash64("_id")))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63L AS int))")).alias("b")).toPandas()
+    own = np.zeros(1 << FILTER_LOG2 - 6, np.int64)
+    own[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(zlib.compress(own.tobytes(), 1))
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = np.frombuffer(zlib.decompress(shared.value), np.uint64)
+        for h in batches:
+            u, hit = h.to_numpy().view(np.uint64), True
+            for k in (0, 19, 38):
+                p = u >> np.uint64(k) & np.uint64(mask)
+                hit = hit & ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1)
+            yield pd.Series(hit)
+
+    return test(F.xxhash64(c))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of the edges (a, b). Each round hooks every node below its
     smallest neighbour, follows parents to the end by doubling, and contracts; tables are written to the shared folder."""
@@ -197,8 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = components(maybe.unionByName(ties))
     width_of = written(coarse.join(reps.groupBy("rep").agg(F.max("n").alias("n")).withColumnRenamed("rep", "node"), "node"), "coarse")
     blocks = width_of.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    placed = width_of.join(blocks, "root").withColumn("bi", F.pmod(F.xxhash64(F.lit(9), "node"), "nb").cast("int")).select("root", F.col("node").alias("_id"), "nb", "bi")
-    texts = known.join(placed, "_id")
+    placed = written(width_of.join(blocks, "root").withColumn("bi", F.pmod(F.xxhash64(F.lit(9), "node"), "nb").cast("int")).select("root", F.col("node").alias("_id"), "nb", "bi"), "placed")
+    texts = known.filter(probably_in(placed.select("_id"), F.col("_id"))).join(placed, "_id")
     pairs = texts.withColumn("bj", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: x != F.col("bi")))))
     pairs = pairs.select("root", "_id", "_t", F.least("bi", "bj").alias("x"), F.greatest("bi", "bj").alias("y"))
 
