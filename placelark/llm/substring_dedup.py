@@ -1,10 +1,14 @@
 """Substring dedup: a count-min prefilter, then exact grouping of the windows estimated repeated.
 
-Pass one: each chunk of documents sketches its windows (one row of counters, saturated at two) and ships the touched
-cells as compressed gaps by block of cells; blocks are merged by addition, in a stream. Pass two: windows whose cell counts
-two or more are resolved exactly by 128-bit fingerprints, first inside their chunk, so that a window costs a shuffled row
-only once a chunk, then across chunks. The sketch never underestimates, so no repeat is lost; a full sketch only sends
-more windows to the exact pass.
+The sketch has two rows of counters. A window of 20 words is counted in row one by the 10-word run of the smallest hash
+inside it, in row two by that of the largest: a run's count is never below that of a window it stands for, and one run
+stands for six windows or so, so rows fill six times slower than by windows.
+
+Pass one: each chunk of documents sketches its runs and ships the touched cells, saturated at two, as compressed gaps by
+block of cells; blocks are merged by addition, in a stream. Pass two: windows whose cells count two or more in both rows
+are resolved exactly by 128-bit fingerprints, first inside their chunk, so that a window costs a shuffled row only once a
+chunk, then across chunks. The sketch never underestimates, so no repeat is lost; a full sketch only sends more windows to
+the exact pass. Its size follows the input up to MAX_CELLS_LOG2.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelark.llm.common import BASES, n_partitions, table, window_hashes, written
+from placelark.llm.common import BASES, mix, n_partitions, table, window_hashes, written
 
-#: Cells of the sketch (a bit each once merged: 32 MB on each worker) and of a block of it.
-CELLS_LOG2, BLOCK_LOG2 = 28, 18
+#: Cells of a row of the sketch: about one for each word, between these bounds; merged, a bit each on every worker
+#: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
+MIN_CELLS_LOG2, MAX_CELLS_LOG2, BLOCK_LOG2 = 22, 30, 18
 #: Windows of a chunk: what a worker holds at once.
 CHUNK_WINDOWS = 1_500_000
 
@@ -30,6 +35,20 @@ def _normed(text: str | None) -> tuple[bytes, int]:
     return b" ".join(words), len(words)
 
 
+def _runs(norm: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of runs of half a window, and for each window the first of the smallest and of the largest inside it."""
+    half = (width + 1) // 2
+    g = window_hashes(norm, half)[0]
+    view = np.lib.stride_tricks.sliding_window_view(g, width - half + 1)
+    i = np.arange(len(view))
+    return g, i + view.argmin(1), i + view.argmax(1)
+
+
+def _cells(g: np.ndarray, row: int, cells_log2: int) -> np.ndarray:
+    """Cells of row 0, then those of row 1, in one range."""
+    return (mix(g + np.uint64(row)) >> np.uint64(64 - cells_log2)).astype(np.int64) + (row << cells_log2)
+
+
 def _sketch(cells_log2: int, width: int):
     def flush(cells: list[np.ndarray]):
         all_cells, counts = np.unique(np.concatenate(cells), return_counts=True)
@@ -48,8 +67,10 @@ def _sketch(cells_log2: int, width: int):
                 norm, k = _normed(t)
                 if k < width:
                     continue
-                held.append((window_hashes(norm, width)[0] >> np.uint64(64 - cells_log2)).astype(np.int64))
-                n += k
+                g, low, high = _runs(norm, width)
+                held.append(_cells(g[np.unique(low)], 0, cells_log2))
+                held.append(_cells(g[np.unique(high)], 1, cells_log2))
+                n += len(held[-1]) + len(held[-2])
                 if n >= CHUNK_WINDOWS:
                     yield flush(held)
                     held, n = [], 0
@@ -98,12 +119,16 @@ def _candidates(bits, cells_log2: int, width: int):
                 norm, m = _normed(t)
                 if m < width:
                     continue
-                h1 = window_hashes(norm, width)[0]
-                cell = (h1 >> np.uint64(64 - cells_log2)).astype(np.int64)
-                at = np.flatnonzero(table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+                g, low, high = _runs(norm, width)
+                hit = True
+                for row, own in ((0, low), (1, high)):
+                    cell = _cells(g, row, cells_log2)
+                    hit = hit & (table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)[own]
+                at = np.flatnonzero(hit)
                 if not len(at):
                     continue
-                held.append((k, h1[at], window_hashes(norm, width, BASES)[1][at], at))
+                h1, h2 = window_hashes(norm, width, BASES)
+                held.append((k, h1[at], h2[at], at))
                 n += len(at)
                 if n >= CHUNK_WINDOWS:
                     yield from flush(held)
@@ -136,7 +161,7 @@ def _keep(width: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, cells_log2: int = CELLS_LOG2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, cells_log2: int | None = None) -> DataFrame:
     """One row per row of docs: (id, n_words, n_removed, kept text, words joined by one space).
 
     A null text has no words; texts shorter than a window are kept. A null id counts as the smallest. Rows that repeat an
@@ -146,11 +171,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), F.col(text_col).alias("_t"))
     n = n_partitions(spark)
+    if cells_log2 is None:  # a word is six bytes or more, mostly
+        size = d.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+        cells_log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, (size // 6).bit_length()))
     cells_log2 = max(cells_log2, BLOCK_LOG2)
     sketched = d.select("_t").mapInPandas(_sketch(cells_log2, width), "block int, gaps binary, twice binary, n int")
     merged = sketched.repartition(n, "block").mapInPandas(_merge, "block int, bits binary")
-    bits = np.zeros((1 << cells_log2 - BLOCK_LOG2, 1 << BLOCK_LOG2 - 3), np.uint8)
-    for b, x in merged.toLocalIterator():  # of fixed size, whatever the input
+    bits = np.zeros((2 << cells_log2 - BLOCK_LOG2, 1 << BLOCK_LOG2 - 3), np.uint8)
+    for b, x in merged.toLocalIterator():  # of bounded size, whatever the input
         bits[b] = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
     found = written(d.select("_k", "_t").mapInPandas(_candidates(shared, cells_log2, width), "_k long, h1 long, h2 long, start int, starts binary"), "windows")
