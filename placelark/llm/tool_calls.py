@@ -19,7 +19,7 @@ TOOLS: dict[str, dict[str, str]] = {"search": {"query": "string", "limit": "inte
 
 
 def _valid(name, arguments, tools):
-    """null if the arguments fit the schema, else what is wrong with the first that doesn't."""
+    """null if the arguments fit the schema, else what is wrong with the first, by name, that doesn't."""
     case = F.when(name.isNull(), F.lit("no name"))
     for tool, schema in sorted(tools.items()):
         this = name == tool
