@@ -359,3 +359,94 @@ def _(s, d):
 def _(s, d):
     a, _, t = _df(s, d)
     return forward.best_correction(forward.corrections(_typos(a), t))
+
+
+# --- readings, shapes, rendering, selection ---------------------------------------------------------------------------
+@query("parse_readings")
+def _(s, d):
+    from placelark.functions import query as q
+
+    a = corpus.anchors(s, d).select("anchor_id", F.concat("name", F.lit(" "), (F.col("anchor_id") % 97 + 1).cast("string")).alias("q"))
+    return a.select("anchor_id", F.posexplode(q.parse(F.col("q"))).alias("reading", "r")).select("anchor_id", "reading", F.array_join("r.tokens", " ").alias("tokens"), "r.number")
+
+
+@query("query_number", f"WITH {ANCHORS} SELECT anchor_id, (anchor_id % 97 + 1)||'' AS number FROM anchors WHERE name <> ''")
+def _(s, d):
+    """The first reading of `name number` has that number."""
+    from placelark.functions import query as q
+
+    a = corpus.anchors(s, d).filter("name <> ''").select("anchor_id", F.concat("name", F.lit(" "), (F.col("anchor_id") % 97 + 1).cast("string")).alias("q"))
+    return a.select("anchor_id", F.get(q.parse(F.col("q")), 0)["number"].alias("number"))
+
+
+@query("index_tokens_umlaut", f"WITH {ANCHORS} SELECT anchor_id, term FROM (SELECT DISTINCT anchor_id, unnest(list_concat(t, list_transform(t, lambda x: regexp_replace(x,'s{{3,}}','ss','g')))) AS term FROM (SELECT anchor_id, list_concat({_tokensql('name')}, {_tokensql('replace(replace(replace(lower(name),chr(228),chr(97)||chr(101)),chr(246),chr(111)||chr(101)),chr(252),chr(117)||chr(101))')}) AS t FROM anchors))")
+def _(s, d):
+    return corpus.anchors(s, d).select("anchor_id", F.explode(native_index_tokens(F.col("name"))).alias("term"))
+
+
+@query("query_variants")
+def _(s, d):
+    from placelark.functions.text import register
+
+    register(s)
+    return corpus.anchors(s, d).selectExpr("anchor_id", "query_variants(name) AS variants")
+
+
+@query("shape_simplified")
+def _(s, d):
+    from placelark.operators import shapes
+
+    return corpus.shapes(s, d).select("shape_id", F.size(shapes.simplified(F.col("ring"))).alias("points"))
+
+
+@query("representative_point", f"WITH {SHAPES} SELECT shape_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM shapes WHERE shape_id % 2 = 0")
+def _(s, d):
+    from placelark.operators import shapes
+
+    r = corpus.shapes(s, d).filter("shape_id % 2 = 0").select("shape_id", shapes.representative_point(F.col("ring")).alias("p"))
+    return r.select("shape_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
+
+
+@query("geojson_collection")
+def _(s, d):
+    from placelark.operators import render
+
+    return render.collection(render.feature(forward.top(_forward(s, d)).select("query_id", "rank", "anchor_id", "name", "country", "score", "lat", "lon")))
+
+
+@query("forward_country", f"WITH {ANCHORS}, {POSTS}, {CAND}, {CHEAP} SELECT query_id, anchor_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor_id) AS r FROM cheap c JOIN anchors USING (anchor_id) WHERE country = 'de') WHERE r <= 10")
+def _(s, d):
+    return forward.top(_cheap(s, d).filter("country = 'de'")).select("query_id", "anchor_id", "score", "rank")
+
+
+@query("forward_proximity", f"WITH {ANCHORS}, {POSTS}, {CAND}, {CHEAP} SELECT query_id, anchor_id, round(score * (1 + 1/(1 + {hav('47.5', '9.5', 'lat', 'lon')}/50000)), 4) AS score FROM cheap JOIN anchors USING (anchor_id)")
+def _(s, d):
+    c = _cheap(s, d)
+    return c.select("query_id", "anchor_id", F.round(F.col("score") * forward.proximity(F.lit(47.5), F.lit(9.5), F.col("lat"), F.col("lon")), 4).alias("score"))
+
+
+@query("max_relevance_bound", f"WITH {ANCHORS}, v AS (SELECT anchor_id, len({_tokensql('name')}) AS n FROM anchors) SELECT anchor_id, round(CAST(pow(0.1+0.9*least(2.0/n,1.0),2) * CASE WHEN 2 >= n THEN 2.5 ELSE 1 END AS DOUBLE),6) AS bound FROM v WHERE n > 0")
+def _(s, d):
+    n = F.size(native_tokens(F.col("name")))
+    return corpus.anchors(s, d).filter(n > 0).select("anchor_id", F.round(forward.bound(F.lit(2), n), 6).alias("bound"))
+
+
+@query("place_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, {_foldsql('name')} ORDER BY CAST({PRIOR} AS DOUBLE) DESC, anchor_id) AS r FROM anchors WHERE layer = 1) WHERE r = 1")
+def _(s, d):
+    a = corpus.anchors(s, d).filter("layer = 1").withColumn("prior", _prior(None)).withColumn("key", F.concat_ws("|", "country", native_fold(F.col("name"))))
+    return features.keep_first(a, "key", [F.desc("prior"), "anchor_id"]).select("anchor_id")
+
+
+@query("tag_combo_stats", "SELECT combo, count(*) AS n, min(event_id) AS sample FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'props+type' ELSE 'type' END AS combo FROM events) GROUP BY combo ORDER BY n DESC, combo LIMIT 8")
+def _(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("props").cast("string").alias("props"))
+    tags = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("type"), F.col("event_type"), F.lit("props"), F.col("props"))).otherwise(F.create_map(F.lit("type"), F.col("event_type")))
+    return features.combo_stats(e.select(F.col("event_id").alias("id"), tags.alias("tags")))
+
+
+@query("reverse_two_tier")
+def _(s, d):
+    inside = reverse.top_containing(reverse.containing(corpus.points(s, d), corpus.shapes(s, d)))
+    near = reverse.nearest(corpus.points(s, d), corpus.anchors(s, d).select(F.col("anchor_id").alias("feature_id"), "lat", "lon"), 5, 1500.0)
+    head = inside.select("point_id", F.lit(1).alias("tier"), F.col("shape_id").alias("feature_id"), "rank", (1000 / (1 + F.col("area_m2") / 1e4)).alias("score"))
+    return head.unionByName(near.select("point_id", F.lit(2).alias("tier"), "feature_id", "rank", (1 / (1 + F.col("distance_m"))).alias("score")))
