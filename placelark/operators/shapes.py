@@ -79,13 +79,15 @@ def representative(pts: list[tuple[float, float]]) -> tuple[float, float] | None
         return pts[0]
     k = math.cos(math.radians(pts[0][0]))
     a = x = y = 0.0
-    for (y0, x0), (y1, x1) in zip(pts, pts[1:] + pts[:1], strict=True):
+    oy, ox = pts[0]  # about the first vertex: far from zero the products would cancel
+    own = [(p[0] - oy, p[1] - ox) for p in pts]
+    for (y0, x0), (y1, x1) in zip(own, own[1:] + own[:1], strict=True):
         c = (x0 * y1 - x1 * y0) * k
         a, x, y = a + c, x + (x0 + x1) * k * c, y + (y0 + y1) * c
     mean = (sum(p[0] for p in pts) / len(pts), sum(p[1] for p in pts) / len(pts))
     if abs(a) < 2e-12:
         return mean
-    lat, lon = y / (3 * a), x / (3 * a) / k
+    lat, lon = oy + y / (3 * a), ox + x / (3 * a) / k
     inside = min(p[0] for p in pts) <= lat <= max(p[0] for p in pts) and min(p[1] for p in pts) <= lon <= max(p[1] for p in pts)
     return (lat, lon) if inside else mean
 

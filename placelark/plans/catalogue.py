@@ -166,10 +166,11 @@ def _(s, d):
     return forward.top(_cheap(s, d)).select("query_id", "anchor_id", "score", "rank")
 
 
-@query("locality_prior", f"WITH {ANCHORS}, pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors) SELECT a.anchor_id, round(max(p.prior),6) AS best FROM anchors a JOIN pr p ON p.layer = 1 AND p.name = a.locality GROUP BY a.anchor_id")
+@query("locality_prior", f"WITH {ANCHORS}, pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors) SELECT a.anchor_id, round(max(p.prior),6) AS best FROM anchors a JOIN pr p ON p.layer = 1 AND p.alias = a.locality GROUP BY a.anchor_id")
 def _(s, d):
+    """Places go by their alias here: names of two words are no locality of one."""
     a = corpus.anchors(s, d).withColumn("prior", _prior(None))
-    best = a.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("best"))
+    best = a.filter("layer = 1").groupBy(F.col("alias").alias("locality")).agg(F.max("prior").alias("best"))
     return a.join(best, "locality").select("anchor_id", F.round("best", 6).alias("best"))
 
 
