@@ -6,8 +6,11 @@ import os
 import shutil
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that keeps rows that have no partner out of a join: 4 MB, whatever the input.
+FILTER_LOG2 = 25
+
+
+def probably_in(ids: DataFrame, c: Column) -> Column:
+    """Whether c may be in ids (_id): a Bloom filter of fixed size, merged on the executors. Never false for a member; a
+    full filter is always true, and the join behind it decides then."""
+    mask, spark = (1 << FILTER_LOG2) - 1, ids.sparkSession
+    at = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask).cast("long")) for k in (0, 19, 38)]
+    bits = ids.select(F.explode(F.array(*at(F.xxhash64("_id")))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63L AS int))")).alias("b")).toPandas()
+    own = np.zeros(1 << FILTER_LOG2 - 6, np.int64)
+    own[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(zlib.compress(own.tobytes(), 1))
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = np.frombuffer(zlib.decompress(shared.value), np.uint64)
+        for h in batches:
+            u, hit = h.to_numpy().view(np.uint64), True
+            for k in (0, 19, 38):
+                p = u >> np.uint64(k) & np.uint64(mask)
+                hit = hit & ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1)
+            yield pd.Series(hit)
+
+    return test(F.xxhash64(c))
+
+
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, and an odd base with its inverse modulo 2**64.
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelark.llm.common import BASES, mix, n_partitions, table, window_hashes, written
+from placelark.llm.common import BASES, mix, n_partitions, probably_in, table, window_hashes, written
 
 #: Cells of a row of the sketch: about one for each word, between these bounds; merged, a bit each on every worker
 #: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
@@ -185,8 +185,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = Window.partitionBy("h1", "h2").orderBy("_k", "start")
     later = found.filter("starts IS NULL").select("_k", "h1", "h2", "start").withColumn("_prev", F.lag("start").over(order)).filter("_prev IS NOT NULL").select("_k", "start")
     pieces = later.select("_k", "start", F.lit(None).cast("binary").alias("starts")).unionByName(found.filter("starts IS NOT NULL").select("_k", F.lit(None).cast("int").alias("start"), "starts"))
-    repeats = pieces.groupBy("_k").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many"))
-    out = d.join(repeats, "_k", "left").select("_id", "_t", "_starts", "_many").mapInPandas(_keep(width), "_id long, n_words long, n_removed long, kept string")
+    repeats = written(pieces.groupBy("_k").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many")), "repeats")
+    # only texts that lose words meet their starts: the others aren't shuffled
+    marked = d.withColumn("_in", probably_in(repeats.select(F.col("_k").alias("_id")), F.col("_k")))
+    cut = marked.filter("_in").join(repeats, "_k", "left").select("_id", "_t", "_starts", "_many")
+    whole = marked.filter("NOT _in").select("_id", "_t", F.lit(None).cast("array<int>").alias("_starts"), F.lit(None).cast("array<binary>").alias("_many"))
+    out = cut.unionByName(whole).mapInPandas(_keep(width), "_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", id_col)
 
 
