@@ -27,7 +27,9 @@ from placelark.llm.common import BASES, mix, n_partitions, probably_in, table, w
 #: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
 MIN_CELLS_LOG2, MAX_CELLS_LOG2, BLOCK_LOG2 = 22, 30, 18
 #: Windows of a chunk: what a worker holds at once.
-CHUNK_WINDOWS = 1_500_000
+CHUNK_WINDOWS = 1_000_000
+#: Rows of a batch that goes back to the JVM.
+BATCH_ROWS = 100_000
 
 
 def _normed(text: str | None) -> tuple[bytes, int]:
@@ -96,20 +98,24 @@ def _candidates(bits, cells_log2: int, width: int):
     def flush(held):
         h1, h2 = (np.concatenate([x[k] for x in held]) for k in (1, 2))
         start = np.concatenate([x[3] for x in held])
-        who = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        who = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[1]) for x in held])
         ids = np.array([x[0] for x in held], np.int64)
+        held.clear()
         order = np.lexsort((start, ids[who], h2, h1))
         first = np.ones(len(order), bool)
         first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         again = np.zeros(len(order), bool)
         again[order[~first]] = True
         f = order[first]
-        rows = [pd.DataFrame({"_k": ids[who[f]], "h1": h1[f].view(np.int64), "h2": h2[f].view(np.int64), "start": start[f].astype(np.int32), "starts": None})]
+        del order, first
+        for a in range(0, len(f), BATCH_ROWS):
+            own = f[a : a + BATCH_ROWS]
+            yield pd.DataFrame({"_k": ids[who[own]], "h1": h1[own].view(np.int64), "h2": h2[own].view(np.int64), "start": start[own].astype(np.int32), "starts": None})
+        del h1, h2, f
         cut = np.flatnonzero(np.diff(who)) + 1
         local = [(int(ids[w[0]]), s[a].astype(np.int32).tobytes()) for w, s, a in zip(np.split(who, cut), np.split(start, cut), np.split(again, cut), strict=True) if a.any()]
         if local:
-            rows.append(pd.DataFrame({"_k": [x[0] for x in local], "h1": None, "h2": None, "start": None, "starts": [x[1] for x in local]}))
-        return rows
+            yield pd.DataFrame({"_k": [x[0] for x in local], "h1": None, "h2": None, "start": None, "starts": [x[1] for x in local]})
 
     def run(batches):
         table_ = np.frombuffer(zlib.decompress(bits.value), np.uint8)
@@ -128,11 +134,11 @@ def _candidates(bits, cells_log2: int, width: int):
                 if not len(at):
                     continue
                 h1, h2 = window_hashes(norm, width, BASES)
-                held.append((k, h1[at], h2[at], at))
+                held.append((k, h1[at], h2[at], at.astype(np.int32)))
                 n += len(at)
                 if n >= CHUNK_WINDOWS:
                     yield from flush(held)
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from flush(held)
 
