@@ -29,14 +29,16 @@ def candidates(tokens: DataFrame, posts: DataFrame, weights: DataFrame) -> DataF
     return hits.join(weights, ["query_id", "pos"]).groupBy("query_id", "anchor_id").agg(F.count(F.lit(1)).alias("hit"), F.sum("w").alias("text_weight")).join(n, "query_id").filter("hit = n").drop("hit", "n")
 
 
-def relevance(query: Column, variant: Column, locality: Column) -> Column:
+def relevance(query: Column, variant: Column, locality: Column, forms: bool = False) -> Column:
     """Of one name variant: each token, in order, claims an unused word of the name, else of the locality; the last by
-    prefix. (explained)(coverage) squared, more for an exact name."""
+    prefix. (explained)(coverage) squared, more for an exact name. With `forms`, a token is an array of its spellings."""
     q = F.size(query)
+    starts = lambda w, t: F.exists(t, lambda x: F.startswith(w, x)) if forms else F.startswith(w, t)
+    same = lambda w, t: F.array_contains(t, w) if forms else w == t
 
     def claim(acc, t, i):
         def fits(words, used):
-            return F.filter(F.transform(words, lambda w, j: F.when((F.when(i == q - 1, F.startswith(w, t)).otherwise(w == t)) & ~F.array_contains(used, j), j)), lambda x: x.isNotNull())
+            return F.filter(F.transform(words, lambda w, j: F.when((F.when(i == q - 1, starts(w, t)).otherwise(same(w, t))) & ~F.array_contains(used, j), j)), lambda x: x.isNotNull())
 
         name, loc = fits(variant, acc["name"]), fits(locality, acc["loc"])
         in_name = F.size(name) > 0
@@ -58,9 +60,9 @@ def relevance(query: Column, variant: Column, locality: Column) -> Column:
     return bind(got, score)
 
 
-def best_relevance(query: Column, variants: Column, locality: Column) -> Column:
+def best_relevance(query: Column, variants: Column, locality: Column, forms: bool = False) -> Column:
     """Over name variants, the first canonical and the others at 0.9; 0.05 without any."""
-    each = F.transform(variants, lambda v, i: F.when(F.size(v) > 0, relevance(query, v, locality) * F.when(i == 0, 1.0).otherwise(ALIAS)))
+    each = F.transform(variants, lambda v, i: F.when(F.size(v) > 0, relevance(query, v, locality, forms) * F.when(i == 0, 1.0).otherwise(ALIAS)))
     return F.coalesce(F.array_max(each), F.lit(FLOOR))
 
 

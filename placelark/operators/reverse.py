@@ -26,19 +26,20 @@ def top_containing(found: DataFrame, n: int = MAX_CONTAINING) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def nearest(points: DataFrame, features: DataFrame, limit: int = 5, radius: float = 5000.0) -> DataFrame:
+def nearest(points: DataFrame, features: DataFrame, limit: int = 5, radius: float = 5000.0, on: tuple[str, ...] = ()) -> DataFrame:
     """(point_id, feature_id, distance_m, rank): the nearest within the radius. The first round of 150 m, 600 m ... that finds
-    `limit` ends a point's search: the points left go on against a coarser grid, so a dense area is never searched wide."""
+    `limit` ends a point's search: the points left go on against a coarser grid, so a dense area is never searched wide.
+    Columns `on`, of both sides, must be equal."""
     r, out, left = min(150.0, radius), None, points
     while True:
         step = r / geo.METRES_PER_DEGREE
         wide = step / math.cos(math.radians(66))
         cy, cx = (lambda c: F.floor(F.col(c) / step)), (lambda c: F.floor(F.col(c) / wide))
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        p = left.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("oy", F.explode(around)).withColumn("ox", F.explode(around)).withColumn("cy", cy("plat") + F.col("oy")).withColumn("cx", cx("plon") + F.col("ox")).drop("oy", "ox")
-        f = features.select("feature_id", "lat", "lon").withColumn("cy", cy("lat")).withColumn("cx", cx("lon"))
+        p = left.select("point_id", *on, F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("oy", F.explode(around)).withColumn("ox", F.explode(around)).withColumn("cy", cy("plat") + F.col("oy")).withColumn("cx", cx("plon") + F.col("ox")).drop("oy", "ox")
+        f = features.select("feature_id", *on, "lat", "lon").withColumn("cy", cy("lat")).withColumn("cx", cx("lon"))
         d = geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
-        hits = p.join(f, ["cy", "cx"]).withColumn("distance_m", d).filter(F.col("distance_m") <= r).select("point_id", "feature_id", "distance_m")
+        hits = p.join(f, ["cy", "cx", *on]).withColumn("distance_m", d).filter(F.col("distance_m") <= r).select("point_id", "feature_id", "distance_m")
         last = r >= radius
         enough = hits.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("point_id")
         done = hits if last else hits.join(enough, "point_id", "left_semi")
