@@ -451,3 +451,136 @@ def _(s, d):
     near = reverse.nearest(corpus.points(s, d), corpus.anchors(s, d).select(F.col("anchor_id").alias("feature_id"), "lat", "lon"), 5, 1500.0)
     head = inside.select("point_id", F.lit(1).alias("tier"), F.col("shape_id").alias("feature_id"), "rank", (1000 / (1 + F.col("area_m2") / 1e4)).alias("score"))
     return head.unionByName(near.select("point_id", F.lit(2).alias("tier"), "feature_id", "rank", (1 / (1 + F.col("distance_m"))).alias("score")))
+
+
+# --- the engine as a whole, records, profiles -------------------------------------------------------------------------
+def _engine(s, d):
+    from placelark.plans.geocoder import Geocoder
+
+    a = corpus.anchors(s, d).withColumn("prior", _prior(None)).withColumn("alt_names", F.when(F.col("alias") != "", F.array("alias")))
+    return Geocoder.build(a, corpus.addresses(s, d), corpus.shapes(s, d).withColumn("shape_id", F.col("shape_id") + 10**9)).cached()
+
+
+@query("geocode_forward")
+def _(s, d):
+    a = corpus.anchors(s, d).filter("name <> ''").select(F.col("anchor_id").alias("query_id"), F.concat("name", F.lit(" "), (F.col("anchor_id") % 97 + 1).cast("string")).alias("q"), "country")
+    return _engine(s, d).forward(a)
+
+
+@query("geocode_corrected")
+def _(s, d):
+    word = F.get(F.split("name", " "), 0)
+    a = corpus.anchors(s, d).select(F.col("anchor_id").alias("query_id"), F.concat(F.left(word, F.lit(2)), F.substring(word, 4, 100)).alias("q"))
+    return _engine(s, d).forward(a, limit=3)
+
+
+@query("geocode_reverse")
+def _(s, d):
+    return _engine(s, d).reverse(corpus.points(s, d), radius=1500.0)
+
+
+@query("candidates_variant_or", f"WITH {ANCHORS}, {POSTS}, f AS (SELECT anchor_id AS query_id, unnest(list_concat({_tokensql('locality')}, {_tokensql('alias')})) AS form FROM anchors) SELECT DISTINCT query_id, p.anchor_id FROM f JOIN posts p ON form = term")
+def _(s, d):
+    """One position of which the locality's and the alias's words are spellings."""
+    a, posts, _ = _df(s, d)
+    forms = a.select(F.col("anchor_id").alias("query_id"), F.lit(0).alias("pos"), F.explode(F.array_distinct(F.concat(native_tokens(F.col("locality")), native_tokens(F.col("alias"))))).alias("form"))
+    weights = forms.select("query_id", "pos").distinct().withColumn("w", F.lit(1.0))
+    return forward.candidates(forms, posts, weights).select("query_id", "anchor_id")
+
+
+@query("relevance_best_variant", f"WITH {ANCHORS}, v AS (SELECT anchor_id, CAST(len({_tokensql('name')}) AS DOUBLE) AS n FROM anchors) SELECT anchor_id, round(pow(0.1 + 0.9 / n, 2) * CASE WHEN n = 1 THEN 2.5 ELSE 1.0 END, 6) AS relevance FROM v WHERE n > 0")
+def _(s, d):
+    """The first word of each name against the name."""
+    t = native_tokens(F.col("name"))
+    a = corpus.anchors(s, d).filter(F.size(t) > 0)
+    return a.select("anchor_id", F.round(forward.best_relevance(F.slice(t, 1, 1), F.array(t), F.array().cast("array<string>")), 6).alias("relevance"))
+
+
+@query("place_prior", f"WITH {ANCHORS} SELECT anchor_id, round(CAST({PRIOR} AS DOUBLE), 6) AS prior FROM anchors WHERE layer = 1")
+def _(s, d):
+    return corpus.anchors(s, d).filter("layer = 1").select("anchor_id", F.round(place_prior(F.col("place_type"), F.col("population")), 6).alias("prior"))
+
+
+@query("poi_prior", f"WITH {ANCHORS} SELECT anchor_id, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors WHERE layer = 2")
+def _(s, d):
+    return corpus.anchors(s, d).filter("layer = 2").select("anchor_id", poi_prior(F.col("category")).alias("prior"))
+
+
+@query("point_in_polygon", f"WITH {SHAPES}, {POINTS} SELECT point_id, count(*) AS shapes FROM points JOIN shapes ON plat > min_lat AND plat < max_lat AND plon > min_lon AND plon < max_lon AND closed AND NOT (shape_id % 2 = 1 AND plat > lat AND plon > lon) GROUP BY point_id")
+def _(s, d):
+    p = corpus.points(s, d).withColumn("lat", F.col("lat") + 0.0000137).withColumn("lon", F.col("lon") + 0.0000137)
+    return reverse.containing(p, corpus.shapes(s, d)).groupBy("point_id").agg(F.count(F.lit(1)).alias("shapes"))
+
+
+SQL["point_in_polygon"] = SQL["point_in_polygon"].replace(POINTS, POINTS.replace(" AS plat", " + 0.0000137 AS plat").replace(" AS plon", " + 0.0000137 AS plon"))
+
+
+@query("group_resolve", """WITH g AS (SELECT lower(n_name) AS code, lower(r_name) AS g, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS j FROM nation JOIN region ON n_regionkey = r_regionkey),
+u AS (SELECT 0 AS i, j, code FROM g WHERE g = 'asia' UNION ALL SELECT 1, 0, 'nation_3' UNION ALL SELECT 2, j, code FROM g WHERE g = 'europe'), f AS (SELECT code, min(i*100+j) AS p FROM u GROUP BY code) SELECT code, row_number() OVER (ORDER BY p) AS pos FROM f""")
+def _(s, d):
+    from pyspark.sql import Window
+
+    from placelark.sources import catalog
+
+    n = s.read.parquet(f"{d}/nation.parquet").join(s.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    countries = n.select(F.lower("n_name").alias("code"), F.lower("n_name").alias("path"), F.col("n_nationkey").cast("bigint").alias("size"), F.col("n_name").alias("name"))
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.lower("n_name").alias("code")))), lambda x: x["code"]), ",")
+    groups = n.groupBy(F.lower("r_name").alias("name")).agg(members.alias("members"))
+    return catalog.resolve("@asia,nation_3,@europe", countries, groups).select("code", F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("pos"))
+
+
+@query("alias_stats", "SELECT 'name:' || lang AS key, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) AS percent FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def _(s, d):
+    from placelark.operators import extract
+
+    tags = documents(s, d).select(F.when(F.col("lang").isNotNull(), F.create_map(F.concat(F.lit("name:"), "lang"), "source")).alias("tags"))
+    return extract.key_stats(tags).withColumn("percent", F.round("percent", 6))
+
+
+def _features(s, d):
+    """Anchors as tagged features: categories for points of interest, classes for places and streets, numbers for even ids."""
+    a = corpus.anchors(s, d)
+    kv = F.split("category", "=")
+    own = F.when(F.col("layer") == 2, F.create_map(F.get(kv, 0), F.get(kv, 1))).when(F.col("layer") == 1, F.create_map(F.lit("place"), "place_type")).otherwise(F.create_map(F.lit("highway"), F.lit("residential")))
+    number = F.when(F.col("anchor_id") % 2 == 0, F.create_map(F.lit("addr:housenumber"), F.col("anchor_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    tags = F.map_concat(F.create_map(F.lit("name"), "name", F.lit("addr:city"), "locality"), own, number)
+    f = a.select(F.lit("n").alias("osm_type"), F.col("anchor_id").alias("osm_id"), tags.alias("tags"), "lat", "lon", "country", F.lit(None).cast("array<struct<lat:double,lon:double>>").alias("ring"), F.lit(False).alias("ring_closed"))
+    return f.withColumn("category", features.poi_category(F.col("tags")))
+
+
+@query("records_from_tags", f"""WITH {ANCHORS}, r AS (SELECT 'osm:n' || anchor_id || '#poi' AS id, 'poi' AS layer, name || CASE WHEN locality <> '' AND lower(locality) <> lower(name) THEN ', ' || locality ELSE '' END AS display FROM anchors WHERE layer = 2 AND name <> ''
+UNION ALL SELECT 'osm:n' || anchor_id, 'address', anchor_id || CASE WHEN locality <> '' THEN ', ' || locality ELSE '' END FROM anchors WHERE anchor_id % 2 = 0
+UNION ALL SELECT 'osm:n' || anchor_id, 'place', name FROM anchors WHERE anchor_id % 2 = 1 AND layer = 1 AND name <> ''
+UNION ALL SELECT 'osm:n' || anchor_id, 'street', name || CASE WHEN locality <> '' THEN ', ' || locality ELSE '' END FROM anchors WHERE anchor_id % 2 = 1 AND layer = 0 AND name <> '') SELECT id, layer, display FROM r""")
+def _(s, d):
+    from placelark.operators import records
+
+    return records.from_tags(_features(s, d)).select("id", "layer", "display")
+
+
+@query("poi_profile", f"WITH {ANCHORS} SELECT category, count(*) AS n, count(*) AS nodes, CAST(0 AS BIGINT) AS ways, count(*) FILTER (WHERE anchor_id % 2 = 0) AS addressed FROM anchors WHERE layer = 2 AND name <> '' GROUP BY category")
+def _(s, d):
+    from placelark.operators import extract
+
+    return extract.poi_profile(_features(s, d))
+
+
+@query("filter_locally", f"WITH {ANCHORS}, p AS (SELECT anchor_id, concat_ws(', ', nullif(name,''), CASE WHEN lower(locality) <> lower(name) THEN nullif(locality,'') END, upper(country)) AS place_name FROM anchors) SELECT anchor_id, place_name FROM p WHERE contains({_foldsql('place_name')}, 'an')")
+def _(s, d):
+    from placelark.plans.geocoder import filter_locally
+
+    p = corpus.anchors(s, d).select("anchor_id", features.place_name(F.col("name"), F.lit(""), F.col("locality"), F.col("country")).alias("place_name"))
+    return filter_locally(p, F.lit("An"))
+
+
+@query("country_extent", f"WITH {ANCHORS}, {POINTS}, c AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM anchors WHERE country = 'de') SELECT point_id FROM points, c WHERE plat BETWEEN a - 500/111320.0 AND b + 500/111320.0 AND plon BETWEEN c - 500/111320.0/cos(radians(plat)) AND d + 500/111320.0/cos(radians(plat))")
+def _(s, d):
+    from placelark.plans.geocoder import within_coverage
+
+    return within_coverage(corpus.points(s, d).withColumn("country", F.lit("DE")), index.coverage(corpus.anchors(s, d)), 500.0).select("point_id")
+
+
+@query("latency_percentiles", "SELECT l_returnflag AS shape, round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.95), 6) AS p95, round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.99), 6) AS p99 FROM lineitem GROUP BY l_returnflag")
+def _(s, d):
+    v = F.col("l_quantity").cast("double")
+    return s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("shape")).agg(*[F.round(F.percentile(v, q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
