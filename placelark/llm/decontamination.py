@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +28,18 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+#: Letters of scripts that put no space between words.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def boundary(text: str, at: int) -> bool:
+    """Whether a word may end or begin at `at`: not between two letters or digits, unless one is of an unspaced script."""
+    if not 0 < at < len(text):
+        return True
+    a, b = text[at - 1], text[at]
+    return not (a.isalnum() and b.isalnum()) or bool(UNSPACED.match(a) or UNSPACED.match(b))
+
+
 def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """(distance, end) of the best match of pattern inside text, the first of equals; None above `most`. Bit-parallel over
     the pattern's positions."""
@@ -51,7 +65,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
-def _search(items):
+def _search(items, min_chars: int):
     """items: a broadcast list of (item id, normal text, budget)."""
 
     def run(batches):
@@ -68,9 +82,15 @@ def _search(items):
             for doc, raw in zip(pdf["_id"], pdf["_t"], strict=True):
                 text = normal(raw)
                 tried: dict[int, list[int]] = {}
+                short: dict[int, int] = {}
                 for end, (n, where) in machine.iter(text):
                     for i, a in where:
+                        if len(rows[i][1]) < min_chars:
+                            if i not in short and boundary(text, end + 1 - n) and boundary(text, end + 1):
+                                short[i] = end + 1
+                            continue
                         tried.setdefault(i, []).append(end + 1 - n - a)
+                out += [(doc, rows[i][0], 0, end, len(rows[i][1])) for i, end in short.items()]
                 for i, starts in tried.items():
                     item, pattern, k = rows[i]
                     j, best = text.find(pattern), None
@@ -100,8 +120,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Texts are compared in lower case with runs of white space as one space. Items are read in blocks of BLOCK_BYTES, each
     block against all documents, map-only: nothing is shuffled and no document meets another. Items under `min_chars`
-    code points, null or empty ones match nothing; null texts hold nothing; a null id is reported as null. Rows that
-    repeat give rows that repeat. An empty table gives no rows.
+    code points are matched without edits, from one word boundary to another. Null or empty items match nothing; null
+    texts hold nothing; a null id is reported as null. Rows that repeat give rows that repeat. An empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
@@ -109,15 +129,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     out, block, held = None, [], 0
 
     def add(block):
-        found = d.mapInPandas(_search(spark.sparkContext.broadcast(block)), schema)
+        found = d.mapInPandas(_search(spark.sparkContext.broadcast(block), min_chars), schema)
         return found if out is None else out.unionByName(found)
 
     for i, t in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).filter(F.col(item_text_col).isNotNull()).toLocalIterator():
         t = normal(t)
-        if len(t) < min_chars:
+        if not t:
             continue
-        block.append((i, t, len(t) // per_edit))
-        held += len(t)
+        block.append((i, t, len(t) // per_edit if len(t) >= min_chars else 0))
+        held += max(len(t), min_chars)  # a row costs as much, however short
         if held >= BLOCK_BYTES:
             out, block, held = add(block), [], 0
     if block:

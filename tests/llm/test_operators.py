@@ -229,6 +229,15 @@ def test_leaks(spark):
     assert decontamination.find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_short_leaks(spark):
+    texts = ["Q: Who wrote  Hamlet? A.", "问题：水的化学式是什么？答", "他说日本の首都はどこですかと", "the party", "an art, old", "who wrote hamlets", "2+2=45", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "水的化学式是什么？"), (3, "日本の首都はどこですか"), (4, "art"), (5, "who wrote hamlet"), (6, "2+2=4"), (7, " "), (8, "")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.distance, r.item_chars) for r in decontamination.find_leaks(d, items).collect()]
+    assert sorted(got) == [(0, 1, 0, 17), (0, 5, 0, 16), (1, 2, 0, 9), (2, 3, 0, 11), (4, 4, 0, 3)]
+    assert {r.doc_id for r in decontamination.decontaminate(d, items).collect()} == {3, 5, 6, 7}
+
+
 def test_planted_leaks_equal_substring_search(spark, docs):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
     norm = decontamination.normal
