@@ -1,24 +1,25 @@
 """HTML extraction by equivalence classes of tokens.
 
-A token is a tag, or a word, with its path of elements. Its occurrence vector, its count on each page of a host, is held as
-(pages, a sum of hashes of page and count): equal vectors have equal sums, and sums combine map-side. Tokens of one
-host with equal vectors are a class; a class that occurs on enough of the host's pages is valid. Classes that occur once a page
-nest by their paths into the template; what is between is slots. The container with most slot text is the article's, and
-slots inside it are extracted, without boilerplate elements and without words of valid classes that recur on every page.
+A token is an element, or a whole block of text, with its path of elements. Its occurrence vector, its count on each page of a
+host, is held as (pages, a sum of hashes of page and count): equal vectors have equal sums, and sums combine map-side. Tokens of one host with equal vectors are a class; a class that occurs on enough of the
+host's pages is valid. Elements of valid classes that occur once a page nest by their paths into the template; text that is no
+block of a valid class lies in its slots. The deepest node of the template above all slots bounds the text: everything in it is
+extracted, without boilerplate elements and without blocks of valid classes.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import pickle
 import re
+import zlib
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelark.llm.common import mix, table, written
+from placelark.llm.common import table, written
 
 # Elements without content, elements inside a line of text, raw elements, and boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,10 +41,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def blocks(source: str | None) -> list[tuple[str, bool, str]]:
-    """(path, boilerplate, text) of each block in page order. Broken nesting ends at the nearest open element of the name."""
+def blocks(source: str | None, opened: dict[int, str] | None = None) -> list[tuple[str, bool, str]]:
+    """(path, boilerplate, text) of each block in page order. Broken nesting ends at the nearest open element of the name.
+    `opened` takes the paths of the elements that hold text, by where they begin."""
     out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, int]] = []
     text: list[str] = []
     source = source or ""
     at, n = 0, len(source)
@@ -54,6 +56,11 @@ def blocks(source: str | None) -> list[tuple[str, bool, str]]:
             text.clear()
             if flat:
                 out.append(("/".join(x[1] for x in stack), any(x[2] for x in stack), flat))
+                if opened is not None:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][3] in opened:
+                            break
+                        opened[stack[i][3]] = "/".join(x[1] for x in stack[: i + 1])
 
     while at < n:
         m = PIECE.search(source, at)
@@ -95,48 +102,68 @@ def blocks(source: str | None) -> list[tuple[str, bool, str]]:
         elif stack and stack[-1][0] == "p":
             stack.pop()
         if not m[3].rstrip().endswith("/"):
-            stack.append((tag, tag + ("." + ".".join(sorted(label.split())) if label.strip() else ""), bad))
+            stack.append((tag, tag + ("." + ".".join(sorted(label.split())) if label.strip() else ""), bad, at))
     end_block()
     return out
 
 
-def container(path: str) -> str:
-    """The path down to the innermost article or main, else without its last element."""
-    parts = path.split("/")
-    for i in range(len(parts) - 1, -1, -1):
-        if MAIN.match(parts[i]):
-            return "/".join(parts[: i + 1])
-    return "/".join(parts[:-1])
+def bounded(own: list[tuple[str, bool, str]]) -> tuple[bool, list[tuple[str, str]]]:
+    """(whether article or main bounds the page, its blocks that are no boilerplate, within those bounds)."""
+    good = [(p, t) for p, bad, t in own if not bad]
+    main = [(p, t) for p, t in good if any(MAIN.match(x) for x in p.split("/"))]
+    return bool(main), main or good
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x) >> 1
+
+
+def _pages(batches):
+    """A page's content hash and packed tokens: (token, hash of a block's path or -1 for an element, path of an element, count, chars in
+    slots of pages without article or main, chars in slots of others)."""
+    for pdf in batches:
+        rows = []
+        for url, source in zip(pdf["_u"], pdf["_h"], strict=True):
+            opened: dict[int, str] = {}
+            own = blocks(source, opened)
+            is_main, slots = bounded(own)
+            held: dict[tuple, list] = {}
+
+            def add(key, n, chars):
+                got = held.setdefault(key, [0, 0, 0])
+                got[0] += n
+                got[1 + is_main] += chars
+
+            for path in opened.values():
+                add((_hash(path), -1, path), 1, 0)
+            for path, _, flat in own:
+                add((_hash(f"{path}\0{flat}"), _hash(path), ""), 1, 0)
+            for path, flat in slots:
+                add((_hash(path), -1, path), 0, len(flat))
+                add((_hash(f"{path}\0{flat}"), _hash(path), ""), 0, len(flat))
+            content = _hash("\0".join(f"{p}\0{t}" for p, t in slots))
+            rows.append((host_of(url), content, zlib.compress(pickle.dumps([(*k, *v) for k, v in held.items()]), 1)))
+        yield pd.DataFrame(rows, columns=["host", "content", "tokens"])
 
 
 def _tokens(batches):
-    """Occurrence sums of a chunk's tokens, by host: (host, token, path, pages, vector, chars)."""
+    """Occurrence sums of a chunk's tokens, by host: (host, token, at, path, pages, hits, vector, chars, main_chars)."""
     held: dict[tuple, list] = {}
 
     def flush():
         rows = [(*k, *v) for k, v in held.items()]
         held.clear()
-        return pd.DataFrame(rows, columns=["host", "token", "path", "pages", "vector", "chars"])
+        return pd.DataFrame(rows, columns=["host", "token", "at", "path", "pages", "hits", "vector", "chars", "main_chars"])
 
     for pdf in batches:
-        for page, url, source in zip(pdf["_p"], pdf["_u"], pdf["_h"], strict=True):
-            host, counts, chars = host_of(url), {}, {}
-            for path, bad, flat in blocks(source):
-                c = container(path)
-                key = (xxhash.xxh64_intdigest(path) >> 1, c)
-                counts[key] = counts.get(key, 0) + 1
-                if not bad:
-                    chars[key] = chars.get(key, 0) + len(flat)
-                key = (xxhash.xxh64_intdigest(f"{path}\0{flat}") >> 1, "")
-                counts[key] = counts.get(key, 0) + 1
-            for (token, c), n in counts.items():
-                v = int(mix(np.array([hash((page, n)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]) >> 24
-                got = held.setdefault((host, token, c), [0, 0, 0])
-                got[0] += 1
-                got[1] += v
-                got[2] += chars.get((token, c), 0)
-            got = held.setdefault((host, -1, ""), [0, 0, 0])
-            got[0] += 1
+        for host, content, packed in zip(pdf["host"], pdf["content"], pdf["tokens"], strict=True):
+            vectors: dict[int, int] = {}
+            for token, at, path, n, chars, main_chars in [(-1, -1, "", 1, 0, 0), *pickle.loads(zlib.decompress(packed))]:
+                if n not in vectors:
+                    vectors[n] = _hash(f"{content} {n}") >> 23
+                got = held.setdefault((host, token, at, path), [0, 0, 0, 0, 0])
+                for i, x in enumerate((1, n, vectors[n], chars, main_chars)):
+                    got[i] += x
         if len(held) > 200_000:
             yield flush()
     if held:
@@ -145,42 +172,56 @@ def _tokens(batches):
 
 def _cut(batches):
     for pdf in batches:
-        out = []
-        for source, path, fixed in zip(pdf["_h"], pdf["_path"], pdf["_fixed"], strict=True):
-            own = blocks(source)
-            good = [(p, t) for p, bad, t in own if not bad]
-            main = [(p, t) for p, t in good if any(MAIN.match(x) for x in p.split("/"))]
-            if main:
-                good = main
-            elif path and any(p == path or p.startswith(path + "/") for p, _ in good):
-                good = [(p, t) for p, t in good if p == path or p.startswith(path + "/")]
+        out, within = [], []
+        for source, path, main_path, fixed in zip(pdf["_h"], pdf["_path"], pdf["_main"], pdf["_fixed"], strict=True):
+            is_main, good = bounded(blocks(source))
+            within.append(main_path if is_main else path)
+            if not is_main and path:
+                good = [(p, t) for p, t in good if p == path or p.startswith(path + "/")] or good
             gone = set(fixed.tolist()) if fixed is not None else ()
             if len(gone):
-                good = [(p, t) for p, t in good if (xxhash.xxh64_intdigest(f"{p}\0{t}") >> 1) not in gone]
+                good = [(p, t) for p, t in good if _hash(f"{p}\0{t}") not in gone]
             out.append(" ".join(t for _, t in good))
-        yield pd.DataFrame({"_p": pdf["_p"], "_u": pdf["_u"], "text": out, "n_chars": [len(t) for t in out], "template": pdf["_path"]})
+        yield pd.DataFrame({"_p": pdf["_p"], "_u": pdf["_u"], "text": out, "n_chars": [len(t) for t in out], "template": within})
+
+
+def _template(tokens: DataFrame) -> DataFrame:
+    """(host, _path, _main, _fixed): the template's node above all slots of pages without article or main, that of the others, and the
+    blocks of valid classes; hosts of MIN_PAGES pages at least."""
+    hosts = tokens.filter((F.col("token") == -1) & (F.col("pages") >= MIN_PAGES)).select("host", F.col("pages").alias("n"))
+    tokens = tokens.filter("token <> -1")
+    valid = tokens.join(hosts, "host").filter(F.col("pages") >= F.col("n") * SUPPORT)
+    classes = valid.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("members")).filter("members >= 2").drop("members")
+    fixed = valid.filter("at <> -1").join(classes, ["host", "pages", "vector"], "left_semi")
+    inside = fixed.groupBy("host", F.col("at").alias("token")).agg(F.sum("chars").alias("_c"), F.sum("main_chars").alias("_m"))
+    # a path is a slot's if it has more text than that of valid classes; what all paths begin with, the first and the last do
+    slots = tokens.filter("at = -1 AND chars + main_chars > 0").join(hosts, "host", "left_semi").join(inside, ["host", "token"], "left")
+    left = lambda c, gone: F.when(F.col(c) > F.coalesce(gone, F.lit(0)), F.concat("path", F.lit("/")))
+    ends = slots.select("host", left("chars", "_c").alias("s"), left("main_chars", "_m").alias("m")).groupBy("host").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("m").alias("m0"), F.max("m").alias("m1"))
+    nodes = valid.filter("at = -1 AND hits = pages").select("host", "path")
+    above = lambda a, b: F.max(F.when(F.col(a).startswith(F.concat("path", F.lit("/"))) & F.col(b).startswith(F.concat("path", F.lit("/"))), F.struct(F.length("path").alias("l"), "path")))["path"]
+    found = ends.join(nodes, "host").groupBy("host").agg(above("s0", "s1").alias("_path"), above("m0", "m1").alias("_main"))
+    blocks_of = fixed.groupBy("host").agg(F.collect_list("token").alias("_fixed"))
+    return hosts.select("host").join(found, "host", "left").join(blocks_of, "host", "left").withColumn("_path", F.coalesce("_path", F.lit(""))).withColumn("_main", F.coalesce("_main", F.lit("")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: (page_id, url, text, n_chars, template: the container's path, null for hosts of few pages).
+    """One row per row of pages: (page_id, url, text, n_chars, template: the path of the template's node that bounds the page's text,
+    empty for the root, null for hosts of few pages).
 
     A null or empty page has the empty text; pages without a host form one host. A host's template is a row, replicated
-    over SALTS keys, so that a host with a third of all pages is spread; words are summed map-side and no page meets another.
+    over SALTS keys, so that a host with a third of all pages is spread; tokens are summed map-side and no page meets another.
     Repeated rows count as pages of their own. An empty table gives no rows.
     """
     p = pages.select(F.col(id_col).cast("long").alias("_p"), F.col(url_col).alias("_u"), F.col(html_col).alias("_h"))
-    sums = p.select(F.coalesce("_p", F.lit(-1)).alias("_p"), "_u", "_h").mapInPandas(_tokens, "host string, token long, path string, pages long, vector long, chars long")
-    tokens = written(sums.groupBy("host", "token", "path").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars")).filter(F.col("pages") >= MIN_PAGES), "tokens")
-    hosts = tokens.filter("token = -1").select("host", F.col("pages").alias("n"))
-    valid = tokens.filter("token <> -1").join(hosts, "host").filter(F.col("pages") >= F.col("n") * SUPPORT)
-    # text that recurs on every page, in a class of its own path's tag: template words
-    classes = valid.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("members"), F.sum(F.when(F.col("path") == "", 1).otherwise(0)).alias("words"), F.collect_set(F.when(F.col("path") == "", F.col("token"))).alias("fixed"))
-    fixed = classes.filter("members >= 2").groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("_fixed"))
-    slots = tokens.filter("path <> ''").groupBy("host", "path").agg(F.sum("chars").alias("chars")).filter("chars > 0").groupBy("host").agg(F.max(F.struct("chars", "path")).alias("best"))
-    template = slots.join(hosts, "host").join(fixed, "host", "left").select("host", F.col("best.path").alias("_path"), "_fixed").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    packed = p.select("_u", "_h").mapInPandas(_pages, "host string, content long, tokens binary")
+    sums = packed.mapInPandas(_tokens, "host string, token long, at long, path string, pages long, hits long, vector long, chars long, main_chars long")
+    total = sums.groupBy("host", "token", "at", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "hits", "vector", "chars", "main_chars")])
+    tokens = written(total.filter((F.col("pages") >= MIN_PAGES) | (F.col("at") == -1) & (F.col("chars") + F.col("main_chars") > 0)), "tokens")
+    template = _template(tokens).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("_u", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1), F.lit("")))
     keyed = p.withColumn("host", host).withColumn("_salt", F.pmod(F.xxhash64("_p", "_u"), F.lit(SALTS)).cast("int"))
-    out = keyed.join(template, ["host", "_salt"], "left").select("_p", "_u", "_h", "_path", "_fixed").mapInPandas(_cut, "_p long, _u string, text string, n_chars long, template string")
+    out = keyed.join(template, ["host", "_salt"], "left").select("_p", "_u", "_h", "_path", "_main", "_fixed").mapInPandas(_cut, "_p long, _u string, text string, n_chars long, template string")
     return out.select(F.col("_p").alias(id_col), F.col("_u").alias(url_col), "text", "n_chars", "template")
 
 

@@ -262,6 +262,22 @@ def test_html(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted([(1, text, len(text)), (1, text, len(text)), (0, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain text & more", 17)])
 
 
+def html_texts(spark, pages):
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+    return {r.page_id: r.text for r in got}
+
+
+def test_html_template_without_article(spark):
+    a = lambda i: f"<body><p>Site motto</p><div id=content><section id=intro><p>Intro {i}</p></section><section id=usage><p>Usage of thing {i}, longer</p></section></div><p>Site end</p></body>"
+    b = lambda i: f"<body><div class=top>Motto</div><div class=text><p>Before {i}</p><ul>{''.join(f'<li>Long entry {i} {k}</li>' for k in range(i + 2))}</ul><p>After {i}</p>{'<table><tr><td>rare</td></tr></table>' if i == 3 else ''}</div></body>"
+    pages = [(i, f"http://a.example/{i}", a(i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", b(i)) for i in range(6)]
+    got = html_texts(spark, pages)
+    for i in range(6):
+        assert got[i] == f"Intro {i} Usage of thing {i}, longer"
+        assert got[10 + i] == " ".join([f"Before {i}", *(f"Long entry {i} {k}" for k in range(i + 2)), f"After {i}"] + ["rare"] * (i == 3))
+
+
 def test_tool_calls(spark):
     call = '{"tool_calls":[{"id":"a","name":"reverse","arguments":{"lon":"2","lat":"1"}},{"id":"b","name":"reverse","arguments":{"lat":"north"}},{"id":"c","name":"fly","arguments":{}}]}'
     rows = [(1, 0, "user", "hello"), (1, 1, "tool", '{"tool_call_id":"a","content":"ok"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"zz","content":"?"}'), (2, 0, None, None), (None, None, "user", "{broken")]
