@@ -1,10 +1,11 @@
 """HTML extraction by equivalence classes of tokens.
 
 A token is an element, or a whole block of text, with its path of elements. Its occurrence vector, its count on each page of a
-host, is held as (pages, a sum of hashes of page and count): equal vectors have equal sums, and sums combine map-side. Tokens of one host with equal vectors are a class; a class that occurs on enough of the
+host, is held as (pages, a sum of hashes of page and count): equal vectors have equal sums, and sums combine map-side. Pages of a
+host with equal content count as one. Tokens of one host with equal vectors are a class; a class that occurs on enough of the
 host's pages is valid. Elements of valid classes that occur once a page nest by their paths into the template; text that is no
 block of a valid class lies in its slots. The deepest node of the template above all slots bounds the text: everything in it is
-extracted, without boilerplate elements and without blocks of valid classes.
+extracted, without boilerplate elements and without blocks of valid classes, unless a page holds nothing else.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def _cut(batches):
                 good = [(p, t) for p, t in good if p == path or p.startswith(path + "/")] or good
             gone = set(fixed.tolist()) if fixed is not None else ()
             if len(gone):
-                good = [(p, t) for p, t in good if _hash(f"{p}\0{t}") not in gone]
+                good = [(p, t) for p, t in good if _hash(f"{p}\0{t}") not in gone] or good
             out.append(" ".join(t for _, t in good))
         yield pd.DataFrame({"_p": pdf["_p"], "_u": pdf["_u"], "text": out, "n_chars": [len(t) for t in out], "template": within})
 
@@ -211,11 +212,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null or empty page has the empty text; pages without a host form one host. A host's template is a row, replicated
     over SALTS keys, so that a host with a third of all pages is spread; tokens are summed map-side and no page meets another.
-    Repeated rows count as pages of their own. An empty table gives no rows.
+    Pages with the same content, repeated rows among them, count as one page in the template, and each gives its row. An
+    empty table gives no rows.
     """
     p = pages.select(F.col(id_col).cast("long").alias("_p"), F.col(url_col).alias("_u"), F.col(html_col).alias("_h"))
-    packed = p.select("_u", "_h").mapInPandas(_pages, "host string, content long, tokens binary")
-    sums = packed.mapInPandas(_tokens, "host string, token long, at long, path string, pages long, hits long, vector long, chars long, main_chars long")
+    distinct = p.select("_u", "_h").mapInPandas(_pages, "host string, content long, tokens binary").groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+    sums = distinct.mapInPandas(_tokens, "host string, token long, at long, path string, pages long, hits long, vector long, chars long, main_chars long")
     total = sums.groupBy("host", "token", "at", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "hits", "vector", "chars", "main_chars")])
     tokens = written(total.filter((F.col("pages") >= MIN_PAGES) | (F.col("at") == -1) & (F.col("chars") + F.col("main_chars") > 0)), "tokens")
     template = _template(tokens).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

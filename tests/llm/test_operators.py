@@ -278,6 +278,17 @@ def test_html_template_without_article(spark):
         assert got[10 + i] == " ".join([f"Before {i}", *(f"Long entry {i} {k}" for k in range(i + 2)), f"After {i}"] + ["rare"] * (i == 3))
 
 
+def test_html_copies_keep_their_text(spark):
+    page = "<body><nav>menu</nav><article><h1>Title</h1><p>One text</p></article></body>"
+    near = "<head><link href=x{}></head><body><nav>menu {}</nav><div><h1>Title</h1><p>One text</p></div></body>"
+    other = "<body><article><p>Sign up</p><p>Text {}</p></article></body>"
+    pages = [(i, f"http://a.example/?q={i}", page) for i in range(7)] + [(10 + i, None, page) for i in range(6)] + [(20 + i, f"http://b.example/{i}", near.format(i, i)) for i in range(6)]
+    pages += [(30 + i, f"http://c.example/{i}", other.format(i)) for i in range(6)] + [(40 + i, f"http://c.example/c{i}", other.format(0)) for i in range(60)]
+    got = html_texts(spark, pages)
+    assert {got[i] for i in got if i < 30} == {"Title One text"}
+    assert all(got[30 + i] == f"Text {i}" for i in range(6)) and all(got[40 + i] == "Text 0" for i in range(60))
+
+
 def test_tool_calls(spark):
     call = '{"tool_calls":[{"id":"a","name":"reverse","arguments":{"lon":"2","lat":"1"}},{"id":"b","name":"reverse","arguments":{"lat":"north"}},{"id":"c","name":"fly","arguments":{}}]}'
     rows = [(1, 0, "user", "hello"), (1, 1, "tool", '{"tool_call_id":"a","content":"ok"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"zz","content":"?"}'), (2, 0, None, None), (None, None, "user", "{broken")]
