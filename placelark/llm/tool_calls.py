@@ -1,7 +1,8 @@
 """Chat formatting with tool-call linking. DataFrame functions only.
 
-A turn whose text is a JSON object with `tool_calls` ([{"id", "name", "arguments"}]) makes calls; one with `tool_call_id`
-(and `content`) is a result. Calls and results meet in a hash join on conversation and identifier; a result's place is
+A turn whose text is a JSON object with `tool_calls` ([{"id", "name", "arguments"}], or [{"id", "function": {"name",
+"arguments"}}], where arguments may be JSON in a string) makes calls; one with `tool_call_id` (and `content`) is a result; a turn may
+be both, and its calls may come with content. Calls and results meet in a hash join on conversation and identifier; a result's place is
 after its call, however the turns were recorded; arguments are checked against the tool's schema; every message is
 written as canonical JSON.
 """
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from placelark.llm.common import table
 
-PAYLOAD = "tool_calls array<struct<id:string,name:string,arguments:map<string,string>>>, tool_call_id string, content string"
+PAYLOAD = "tool_calls array<struct<id:string,name:string,arguments:variant,function:struct<name:string,arguments:variant>>>, tool_call_id string, content variant"
+#: Types of JSON values, as Spark names them, by type of argument. A number may also be a numeral in a string.
+KINDS = {"string": "STRING", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "integer": "BIGINT|DECIMAL\\(\\d+,0\\)", "boolean": "BOOLEAN"}
+NUMERAL = "^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"
 #: Tools by name: each argument's type (string, number, integer or boolean), required unless the type ends in `?`.
 TOOLS: dict[str, dict[str, str]] = {"search": {"query": "string", "limit": "integer?"}, "geocode": {"q": "string", "country": "string?"}, "reverse": {"lat": "number", "lon": "number"}}
 
@@ -21,16 +25,19 @@ TOOLS: dict[str, dict[str, str]] = {"search": {"query": "string", "limit": "inte
 def _valid(name, arguments, tools):
     """null if the arguments fit the schema, else what is wrong with the first, by name, that doesn't."""
     case = F.when(name.isNull(), F.lit("no name"))
+    named = F.try_variant_get(arguments, "$", "map<string,variant>")
+    keys = F.coalesce(F.map_keys(named), F.array().cast("array<string>"))
     for tool, schema in sorted(tools.items()):
         this = name == tool
-        keys = F.coalesce(F.map_keys(arguments), F.array().cast("array<string>"))
+        case = case.when(this & arguments.isNotNull() & ~F.is_variant_null(arguments) & named.isNull(), F.lit("arguments"))
         for arg, kind in sorted(schema.items()):
-            value, base = F.try_element_at(arguments, F.lit(arg)), kind.rstrip("?")
+            value, base = F.try_element_at(named, F.lit(arg)), kind.rstrip("?")
             if not kind.endswith("?"):
                 case = case.when(this & ~F.array_contains(keys, arg), F.lit(f"missing {arg}"))
-            test = {"string": None, "number": value.try_cast("double").isNull(), "integer": value.try_cast("bigint").isNull(), "boolean": ~F.lower(value).isin("true", "false")}[base]
-            if test is not None:
-                case = case.when(this & F.array_contains(keys, arg) & test, F.lit(f"type of {arg}"))
+            ok = F.schema_of_variant(value).rlike(f"^({KINDS[base]})$")
+            if base == "number":
+                ok = ok | (F.schema_of_variant(value) == "STRING") & F.try_variant_get(value, "$", "string").rlike(NUMERAL)
+            case = case.when(this & F.array_contains(keys, arg) & ~F.coalesce(ok, F.lit(False)), F.lit(f"type of {arg}"))
         case = case.when(this & (F.size(F.array_except(keys, F.array(*[F.lit(a) for a in sorted(schema)]).cast("array<string>"))) > 0), F.lit("unknown argument"))
     known = F.array(*[F.lit(t) for t in sorted(tools)])
     return case.when(~F.array_contains(known, name), F.lit("unknown tool"))
@@ -39,7 +46,8 @@ def _valid(name, arguments, tools):
 def link_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tools=TOOLS) -> DataFrame:
     """One row per message: (conv_id, turn, item, order_turn, order_item, role, call_id, status, json).
 
-    A turn with several calls gives a message a call, numbered by `item`; any other turn gives one. Messages of a
+    A turn with calls gives a message a call, numbered by `item`, and before them, as item -1, its result or else its content, if it has
+    one; any other turn gives one. JSON values keep their types. Messages of a
     conversation sort by (order_turn, order_item, turn, item): a result whose call comes later moves right behind it. Order
     is a key, not a rank, so a conversation with a third of all turns needs no task of its own. status: text, call,
     unanswered, result, orphan (no such call), or invalid: with the reason. Text that isn't such JSON is plain text; null
@@ -50,23 +58,26 @@ def link_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("_text"), F.when(looks, F.from_json(F.col(text_col), PAYLOAD)).alias("_p"))
     is_call = F.coalesce(F.size("_p.tool_calls") > 0, F.lit(False))
     calls = t.filter(is_call).select("conv_id", "turn", "role", F.posexplode("_p.tool_calls").alias("item", "_c"))
-    is_result = F.col("_p.tool_call_id").isNotNull() & ~is_call
-    results = t.filter(is_result).select("conv_id", "turn", "role", F.col("_p.tool_call_id").alias("call_id"), F.col("_p.content").alias("_content"))
-    plain = t.filter(~is_call & ~F.coalesce(F.col("_p.tool_call_id").isNotNull(), F.lit(False)))
+    given = F.coalesce("_c.arguments", "_c.function.arguments")
+    calls = calls.withColumn("_name", F.coalesce("_c.name", "_c.function.name")).withColumn("_arguments", F.coalesce(F.when(F.schema_of_variant(given) == "STRING", F.try_parse_json(F.try_variant_get(given, "$", "string"))), given))
+    is_result = F.col("_p.tool_call_id").isNotNull()
+    first_item = F.when(is_call, -1).otherwise(0).alias("item")
+    results = t.filter(is_result).select("conv_id", "turn", "role", first_item, F.col("_p.tool_call_id").alias("call_id"), F.col("_p.content").alias("_content"))
+    plain = t.filter(~is_call & ~F.coalesce(is_result, F.lit(False)))
+    said = t.filter(is_call & ~is_result & F.col("_p.content").isNotNull() & ~F.is_variant_null("_p.content"))
     answered = results.select("conv_id", "call_id").distinct().withColumn("_answered", F.lit(True))
-    calls = calls.withColumn("call_id", F.col("_c.id")).withColumn("_wrong", _valid(F.col("_c.name"), F.col("_c.arguments"), tools)).join(answered, ["conv_id", "call_id"], "left")
+    calls = calls.withColumn("call_id", F.col("_c.id")).withColumn("_wrong", _valid(F.col("_name"), F.col("_arguments"), tools)).join(answered, ["conv_id", "call_id"], "left")
     first = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item")).alias("_at"))
     linked = results.join(first, ["conv_id", "call_id"], "left")
-    args = F.map_from_entries(F.array_sort(F.map_entries("_c.arguments")))
     opts = {"ignoreNullFields": "false"}
     call_rows = calls.select(
         "conv_id", "turn", "item", F.col("turn").alias("order_turn"), F.col("item").alias("order_item"), "role", "call_id",
         F.when(F.col("_wrong").isNotNull(), F.concat(F.lit("invalid: "), "_wrong")).when(F.col("_answered").isNull(), "unanswered").otherwise("call").alias("status"),
-        F.to_json(F.struct(args.alias("arguments"), F.col("call_id").alias("id"), F.col("_c.name").alias("name"), "role"), opts).alias("json"),
+        F.to_json(F.struct(F.col("_arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("_name").alias("name"), "role"), opts).alias("json"),
     )
     moved = F.col("_at.turn") >= F.col("turn")
     result_rows = linked.select(
-        "conv_id", "turn", F.lit(0).alias("item"), F.when(moved, F.col("_at.turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(moved, F.col("_at.item")).otherwise(F.lit(0)).alias("order_item"), "role", "call_id",
+        "conv_id", "turn", "item", F.when(moved, F.col("_at.turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(moved, F.col("_at.item")).otherwise(F.col("item")).alias("order_item"), "role", "call_id",
         F.when(F.col("_at").isNull(), "orphan").otherwise("result").alias("status"),
         F.to_json(F.struct(F.col("_content").alias("content"), "role", F.col("call_id").alias("tool_call_id")), opts).alias("json"),
     )
@@ -74,7 +85,11 @@ def link_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
         "conv_id", "turn", F.lit(0).alias("item"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_item"), "role", F.lit(None).cast("string").alias("call_id"), F.lit("text").alias("status"),
         F.to_json(F.struct(F.col("_text").alias("content"), "role"), opts).alias("json"),
     )
-    return plain_rows.unionByName(call_rows).unionByName(result_rows)
+    said_rows = said.select(
+        "conv_id", "turn", F.lit(-1).alias("item"), F.col("turn").alias("order_turn"), F.lit(-1).alias("order_item"), "role", F.lit(None).cast("string").alias("call_id"), F.lit("text").alias("status"),
+        F.to_json(F.struct(F.col("_p.content").alias("content"), "role"), opts).alias("json"),
+    )
+    return plain_rows.unionByName(call_rows).unionByName(result_rows).unionByName(said_rows)
 
 
 def op8_tool_calls(spark, sf_dir):

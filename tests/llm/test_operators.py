@@ -300,6 +300,26 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_tool_calls_mixed_turns_and_types(spark):
+    import json
+
+    turns = [
+        {"content": "Let me look", "tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x", "limit": 3}}, {"id": "b", "function": {"name": "geocode", "arguments": '{"q": "Brno"}'}}]},
+        {"tool_call_id": "a", "content": {"hits": [1, 2.5, None, True]}, "tool_calls": [{"id": "c", "name": "search", "arguments": {"query": 5}}, {"id": "d", "name": "search", "arguments": {"query": "x", "limit": "3"}}]},
+        {"content": None, "tool_calls": [{"id": "e", "name": "reverse", "arguments": {"lon": 2, "lat": 1.5}}, {"id": "f", "name": "reverse", "arguments": {"lon": {"deg": [1]}, "lat": True}}, {"id": "g", "name": "search", "arguments": [1]}]},
+    ]
+    rows = [(1, i, "assistant", json.dumps(x)) for i, x in enumerate(turns)]
+    got = tool_calls.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r.turn, r.item): (r.call_id, r.status, json.loads(r.json)) for r in got}
+    assert len(by) == len(got) == 9
+    assert by[0, -1] == (None, "text", {"content": "Let me look", "role": "assistant"})
+    assert by[0, 0] == ("a", "call", {"arguments": {"limit": 3, "query": "x"}, "id": "a", "name": "search", "role": "assistant"})
+    assert by[0, 1] == ("b", "unanswered", {"arguments": {"q": "Brno"}, "id": "b", "name": "geocode", "role": "assistant"})
+    assert by[1, -1] == ("a", "result", {"content": {"hits": [1, 2.5, None, True]}, "role": "assistant", "tool_call_id": "a"})
+    assert [by[k][1] for k in [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]] == ["invalid: type of query", "invalid: type of limit", "unanswered", "invalid: type of lat", "invalid: arguments"]
+    assert by[2, 1][2]["arguments"] == {"lat": True, "lon": {"deg": [1]}}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
