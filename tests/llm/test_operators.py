@@ -190,6 +190,23 @@ def test_mix(docs):
     assert all(abs(taken[n] - goal[n]) <= 20 for n in names)
 
 
+def test_materialised_mix_meets_its_targets(spark):
+    n = lambda i: 20_000 if i == 77 else i % 120 + 3
+    rows = [(i, "w " * n(i), s) for s in "abc" for i in range(600)] + [(7, "w w w", "a")] * 2 + [(9_000, "", "a"), (9_001, "w w", None)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    planned = mixed.collect()
+    assert len(planned) == len(rows)
+    got = mixing.materialise(mixed, ["doc_id", "source", "size", "mix_shard"]).collect()
+    copies = collections.Counter((r.doc_id, r.source) for r in got)
+    assert all((r.taken > 0) == (copies[r.doc_id, r.source] > 0) and r.taken == r.size * len(r.mix_shards) for r in planned)
+    assert collections.Counter((r.doc_id, r.source, k) for r in planned for k in r.mix_shards) == collections.Counter((r.doc_id, r.source, r.mix_shard) for r in got)
+    for s in "abc":
+        words = sum(r.size for r in got if r.source == s)
+        goal = next(r.target for r in planned if r.source == s)
+        assert abs(words - goal) <= 20
+    assert {r.mix_shard for r in got} == set(range(16))
+
+
 def test_split_tree_is_exact():
     import numpy as np
 
