@@ -18,6 +18,29 @@ def cell_key(lat: Column, lon: Column) -> Column:
     return (F.floor(lat / CELL) + ORIGIN) * STRIDE + F.floor(lon / CELL) + ORIGIN
 
 
+def reach(metres: Column) -> Column:
+    """Degrees of latitude that cover a distance, a little more."""
+    return F.degrees(metres / EARTH_M) * 1.0001
+
+
+def near_rows(lat: Column, metres: Column, step: Column) -> Column:
+    """Rows of height `step` within a distance."""
+    return F.sequence(F.floor((lat - reach(metres)) / step), F.floor((lat + reach(metres)) / step))
+
+
+def column_of(lon: Column, n: Column) -> Column:
+    """The column of a longitude, of n round the globe."""
+    return F.pmod(F.floor((lon + 180) * n / 360), n.cast("long"))
+
+
+def near_columns(lat: Column, lon: Column, metres: Column, n: Column) -> Column:
+    """Columns of n round the globe within a distance: the more, the nearer to a pole; all, if it lies within."""
+    s, c = F.sin(F.radians(reach(metres))), F.cos(F.radians(lat))
+    wide = F.when(s < c, F.degrees(F.asin(F.least(s / c, F.lit(1.0)))) * 1.0001).otherwise(F.lit(180.0))
+    lo, hi = F.floor((lon - wide + 180) * n / 360), F.floor((lon + wide + 180) * n / 360)
+    return F.transform(F.sequence(lo, F.least(hi, lo + n.cast("long") - 1)), lambda x: F.pmod(x, n.cast("long")))
+
+
 def bbox_distance_m(lat, lon, min_lat, min_lon, max_lat, max_lon) -> Column:
     zero = F.lit(0.0)
     dy = F.greatest(min_lat - lat, lat - max_lat, zero) * METRES_PER_DEGREE

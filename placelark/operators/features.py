@@ -55,11 +55,10 @@ def catchment(rows: DataFrame, places: DataFrame, keep_all: bool = True) -> Data
     p = places.withColumn("km", lookup(F.col("place_type"), CATCHMENT_KM, None)).filter("km IS NOT NULL")
     p = p.select("country", "km", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place_id")
     step = lambda km: F.greatest(km / 111.32, F.lit(0.005))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    wide = lambda km: step(km) * 3  # noqa: E731  longitude up to 70 degrees
-    p = p.withColumn("oy", F.explode(around)).withColumn("ox", F.explode(around)).withColumn("cy", F.floor(F.col("plat") / step(F.col("km"))) + F.col("oy")).withColumn("cx", F.floor(F.col("plon") / wide(F.col("km"))) + F.col("ox")).drop("oy", "ox")
+    n = lambda km: F.floor(120 / step(km))  # noqa: E731  columns three times as wide as high
+    p = p.withColumn("cy", F.explode(geo.near_rows(F.col("plat"), F.col("km") * 1000, step(F.col("km"))))).withColumn("cx", F.explode(geo.near_columns(F.col("plat"), F.col("plon"), F.col("km") * 1000, n(F.col("km")))))
     classes = sorted(set(CATCHMENT_KM.values()))
-    r = rows.withColumn("km", F.explode(F.array(*[F.lit(x) for x in classes]))).withColumn("cy", F.floor(F.col("lat") / step(F.col("km")))).withColumn("cx", F.floor(F.col("lon") / wide(F.col("km"))))
+    r = rows.withColumn("km", F.explode(F.array(*[F.lit(x) for x in classes]))).withColumn("cy", F.floor(F.col("lat") / step(F.col("km")))).withColumn("cx", geo.column_of(F.col("lon"), n(F.col("km"))))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) / 1000
     best = r.join(p, ["country", "km", "cy", "cx"]).withColumn("s", d / F.col("km")).filter("s <= 1").groupBy("id").agg(F.min(F.struct("s", (-F.col("km")).alias("k"), "place_id"))["place_id"].alias("place_id"))
     return rows.join(best, "id", "left" if keep_all else "inner")

@@ -33,11 +33,9 @@ def nearest(points: DataFrame, features: DataFrame, limit: int = 5, radius: floa
     r, out, left = min(150.0, radius), None, points
     while True:
         step = r / geo.METRES_PER_DEGREE
-        wide = step / math.cos(math.radians(66))
-        cy, cx = (lambda c: F.floor(F.col(c) / step)), (lambda c: F.floor(F.col(c) / wide))
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        p = left.select("point_id", *on, F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("oy", F.explode(around)).withColumn("ox", F.explode(around)).withColumn("cy", cy("plat") + F.col("oy")).withColumn("cx", cx("plon") + F.col("ox")).drop("oy", "ox")
-        f = features.select("feature_id", *on, "lat", "lon").withColumn("cy", cy("lat")).withColumn("cx", cx("lon"))
+        n = F.lit(max(1, int(360 * math.cos(math.radians(66)) / step)))
+        p = left.select("point_id", *on, F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cy", F.explode(geo.near_rows(F.col("plat"), F.lit(r), F.lit(step)))).withColumn("cx", F.explode(geo.near_columns(F.col("plat"), F.col("plon"), F.lit(r), n)))
+        f = features.select("feature_id", *on, "lat", "lon").withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", geo.column_of(F.col("lon"), n))
         d = geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
         hits = p.join(f, ["cy", "cx", *on]).withColumn("distance_m", d).filter(F.col("distance_m") <= r).select("point_id", "feature_id", "distance_m")
         last = r >= radius

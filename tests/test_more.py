@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from placelark.functions import query
-from placelark.operators import render, shapes
+from placelark.functions.priors import CATCHMENT_KM
+from placelark.operators import features, render, reverse, shapes
 from placelark.sources import catalog
 from placelark.streaming import geocode
 
@@ -81,3 +82,28 @@ def test_stream(spark, tmp_path):
 def test_debounce_is_one_row_a_session(spark):
     df = spark.sql("SELECT * FROM VALUES ('u', 'p', timestamp'2024-01-01 00:00:00.000'), ('u', 'pr', timestamp'2024-01-01 00:00:00.100'), ('u', 'x', timestamp'2024-01-01 00:00:05') AS t(user, q, ts)")
     assert sorted(r.q for r in geocode.debounce(df).select(F.col("q")).collect()) == ["pr", "x"]
+
+
+def test_nearest_and_catchment_far_north(spark):
+    def metres(a, b):
+        (la, lo), (lb, lp) = (tuple(math.radians(x) for x in p) for p in (a, b))
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2))
+
+    kind, km = min(CATCHMENT_KM.items(), key=lambda x: x[1])
+    points = [(10 * i + j, lat, lon) for i, lat in enumerate((0.0, 47.0, 70.0, 80.0, -80.0, 89.99)) for j, lon in enumerate((18.9001, 20.01, 179.999, -179.9999))]
+    for radius in (2000.0, km * 1000.0):
+        feats = []
+        for i, lat, lon in points:
+            at = math.degrees(radius / 6371008.8)
+            for k in (0.85, 0.95, 0.9995):
+                dlon = 2 * math.degrees(math.asin(min(1.0, math.sin(math.radians(at * k) / 2) / math.cos(math.radians(lat)))))
+                feats += [(lat, (lon + s * dlon + 180) % 360 - 180) for s in (-1, 1)] + [(min(90.0, lat + k * at), lon)]
+        feats = [(1000 + i, *x) for i, x in enumerate(feats)]
+        p = spark.createDataFrame(points, "point_id long, lat double, lon double")
+        f = spark.createDataFrame(feats, "feature_id long, lat double, lon double")
+        want = {(a, b) for a, *x in points for b, *y in feats if metres(x, y) <= radius}
+        assert {(r.point_id, r.feature_id) for r in reverse.nearest(p, f, 1000, radius).collect()} == want
+    rows = spark.createDataFrame([(b, "no", y, x) for b, y, x in feats], "id long, country string, lat double, lon double")
+    places = spark.createDataFrame([(a, "no", kind, y, x) for a, y, x in points], "place_id long, country string, place_type string, lat double, lon double")
+    got = {r.id for r in features.catchment(rows, places, keep_all=False).collect()}
+    assert got == {b for _, b in want}
