@@ -66,13 +66,15 @@ def rules(text_col: str = "text") -> list[Rule]:
     t = F.coalesce(F.col(text_col), F.lit(""))
     letters = F.char_length(F.regexp_replace(t, "[^\\p{L}]+", ""))
     capitals = F.char_length(F.regexp_replace(t, "[^\\p{Lu}]+", ""))
+    distinct = F.size(F.array_distinct("_words")).cast("long")
     return [
         Rule("symbols", F.col("n_symbols") * 10 > F.col("word_chars")),
         Rule("duplicate_lines", (F.col("_n_lines") >= 5) & (F.col("n_dup_lines") * 10 > F.col("_n_lines") * 4)),
         Rule("long_words", F.col("word_chars") > F.col("n_words") * 40),
         Rule("capitals", (letters > 50) & (capitals * 10 > letters * 7)),
         Rule("no_letters", letters * 4 < F.col("word_chars")),
-        Rule("few_words", (F.col("n_words") >= 20) & (F.size(F.array_distinct("_words")) * 20 < F.col("n_words")) & (F.col("n_words") < 2000)),
+        # a twentieth of the words, and from 2,000 on the root of five times the words: vocabulary grows with the root of a text's length
+        Rule("few_words", (F.col("n_words") >= 20) & (distinct * 20 < F.col("n_words")) & (distinct * distinct < F.col("n_words") * 5)),
     ]
 
 

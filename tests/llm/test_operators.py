@@ -158,6 +158,16 @@ def test_quality(docs):
         assert r.kept == (r.rejected_by is None) and not (failed and r.kept)
 
 
+def test_quality_few_words_at_any_length(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda n, k: " ".join(f"word{chr(97 + x % 26)}{x}" for x in (rng.randrange(k) for _ in range(n)))
+    cases = [(1, text(1999, 90)), (2, text(2000, 90)), (3, text(5000, 100)), (4, text(20_000, 250)), (5, text(5000, 400)), (6, text(20_000, 2000)), (7, text(1000, 300))]
+    got = {r.doc_id: r.rejected_by for r in quality_rules.apply_rules(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert got == {1: "few_words", 2: "few_words", 3: "few_words", 4: "few_words", 5: None, 6: None, 7: None}
+
+
 def test_quality_keeps_good_labels(spark, docs):
     good = spark.read.parquet(f"{DIR}/labels.parquet").filter("quality = 1").join(quality_rules.apply_rules(docs), "doc_id")
     assert good.filter("NOT kept AND NOT base_failed").count() == 0
