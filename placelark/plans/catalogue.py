@@ -408,6 +408,15 @@ def _(s, d):
     return r.select("shape_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
 
 
+@query("representative_point_all")
+def _(s, d):
+    """Of every shape, the concave ones too."""
+    from placelark.operators import shapes
+
+    r = corpus.shapes(s, d).select("shape_id", shapes.representative_point(F.col("ring")).alias("p"))
+    return r.select("shape_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
+
+
 @query("geojson_collection")
 def _(s, d):
     from placelark.operators import render

@@ -107,3 +107,23 @@ def test_nearest_and_catchment_far_north(spark):
     places = spark.createDataFrame([(a, "no", kind, y, x) for a, y, x in points], "place_id long, country string, place_type string, lat double, lon double")
     got = {r.id for r in features.catchment(rows, places, keep_all=False).collect()}
     assert got == {b for _, b in want}
+
+
+def test_representative_point_of_every_shape(spark):
+    from placelark.plans import catalogue
+    from placelark.sources import corpus
+
+    d = "/root/testdata/sf0.001"
+    rings = {r.shape_id: [(p.lat, p.lon) for p in r.ring] for r in corpus.shapes(spark, d).select("shape_id", "ring").collect()}
+    got = {r.shape_id: (r.lat, r.lon) for r in catalogue.QUERIES["representative_point_all"](spark, d).collect()}
+    assert got.keys() == rings.keys() and any(k % 2 for k in got)
+    for k, ring in rings.items():  # by midpoints of strips between the vertices' latitudes
+        a = y = x = 0.0
+        cuts = sorted({p[0] for p in ring})
+        for lo, hi in zip(cuts, cuts[1:]):
+            mid = (lo + hi) / 2
+            xs = sorted(p[1] for p, q in zip(ring, ring[1:] + ring[:1]) if (p[0] > mid) != (q[0] > mid))
+            for w, e in zip(xs[::2], xs[1::2]):
+                s = (hi - lo) * (e - w)
+                a, y, x = a + s, y + s * mid, x + s * (w + e) / 2
+        assert got[k] == pytest.approx((y / a, x / a), abs=2e-6)
