@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
+import re
 import tempfile
 import uuid
 import zlib
@@ -31,38 +31,71 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset: the folder set on the context, or a local one if the driver is
+    the only machine, as in tests; on a cluster it raises."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        d = os.path.join(tempfile.gettempdir(), "placelark-checkpoints")
-        spark.sparkContext.setCheckpointDir(d)
+    if d:
+        return d
+    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if got.isDefined():
+        return got.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    d = os.path.join(tempfile.gettempdir(), "placelark-checkpoints")
+    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/placelark/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/placelark/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that no later plan reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables of `written` that this application still has: when its results have been stored."""
+    _delete(spark, _own_dir(spark))
 
-#: Bits of the filter that keeps rows that have no partner out of a join: 4 MB, whatever the input.
-FILTER_LOG2 = 25
+
+def values(batch, name: str):
+    """Values of a column of an Arrow batch, one at a time: long texts aren't all held as Python strings."""
+    return (x.as_py() for x in batch.column(name))
+
+
+#: Bits of the filter that keeps rows that have no partner out of a join: ten an id, between these bounds (128 MB at most).
+MIN_FILTER_LOG2, MAX_FILTER_LOG2 = 20, 30
 
 
 def probably_in(ids: DataFrame, c: Column) -> Column:
-    """Whether c may be in ids (_id): a Bloom filter of fixed size, merged on the executors. Never false for a member; a
-    full filter is always true, and the join behind it decides then."""
-    mask, spark = (1 << FILTER_LOG2) - 1, ids.sparkSession
-    at = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask).cast("long")) for k in (0, 19, 38)]
+    """Whether c may be in ids (_id): a Bloom filter sized by the number of ids and merged on the executors. Never false for a
+    member; a full filter is always true, and the join behind it decides then."""
+    spark = ids.sparkSession
+    log2 = min(MAX_FILTER_LOG2, max(MIN_FILTER_LOG2, (ids.count() * 10).bit_length()))
+    mask = (1 << log2) - 1
+    at = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask).cast("long")) for k in (0, 17, 34)]
     bits = ids.select(F.explode(F.array(*at(F.xxhash64("_id")))).alias("p"))
     words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63L AS int))")).alias("b")).toPandas()
-    own = np.zeros(1 << FILTER_LOG2 - 6, np.int64)
-    own[words["w"].to_numpy()] = words["b"].to_numpy()
+    own = np.zeros(1 << log2 - 6, np.int64)
+    own[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(zlib.compress(own.tobytes(), 1))
 
     @F.pandas_udf("boolean")
@@ -70,7 +103,7 @@ def probably_in(ids: DataFrame, c: Column) -> Column:
         words = np.frombuffer(zlib.decompress(shared.value), np.uint64)
         for h in batches:
             u, hit = h.to_numpy().view(np.uint64), True
-            for k in (0, 19, 38):
+            for k in (0, 17, 34):
                 p = u >> np.uint64(k) & np.uint64(mask)
                 hit = hit & ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1)
             yield pd.Series(hit)
@@ -127,3 +160,19 @@ def window_hashes(norm: bytes, width: int, bases: tuple[int, ...] = BASES[:1]) -
         np.cumsum(v * p[: len(norm)], out=acc[1:])
         out.append(mix((acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(base)))
     return out
+
+
+#: Windows of a part of a text: what is hashed at once, however long the text.
+PART_WINDOWS = 500_000
+
+
+def parts(norm: bytes, width: int, most: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(first window, bytes) of parts of a normed text, which overlap by a window less a word: each window is in one part."""
+    most = most or PART_WINDOWS
+    if len(norm) <= most:  # no more windows than bytes
+        yield 0, norm
+        return
+    s, e = word_bounds(norm)
+    n = len(s) - width + 1
+    for a in range(0, n, most):
+        yield a, norm[s[a] : e[min(n, a + most) + width - 2]]
