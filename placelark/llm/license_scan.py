@@ -6,12 +6,12 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelark.llm.common import table
+from placelark.llm.common import table, values
 
 # The words of a text, and the phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,7 +33,8 @@ def scanner(base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, per_
         cuts = [len(phrase) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             where.setdefault(phrase[a:b], []).append((len(fuzzy), a))
-        fuzzy.append((phrase, label, k, regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase)}){{e<={k}}}(?![^ ])")))
+        # the first match, then the best fit of it: each notice of a window is a span of its own
+        fuzzy.append((phrase, label, k, regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(phrase)}){{e<={k}}}(?![^ ])")))
     for s, w in where.items():
         seeds.add_word(s, (len(s), w))
     seeds.make_automaton()
@@ -45,9 +46,11 @@ def scanner(base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, per_
         line = f" {flat} "
         starts, base_labels = [], set()
         for p, label in padded.items():
-            at = line.find(p)
+            at, before, n = line.find(p), 0, 0
             while at >= 0:
-                starts.append(line.count(" ", 0, at))
+                n += line.count(" ", before, at)  # words before, counted once
+                before = at
+                starts.append(n)
                 base_labels.add(label)
                 at = line.find(p, at + 1)
         tried: dict[int, list[int]] = {}
@@ -60,16 +63,16 @@ def scanner(base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, per_
             windows: list[list[int]] = []
             for s in sorted(offsets):
                 lo, hi = max(0, s - k), min(len(flat), s + len(phrase) + k)
-                while lo and flat[lo - 1] != " ":
-                    lo -= 1
+                lo = flat.rfind(" ", 0, lo) + 1  # from a word's begin to a word's end
+                end = flat.find(" ", hi)
+                hi = end if end >= 0 else len(flat)
                 if windows and lo <= windows[-1][1]:
                     windows[-1][1] = max(hi, windows[-1][1])
                 else:
                     windows.append([lo, hi])
             for lo, hi in windows:
-                m = pattern.search(flat, lo, hi)
-                if m:
-                    spans.append((m.start(), m.end(), label, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / len(phrase)))
+                for m in pattern.finditer(line, lo, hi + 1):  # from the space before: the library inserts nothing where a search begins
+                    spans.append((m.start() - 1, m.end() - 1, label, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / len(phrase)))
         score = 1.0 if base_labels else max((x[4] for x in spans), default=0.0)
         return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {x[2] for x in spans})), score, sorted(spans)
 
@@ -79,21 +82,24 @@ def scanner(base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, per_
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, notices=NOTICES, per_error: int = PER_ERROR) -> DataFrame:
     """One row per row of docs: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
-    Spans are code points of the words joined by single spaces, with label and edits. Map-only: each whole text is read
-    once. A null or empty text has no words, empty labels and score 0; ids may be null or repeat. An empty table gives no rows.
+    Spans are code points of the words joined by single spaces, with label and edits; a window of seeds gives all its
+    matches, not the best alone. Map-only: each whole text is read once, and a very long one is held alone. A null or empty
+    text has no words, empty labels and score 0; ids may be null or repeat, and other columns are ignored. An empty table gives no rows.
     """
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+    kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("edits", pa.int32())]))
 
     def run(batches):
         scan = scanner(base, notices, per_error)
-        for pdf in batches:
-            out = pd.DataFrame([scan(t) for t in pdf["_t"]], columns=names, dtype=object)
-            out["spans"] = [[{"start": s, "end": e, "label": x, "edits": n} for s, e, x, n, _ in row] for row in out["spans"]]
-            yield out.assign(_id=pdf["_id"].to_numpy())
+        for batch in batches:
+            *columns, spans = zip(*(scan(t) for t in values(batch, "_t")), strict=True) if batch.num_rows else [()] * (len(kinds) + 1)
+            spans = [[{"start": s, "end": e, "label": x, "edits": n} for s, e, x, n, _ in row] for row in spans]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, span), batch.column("_id")], [*kinds, "spans", "_id"])
 
     schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string,edits:int>>, _id long"
-    got = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, schema)
-    return got.select(F.col("_id").alias(id_col), *names)
+    got = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, schema)
+    return got.select(F.col("_id").alias(id_col), *kinds, "spans")
 
 
 def op3_license_scan(spark, sf_dir):
