@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelark.llm.common import table
+from placelark.llm.common import table, values
 
 #: Bytes of benchmark texts that one block of patterns may hold: what is broadcast, whatever the table's size.
 BLOCK_BYTES = 16 << 20
@@ -65,54 +65,67 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
-def _search(items, min_chars: int):
-    """items: a broadcast list of (item id, normal text, budget)."""
-
-    def run(batches):
-        machine, rows = ahocorasick.Automaton(), items.value
-        at: dict[str, list] = {}
-        for i, (_, text, k) in enumerate(rows):
-            for a, p in pieces(text, k):
-                at.setdefault(p, []).append((i, a))
-        for p, where in at.items():
-            machine.add_word(p, (len(p), where))
-        machine.make_automaton()
-        for pdf in batches:
-            out = []
-            for doc, raw in zip(pdf["_id"], pdf["_t"], strict=True):
-                text = normal(raw)
-                tried: dict[int, list[int]] = {}
-                short: dict[int, int] = {}
-                for end, (n, where) in machine.iter(text):
-                    for i, a in where:
-                        if len(rows[i][1]) < min_chars:
-                            if i not in short and boundary(text, end + 1 - n) and boundary(text, end + 1):
-                                short[i] = end + 1
-                            continue
-                        tried.setdefault(i, []).append(end + 1 - n - a)
-                out += [(doc, rows[i][0], 0, end, len(rows[i][1])) for i, end in short.items()]
-                for i, starts in tried.items():
-                    item, pattern, k = rows[i]
-                    j, best = text.find(pattern), None
-                    if j >= 0:
-                        best = (0, j + len(pattern))
+def searcher(rows: list[tuple[int, str, int]], min_chars: int):
+    """A function from a text to (item, distance, end, length) of the best match of each item (id, normal text, budget) that it holds."""
+    machine = ahocorasick.Automaton()
+    at: dict[str, list] = {}
+    for i, (_, text, k) in enumerate(rows):
+        for a, p in pieces(text, k):
+            at.setdefault(p, []).append((i, a))
+    for p, where in at.items():
+        machine.add_word(p, (len(p), where))
+    machine.make_automaton()
+
+    def search(raw: str | None) -> list[tuple[int, int, int, int]]:
+        text = normal(raw)
+        tried: dict[int, list[int]] = {}
+        short: dict[int, int] = {}
+        for end, (n, where) in machine.iter(text):
+            for i, a in where:
+                if len(rows[i][1]) < min_chars:
+                    if i not in short and boundary(text, end + 1 - n) and boundary(text, end + 1):
+                        short[i] = end + 1
+                    continue
+                tried.setdefault(i, []).append(end + 1 - n - a)
+        out = [(rows[i][0], 0, end, len(rows[i][1])) for i, end in short.items()]
+        for i, starts in tried.items():
+            item, pattern, k = rows[i]
+            j, best = text.find(pattern), None
+            if j >= 0:
+                best = (0, j + len(pattern))
+            else:
+                spans: list[list[int]] = []
+                for s in sorted(starts):  # overlapping windows are searched once
+                    lo, hi = max(0, s - k), min(len(text), s + len(pattern) + k)
+                    if spans and lo <= spans[-1][1]:
+                        spans[-1][1] = max(hi, spans[-1][1])
                     else:
-                        spans: list[list[int]] = []
-                        for s in sorted(starts):  # overlapping windows are searched once
-                            lo, hi = max(0, s - k), min(len(text), s + len(pattern) + k)
-                            if spans and lo <= spans[-1][1]:
-                                spans[-1][1] = max(hi, spans[-1][1])
-                            else:
-                                spans.append([lo, hi])
-                        for lo, hi in spans:
-                            got = myers(pattern, text[lo:hi], k)
-                            if got and (best is None or got[0] < best[0]):
-                                best = (got[0], lo + got[1])
-                    if best:
-                        out.append((doc, item, best[0], best[1], len(pattern)))
-            yield pd.DataFrame(out, columns=["_id", "item_id", "distance", "end_char", "item_chars"]).astype({"_id": "Int64", "item_id": "Int64"})
-
-    return run
+                        spans.append([lo, hi])
+                for lo, hi in spans:
+                    got = myers(pattern, text[lo:hi], k)
+                    if got and (best is None or got[0] < best[0]):
+                        best = (got[0], lo + got[1])
+            if best:
+                out.append((item, *best, len(pattern)))
+        return out
+
+    return search
+
+
+def item_blocks(items: DataFrame, item_col: str, item_text_col: str, per_edit: int, min_chars: int):
+    """Broadcast lists of (id, normal text, budget), of BLOCK_BYTES each, read one after another."""
+    spark, block, held = items.sparkSession, [], 0
+    for i, t in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).filter(F.col(item_text_col).isNotNull()).toLocalIterator():
+        t = normal(t)
+        if not t:
+            continue
+        block.append((i, t, len(t) // per_edit if len(t) >= min_chars else 0))
+        held += max(len(t), min_chars)  # a row costs as much, however short
+        if held >= BLOCK_BYTES:
+            yield spark.sparkContext.broadcast(block)
+            block, held = [], 0
+    if block:
+        yield spark.sparkContext.broadcast(block)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", per_edit: int = PER_EDIT, min_chars: int = 40) -> DataFrame:
@@ -121,38 +134,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Texts are compared in lower case with runs of white space as one space. Items are read in blocks of BLOCK_BYTES, each
     block against all documents, map-only: nothing is shuffled and no document meets another. Items under `min_chars`
     code points are matched without edits, from one word boundary to another. Null or empty items match nothing; null
-    texts hold nothing; a null id is reported as null. Rows that repeat give rows that repeat. An empty table gives no rows.
+    texts hold nothing; a null id is reported as null; a very long text is searched whole, alone. Rows that repeat give rows that
+    repeat. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     schema = "_id long, item_id long, distance int, end_char int, item_chars int"
-    out, block, held = None, [], 0
+    out = docs.sparkSession.createDataFrame([], schema)
 
-    def add(block):
-        found = d.mapInPandas(_search(spark.sparkContext.broadcast(block), min_chars), schema)
-        return found if out is None else out.unionByName(found)
+    def found(block):
+        def run(batches):
+            search = searcher(block.value, min_chars)
+            for batch in batches:
+                rows = [(n, *hit) for n, t in enumerate(values(batch, "_t")) for hit in search(t)]
+                at, *columns = zip(*rows, strict=True) if rows else [()] * 5
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_id", "item_id", "distance", "end_char", "item_chars"])
 
-    for i, t in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).filter(F.col(item_text_col).isNotNull()).toLocalIterator():
-        t = normal(t)
-        if not t:
-            continue
-        block.append((i, t, len(t) // per_edit if len(t) >= min_chars else 0))
-        held += max(len(t), min_chars)  # a row costs as much, however short
-        if held >= BLOCK_BYTES:
-            out, block, held = add(block), [], 0
-    if block:
-        out = add(block)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+        return run
+
+    for block in item_blocks(items, item_col, item_text_col, per_edit, min_chars):
+        out = out.unionByName(d.mapInArrow(found(block), schema))
     return out.withColumnRenamed("_id", id_col)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without those that hold an item. Rows with a null id are judged by their own text, like all others."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("_key", key)
-    bad = find_leaks(keyed, items, id_col="_key", **kw).select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").drop("_key")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", per_edit: int = PER_EDIT, min_chars: int = 40) -> DataFrame:
+    """docs without those that hold an item, as find_leaks finds it. Map-only: each row is judged by its own text, so ids may be null or
+    repeat, and rows go through whole, whatever their other columns. A null text stays; an empty table gives no rows."""
+
+    def clean(block):
+        def run(batches):
+            search = searcher(block.value, min_chars)
+            for batch in batches:
+                yield batch.filter(pa.array([not search(t) for t in values(batch, text_col)], pa.bool_()))
+
+        return run
+
+    for block in item_blocks(items, item_col, item_text_col, per_edit, min_chars):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark, sf_dir):
