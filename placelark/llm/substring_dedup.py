@@ -13,15 +13,15 @@ the exact pass. Its size follows the input up to MAX_CELLS_LOG2.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelark.llm.common import BASES, mix, n_partitions, probably_in, table, window_hashes, written
+from placelark.llm.common import BASES, discard, mix, n_partitions, parts, probably_in, table, values, window_hashes, written
 
 #: Cells of a row of the sketch: about one for each word, between these bounds; merged, a bit each on every worker
 #: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
@@ -60,22 +60,24 @@ def _sketch(cells_log2: int, width: int):
         for own, n in zip(np.split(all_cells, cuts), np.split(counts, cuts), strict=True):
             gaps = np.diff(own, prepend=own[0] >> BLOCK_LOG2 << BLOCK_LOG2).astype(np.uint32)
             out.append((int(own[0] >> BLOCK_LOG2), zlib.compress(gaps.tobytes(), 1), zlib.compress(np.packbits(n > 1).tobytes(), 1), len(own)))
-        return pd.DataFrame(out, columns=["block", "gaps", "twice", "n"])
+        blocks, gaps, twice, n = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(gaps, pa.binary()), pa.array(twice, pa.binary()), pa.array(n, pa.int32())], ["block", "gaps", "twice", "n"])
 
     def run(batches):
         held, n = [], 0
-        for pdf in batches:
-            for t in pdf["_t"]:
+        for batch in batches:
+            for t in values(batch, "_t"):
                 norm, k = _normed(t)
                 if k < width:
                     continue
-                g, low, high = _runs(norm, width)
-                held.append(_cells(g[np.unique(low)], 0, cells_log2))
-                held.append(_cells(g[np.unique(high)], 1, cells_log2))
-                n += len(held[-1]) + len(held[-2])
-                if n >= CHUNK_WINDOWS:
-                    yield flush(held)
-                    held, n = [], 0
+                for _, part in parts(norm, width):
+                    g, low, high = _runs(part, width)
+                    held.append(_cells(g[np.unique(low)], 0, cells_log2))
+                    held.append(_cells(g[np.unique(high)], 1, cells_log2))
+                    n += len(held[-1]) + len(held[-2])
+                    if n >= CHUNK_WINDOWS:
+                        yield flush(held)
+                        held, n = [], 0
         if held:
             yield flush(held)
 
@@ -94,51 +96,62 @@ def _merge(batches):
         yield pd.DataFrame({"block": [b], "bits": [zlib.compress(np.packbits(c > 1).tobytes(), 1)]})
 
 
+_FOUND = pa.schema([("_k", pa.int64()), ("_d", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("starts", pa.binary())])
+
+
 def _candidates(bits, cells_log2: int, width: int):
+    def rows(k, d, h1, h2, start, starts, n):
+        null = lambda x, i: pa.nulls(n, _FOUND.types[i]) if x is None else pa.array(x, _FOUND.types[i])
+        return pa.RecordBatch.from_arrays([null(x, i) for i, x in enumerate((k, d, h1, h2, start, starts))], schema=_FOUND)
+
     def flush(held):
-        h1, h2 = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-        start = np.concatenate([x[3] for x in held])
-        who = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[1]) for x in held])
-        ids = np.array([x[0] for x in held], np.int64)
+        h1, h2 = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        start = np.concatenate([x[4] for x in held])
+        who = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
+        ids, texts = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
         held.clear()
-        order = np.lexsort((start, ids[who], h2, h1))
+        order = np.lexsort((start, texts[who], ids[who], h2, h1))
         first = np.ones(len(order), bool)
         first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        w, v = who[order], who[lead]  # equal rows are one document: the same start of it is no repeat
         again = np.zeros(len(order), bool)
-        again[order[~first]] = True
-        f = order[first]
-        del order, first
+        again[order[(start[order] != start[lead]) | (ids[w] != ids[v]) | (texts[w] != texts[v])]] = True
+        f = np.sort(order[first])  # by document: its columns compress
+        del order, first, lead, w, v
         for a in range(0, len(f), BATCH_ROWS):
             own = f[a : a + BATCH_ROWS]
-            yield pd.DataFrame({"_k": ids[who[own]], "h1": h1[own].view(np.int64), "h2": h2[own].view(np.int64), "start": start[own].astype(np.int32), "starts": None})
+            yield rows(ids[who[own]], texts[who[own]], h1[own].view(np.int64), h2[own].view(np.int64), start[own], None, len(own))
         del h1, h2, f
         cut = np.flatnonzero(np.diff(who)) + 1
-        local = [(int(ids[w[0]]), s[a].astype(np.int32).tobytes()) for w, s, a in zip(np.split(who, cut), np.split(start, cut), np.split(again, cut), strict=True) if a.any()]
+        local = [(ids[w[0]], texts[w[0]], s[a].astype(np.int32).tobytes()) for w, s, a in zip(np.split(who, cut), np.split(start, cut), np.split(again, cut), strict=True) if a.any()]
         if local:
-            yield pd.DataFrame({"_k": [x[0] for x in local], "h1": None, "h2": None, "start": None, "starts": [x[1] for x in local]})
+            k, d, starts = zip(*local, strict=True)
+            yield rows(k, d, None, None, None, starts, len(local))
 
     def run(batches):
         table_ = np.frombuffer(zlib.decompress(bits.value), np.uint8)
         held, n = [], 0
-        for pdf in batches:
-            for k, t in zip(pdf["_k"], pdf["_t"], strict=True):
+        for batch in batches:
+            for k, d, t in zip(values(batch, "_k"), values(batch, "_d"), values(batch, "_t"), strict=True):
                 norm, m = _normed(t)
                 if m < width:
                     continue
-                g, low, high = _runs(norm, width)
-                hit = True
-                for row, own in ((0, low), (1, high)):
-                    cell = _cells(g, row, cells_log2)
-                    hit = hit & (table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)[own]
-                at = np.flatnonzero(hit)
-                if not len(at):
-                    continue
-                h1, h2 = window_hashes(norm, width, BASES)
-                held.append((k, h1[at], h2[at], at.astype(np.int32)))
-                n += len(at)
-                if n >= CHUNK_WINDOWS:
-                    yield from flush(held)
-                    n = 0
+                for first, part in parts(norm, width):
+                    g, low, high = _runs(part, width)
+                    hit = True
+                    for row, own in ((0, low), (1, high)):
+                        cell = _cells(g, row, cells_log2)
+                        hit = hit & (table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)[own]
+                    at = np.flatnonzero(hit)
+                    if not len(at):
+                        continue
+                    h1, h2 = window_hashes(part, width, BASES)
+                    held.append((k, d, h1[at], h2[at], (at + first).astype(np.int32)))
+                    n += len(at)
+                    if n >= CHUNK_WINDOWS:
+                        yield from flush(held)
+                        n = 0
         if held:
             yield from flush(held)
 
@@ -146,23 +159,25 @@ def _candidates(bits, cells_log2: int, width: int):
 
 
 def _keep(width: int):
+    def one(t, starts, many):
+        words = t.encode("utf-8", "surrogatepass").split() if t else []
+        at = [np.asarray(starts, np.int64)] if starts else []
+        at += [np.frombuffer(x, np.int32).astype(np.int64) for x in many or ()]
+        if at:
+            edge = np.zeros(len(words) + 1, np.int64)
+            for x in at:
+                np.add.at(edge, x, 1)
+                np.add.at(edge, x + width, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            kept = [w for w, g in zip(words, gone, strict=True) if not g]
+        else:
+            kept = words
+        return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for t, starts, many in zip(pdf["_t"], pdf["_starts"], pdf["_many"], strict=True):
-                words = t.encode("utf-8", "surrogatepass").split() if t else []
-                at = [np.asarray(starts, np.int64)] if starts is not None and len(starts) else []
-                at += [np.frombuffer(x, np.int32).astype(np.int64) for x in (many if many is not None else [])]
-                if not at:
-                    out.append((len(words), 0, b" ".join(words).decode("utf-8", "replace")))
-                    continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                for x in at:
-                    np.add.at(edge, x, 1)
-                    np.add.at(edge, x + width, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                out.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "replace")))
-            yield pd.DataFrame({"_id": pdf["_id"], "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
+        for batch in batches:
+            columns = zip(*(one(*x) for x in zip(*(values(batch, c) for c in ("_t", "_starts", "_many")), strict=True)), strict=True) if batch.num_rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -170,39 +185,37 @@ def _keep(width: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, cells_log2: int | None = None) -> DataFrame:
     """One row per row of docs: (id, n_words, n_removed, kept text, words joined by one space).
 
-    A null text has no words; texts shorter than a window are kept. A null id counts as the smallest. Rows that repeat an
-    id count as one document, whose first start stays: equal rows of one id are cut alike, at repeats inside it only.
-    A window of a third of all documents is one row a chunk. An empty table gives no rows.
+    A null text has no words; texts shorter than a window are kept; a very long one is hashed in parts. A document is a row's id
+    and text: null ids come first, and rows of one id with different texts follow each other by a hash of the text. Equal
+    rows are one document and cut alike. A window of a third of all documents is one row a chunk. Other columns are ignored.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), F.col(text_col).alias("_t"))
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64(text_col).alias("_d"), F.col(text_col).alias("_t"))
     n = n_partitions(spark)
     if cells_log2 is None:  # a word is six bytes or more, mostly
         size = d.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
         cells_log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, (size // 6).bit_length()))
     cells_log2 = max(cells_log2, BLOCK_LOG2)
-    sketched = d.select("_t").mapInPandas(_sketch(cells_log2, width), "block int, gaps binary, twice binary, n int")
+    sketched = d.select("_t").mapInArrow(_sketch(cells_log2, width), "block int, gaps binary, twice binary, n int")
     merged = sketched.repartition(n, "block").mapInPandas(_merge, "block int, bits binary")
     bits = np.zeros((2 << cells_log2 - BLOCK_LOG2, 1 << BLOCK_LOG2 - 3), np.uint8)
     for b, x in merged.toLocalIterator():  # of bounded size, whatever the input
         bits[b] = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
-    found = written(d.select("_k", "_t").mapInPandas(_candidates(shared, cells_log2, width), "_k long, h1 long, h2 long, start int, starts binary"), "windows")
-    order = Window.partitionBy("h1", "h2").orderBy("_k", "start")
-    later = found.filter("starts IS NULL").select("_k", "h1", "h2", "start").withColumn("_prev", F.lag("start").over(order)).filter("_prev IS NOT NULL").select("_k", "start")
-    pieces = later.select("_k", "start", F.lit(None).cast("binary").alias("starts")).unionByName(found.filter("starts IS NOT NULL").select("_k", F.lit(None).cast("int").alias("start"), "starts"))
-    repeats = written(pieces.groupBy("_k").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many")), "repeats")
+    found = written(d.select("_k", "_d", "_t").mapInArrow(_candidates(shared, cells_log2, width), "_k long, _d long, h1 long, h2 long, start int, starts binary"), "windows")
+    order = Window.partitionBy("h1", "h2").orderBy("_k", "_d", "start")
+    later = found.filter("starts IS NULL").select("_k", "_d", "h1", "h2", "start").withColumn("_rank", F.rank().over(order)).filter("_rank > 1").select("_k", "_d", "start")
+    pieces = later.select("_k", "_d", "start", F.lit(None).cast("binary").alias("starts")).unionByName(found.filter("starts IS NOT NULL").select("_k", "_d", F.lit(None).cast("int").alias("start"), "starts"))
+    repeats = written(pieces.groupBy("_k", "_d").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many")), "repeats")
+    discard(found)
     # only texts that lose words meet their starts: the others aren't shuffled
-    marked = d.withColumn("_in", probably_in(repeats.select(F.col("_k").alias("_id")), F.col("_k")))
-    cut = marked.filter("_in").join(repeats, "_k", "left").select("_id", "_t", "_starts", "_many")
+    marked = d.withColumn("_in", probably_in(repeats.select(F.xxhash64("_k", "_d").alias("_id")), F.xxhash64("_k", "_d")))
+    cut = marked.filter("_in").join(repeats, ["_k", "_d"], "left").select("_id", "_t", "_starts", "_many")
     whole = marked.filter("NOT _in").select("_id", "_t", F.lit(None).cast("array<int>").alias("_starts"), F.lit(None).cast("array<binary>").alias("_many"))
-    out = cut.unionByName(whole).mapInPandas(_keep(width), "_id long, n_words long, n_removed long, kept string")
+    out = cut.unionByName(whole).mapInArrow(_keep(width), "_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", id_col)
 
 
 def op6_substring_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
