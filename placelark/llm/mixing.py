@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from placelark.llm.common import table, written
 from placelark.llm.quality_rules import words_of
 
-#: Sources that the driver may plan for; beyond it the operator refuses instead of collecting without a bound.
-MAX_SOURCES = 100_000
-#: Blocks of a source at most, however large it is: what the driver holds is bounded by sources, not by documents.
-BLOCKS = 256
+#: Sources that the driver may plan for; beyond it the operator refuses, before it collects anything.
+MAX_SOURCES = 65_536
+#: Blocks of a source, however large it is, and of all sources together: what the driver holds and broadcasts, a row a block.
+BLOCKS, ALL_BLOCKS = 256, 1 << 20
 #: So many words of a source's target are left to single documents, chosen so that their sum comes nearest.
 TAIL_WORDS, EXACT_WORDS = 4096, 65536
 
@@ -84,18 +84,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources go by code point, null last. Word counts alone are summed, by source and block, combined map-side: a source
     with a third of all rows is `blocks` rows a task. A document without words has taken 0. Blocks follow from the id and
-    the source (null ids hash like any), so reruns agree; rows of one id and source are drawn together. The driver holds
-    sources x blocks sums, refused beyond MAX_SOURCES sources. An empty table gives no rows. Columns of docs named like a
-    result are replaced.
+    the source (null ids hash like any), so reruns agree; rows of one id and source are drawn together. Texts are not shuffled: the
+    plan is broadcast, ALL_BLOCKS rows at most, as many sources have fewer blocks each; the operator refuses beyond MAX_SOURCES
+    sources. mix_order is a seeded hash: sorting by it is a shuffle. A very long text is counted whole. An empty table gives no
+    rows. Columns of docs named like a result are replaced.
     """
     docs = docs.drop(*[c for c in ("size", "source_size", "target", "taken", "passes", "part", "mix_shard", "mix_shards", "mix_order", "_block", "_no") if c not in (id_col, text_col, source_col)])
     spark = docs.sparkSession
+    sources = docs.select(source_col).distinct().count()
+    if sources > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    blocks = max(1, min(blocks, ALL_BLOCKS // max(1, sources)))
     sized = docs.withColumn("size", F.size(words_of(F.col(text_col))).cast("long")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)), F.lit(blocks)).cast("int")).withColumn("mix_order", F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(source_col)))
     units = written(sized.select(F.col(source_col).alias("_s"), "_block", "mix_order", "size").groupBy("_s", "_block", "mix_order").agg(F.sum("size").alias("size")), "units")
-    got = units.groupBy("_s", "_block").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")).limit(MAX_SOURCES * blocks + 1).collect()
+    got = units.groupBy("_s", "_block").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")).collect()  # ALL_BLOCKS rows at most
     names = sorted({r[0] for r in got if r[0] is not None}) + [None] * any(r[0] is None for r in got)
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     words, count = np.zeros((len(names), blocks), np.int64), [0] * len(names)
     at = {s: i for i, s in enumerate(names)}
     for s, b, n, k in got:
@@ -138,15 +141,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a few documents of each size that are not drawn once more
     edge = F.broadcast(spark.createDataFrame([(names[i], upto.get(i, (None, 0))[0], x - upto.get(i, (None, 0))[1]) for i, (_, x, _) in last.items()], "_s2 string, _upto long, _rest double"))
     spare = ahead.join(edge, F.col("_s").eqNullSafe(F.col("_s2"))).filter("size > 0 AND size <= 2 * _rest AND NOT (_block = _lblock AND size <= _long AND coalesce(mix_order <= _upto, false))")
-    spare = spare.join(plan.select(F.col("_source").alias("_s3"), "_pblock", "_once"), F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("_block") == F.col("_pblock")), "left").filter("coalesce(_once, 0) = 0")
+    spare = spare.join(F.broadcast(plan.select(F.col("_source").alias("_s3"), "_pblock", "_once")), F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("_block") == F.col("_pblock")), "left").filter("coalesce(_once, 0) = 0")
     found = spare.groupBy("_s", F.floor(4 * F.log2("size")).alias("_size"), F.pmod("mix_order", F.lit(8)).alias("_k")).agg(F.min(F.struct("mix_order", "size")).alias("u")).select("_s", "u.size", "u.mix_order").collect()
     spares: dict[int, list[tuple[int, int]]] = {}
     for s, n, h in found:
         spares.setdefault(at[s], []).extend([(n, h)] * max(1, min(2, cap - whole[at[s]][0])))
     fills = {i: fill(x - upto.get(i, (None, 0))[1], spares.get(i, [])) for i, (_, x, _) in last.items()}
     by_source = spark.createDataFrame([(n, size[i], goal[i], *(last[i][::2] if i in last else (None, None)), upto.get(i, (None,))[0], fills.get(i, []), last_shard.get(i)) for i, n in enumerate(names)], "_s2 string, source_size long, target double, _lblock int, _long double, _upto long, _fills array<long>, _lshard int")
-    out = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_pblock")), "left")
-    out = out.join(by_source, F.col(source_col).eqNullSafe(F.col("_s2")), "left")
+    out = sized.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_pblock")), "left")
+    out = out.join(F.broadcast(by_source), F.col(source_col).eqNullSafe(F.col("_s2")), "left")
     ahead = (F.col("_block") == F.col("_lblock")) & (F.col("size") <= F.col("_long")) & (F.col("mix_order") <= F.col("_upto"))
     more = F.when(ahead, 1).otherwise(0) + F.size(F.filter("_fills", lambda h: h == F.col("mix_order")))
     none = F.array().cast("array<int>")
