@@ -16,11 +16,12 @@ import re
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelark.llm.common import table, written
+from placelark.llm.common import table, values, written
 
 # Elements without content, elements inside a line of text, raw elements, and boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,12 +30,14 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 DROP = frozenset("nav header footer aside form menu dialog head".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommended|comments?|replies|disqus|widget|toolbar|skip)(?:$|[\s_-])", re.I)
 MAIN = re.compile(r"^(?:article|main)\b")
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]+)", re.I)
 #: A class is valid on this share of a host's pages, and on so many pages at least.
 SUPPORT, MIN_PAGES = 0.9, 5
-SALTS = 16
+#: Templates up to this size are broadcast. Beyond it they are shuffled, and a host with more than this share of all pages (there are fewer
+#: such hosts than its inverse) is dealt to keys of SALT_PAGES pages.
+BROADCAST_BYTES, HOT_SHARE, SALT_PAGES = 32 << 20, 1e-3, 4096
 
 
 def host_of(url: str | None) -> str:
@@ -122,9 +125,9 @@ def _hash(x: str) -> int:
 def _pages(batches):
     """A page's content hash and packed tokens: (token, hash of a block's path or -1 for an element, path of an element, count, chars in
     slots of pages without article or main, chars in slots of others)."""
-    for pdf in batches:
+    for batch in batches:
         rows = []
-        for url, source in zip(pdf["_u"], pdf["_h"], strict=True):
+        for url, source in zip(values(batch, "_u"), values(batch, "_h"), strict=True):
             opened: dict[int, str] = {}
             own = blocks(source, opened)
             is_main, slots = bounded(own)
@@ -144,7 +147,8 @@ def _pages(batches):
                 add((_hash(f"{path}\0{flat}"), _hash(path), ""), 0, len(flat))
             content = _hash("\0".join(f"{p}\0{t}" for p, t in slots))
             rows.append((host_of(url), content, zlib.compress(pickle.dumps([(*k, *v) for k, v in held.items()]), 1)))
-        yield pd.DataFrame(rows, columns=["host", "content", "tokens"])
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["host", "content", "tokens"])
 
 
 def _tokens(batches):
@@ -172,18 +176,19 @@ def _tokens(batches):
 
 
 def _cut(batches):
-    for pdf in batches:
+    for batch in batches:
         out, within = [], []
-        for source, path, main_path, fixed in zip(pdf["_h"], pdf["_path"], pdf["_main"], pdf["_fixed"], strict=True):
+        for source, path, main_path, fixed in zip(*(values(batch, c) for c in ("_h", "_path", "_main", "_fixed")), strict=True):
             is_main, good = bounded(blocks(source))
             within.append(main_path if is_main else path)
             if not is_main and path:
                 good = [(p, t) for p, t in good if p == path or p.startswith(path + "/")] or good
-            gone = set(fixed.tolist()) if fixed is not None else ()
-            if len(gone):
+            if fixed:
+                gone = set(fixed)
                 good = [(p, t) for p, t in good if _hash(f"{p}\0{t}") not in gone] or good
             out.append(" ".join(t for _, t in good))
-        yield pd.DataFrame({"_p": pdf["_p"], "_u": pdf["_u"], "text": out, "n_chars": [len(t) for t in out], "template": within})
+        columns = pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(within, pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("_p"), batch.column("_u"), *columns], ["_p", "_u", "text", "n_chars", "template"])
 
 
 def _template(tokens: DataFrame) -> DataFrame:
@@ -203,29 +208,41 @@ def _template(tokens: DataFrame) -> DataFrame:
     above = lambda a, b: F.max(F.when(F.col(a).startswith(F.concat("path", F.lit("/"))) & F.col(b).startswith(F.concat("path", F.lit("/"))), F.struct(F.length("path").alias("l"), "path")))["path"]
     found = ends.join(nodes, "host").groupBy("host").agg(above("s0", "s1").alias("_path"), above("m0", "m1").alias("_main"))
     blocks_of = fixed.groupBy("host").agg(F.collect_list("token").alias("_fixed"))
-    return hosts.select("host").join(found, "host", "left").join(blocks_of, "host", "left").withColumn("_path", F.coalesce("_path", F.lit(""))).withColumn("_main", F.coalesce("_main", F.lit("")))
+    return hosts.join(found, "host", "left").join(blocks_of, "host", "left").withColumn("_path", F.coalesce("_path", F.lit(""))).withColumn("_main", F.coalesce("_main", F.lit("")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: (page_id, url, text, n_chars, template: the path of the template's node that bounds the page's text,
     empty for the root, null for hosts of few pages).
 
-    A null or empty page has the empty text; pages without a host form one host. A host's template is a row, replicated
-    over SALTS keys, so that a host with a third of all pages is spread; tokens are summed map-side and no page meets another.
-    Pages with the same content, repeated rows among them, count as one page in the template, and each gives its row. An
-    empty table gives no rows.
+    A null or empty page has the empty text; pages without a host form one host. Templates are broadcast while they are small,
+    by their measured size; else they meet the pages in a shuffled join in which a host with many pages has many keys. Tokens are
+    summed map-side and no page meets another. Pages with the same content, repeated rows among them, count as one page in the
+    template, and each gives its row. A very long page is parsed alone; other columns are ignored. An empty table gives no rows.
     """
     p = pages.select(F.col(id_col).cast("long").alias("_p"), F.col(url_col).alias("_u"), F.col(html_col).alias("_h"))
-    distinct = p.select("_u", "_h").mapInPandas(_pages, "host string, content long, tokens binary").groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+    distinct = p.select("_u", "_h").mapInArrow(_pages, "host string, content long, tokens binary").groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
     sums = distinct.mapInPandas(_tokens, "host string, token long, at long, path string, pages long, hits long, vector long, chars long, main_chars long")
     total = sums.groupBy("host", "token", "at", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "hits", "vector", "chars", "main_chars")])
     tokens = written(total.filter((F.col("pages") >= MIN_PAGES) | (F.col("at") == -1) & (F.col("chars") + F.col("main_chars") > 0)), "tokens")
-    template = _template(tokens).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    template = written(_template(tokens), "templates")
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("_u", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1), F.lit("")))
-    keyed = p.withColumn("host", host).withColumn("_salt", F.pmod(F.xxhash64("_p", "_u"), F.lit(SALTS)).cast("int"))
-    out = keyed.join(template, ["host", "_salt"], "left").select("_p", "_u", "_h", "_path", "_main", "_fixed").mapInPandas(_cut, "_p long, _u string, text string, n_chars long, template string")
+    keyed = p.withColumn("host", host)
+    size = template.agg(F.sum(F.length("host") + F.length("_path") + F.length("_main") + 8 * F.coalesce(F.size("_fixed"), F.lit(0)) + 64)).first()[0] or 0
+    met = keyed.join(F.broadcast(template), "host", "left") if size <= BROADCAST_BYTES else _salted(keyed, template)
+    out = met.select("_p", "_u", "_h", "_path", "_main", "_fixed").mapInArrow(_cut, "_p long, _u string, text string, n_chars long, template string")
     return out.select(F.col("_p").alias(id_col), F.col("_u").alias(url_col), "text", "n_chars", "template")
 
 
+def _salted(keyed: DataFrame, template: DataFrame) -> DataFrame:
+    """keyed with the columns of its host's template, in a shuffled join; `copies` counts pages of a host however often they repeat."""
+    n = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("copies"))
+    most = (keyed.count() or 1) * HOT_SHARE
+    hot = F.broadcast(n.filter(F.col("copies") > most).select("host", F.ceil(F.col("copies") / SALT_PAGES).cast("int").alias("_salts")))
+    spread = template.join(hot, "host", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    own = keyed.join(hot, "host", "left").withColumn("_salt", F.pmod(F.xxhash64("_p", "_u", "_h"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    return own.join(spread.hint("shuffle_hash"), ["host", "_salt"], "left")
+
+
 def op1_html_extract(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
