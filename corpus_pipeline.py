@@ -1,4 +1,9 @@
-"""A corpus from raw documents: quality rules, near-duplicates, benchmark passages, source weights, shards."""
+"""A corpus from raw documents: quality rules, near-duplicates, benchmark passages, source weights, shards.
+
+Every stage judges whole texts of all rows that it is given, and takes nulls in any column, empty and very long texts, repeated rows and
+empty tables. Rows travel whole, as one struct where an operator adds columns of its own, so that columns of documents with the
+name of such a column come through unchanged.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +12,36 @@ from pyspark.sql import functions as F
 from placelark.llm.common import table, written
 from placelark.llm.decontamination import decontaminate
 from placelark.llm.mixing import materialise, mix
-from placelark.llm.near_dedup import near_duplicates
-from placelark.llm.quality_rules import apply_rules
+from placelark.llm.near_dedup import keep_one
+from placelark.llm.quality_rules import verdicts
 from placelark.llm.sharding import shuffle_shards
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that no rule rejects."""
-    return apply_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that no rule rejects, base rules among them. A null or empty text is too short and goes; rows are judged one by one, so
+    repeated rows and null ids share the fate of their text."""
+    return verdicts(docs.select(F.struct("*").alias("row"), "text")).filter("kept").select("row.*")
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies, that of the smallest id."""
-    lost = near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, that of the smallest id, and one of rows that repeat an id and a text. Null and wordless
+    texts are near to nothing and stay, as do rows with a null id."""
+    return keep_one(docs)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents without a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents without a benchmark item, up to its edits. Null and empty texts stay, null and empty items are in no document."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark, docs, sf_dir):
-    """Documents as often as the mix takes them."""
-    return materialise(mix(docs), docs.columns)
+    """Documents as often as the mix takes them, three times at most; a document without words is not taken. A null source is a source."""
+    mixed = mix(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"))
+    return materialise(mixed, ["row"]).select("row.*")
 
 
 def sharding(spark, docs, sf_dir):
-    """Documents with shard and slot."""
+    """Documents with shard and slot, which replace columns of these names."""
     return shuffle_shards(docs)
 
 
