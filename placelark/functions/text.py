@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 SINGLES = {"ł": "l", "đ": "d", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "İ": "i", "ς": "σ"}
 CYRILLIC = {
-    **dict(zip("абвгдђежзијклљмнњопрстћуфхцчџш", "a b v g d dj e z z i j k l lj m n nj o p r s t c u f h c c dz s".split(), strict=True)),
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "ђ": "dj", "е": "e", "ж": "z", "з": "z", "и": "i", "ј": "j", "к": "k", "л": "l", "љ": "lj", "м": "m", "н": "n", "њ": "nj", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "ћ": "c", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "c", "џ": "dz", "ш": "s",
     "ѓ": "gj", "ќ": "kj", "ѕ": "dz", "ѐ": "e", "ѝ": "i", "ё": "e", "є": "e", "і": "i", "ї": "i", "й": "j", "ґ": "g", "ў": "u", "щ": "s", "ы": "y", "э": "e", "ю": "u", "я": "a", "ь": "", "ъ": "a",
 }
 ABBREVIATIONS = {
@@ -103,20 +103,55 @@ def _lists(f, kind):
     return run
 
 
-def fold(c: Column) -> Column:
-    """The folded text; null stays null."""
+def _odd(c: Column) -> Column:
+    """Whether a text has a character that the table does not fold."""
+    known = "".join(sorted({**_LATIN, **CYRILLIC, **{k: v for k, v in SINGLES.items() if k not in "ςİ"}}))
+    return F.coalesce(c.rlike(f"[^\\x00-\\x7f{known}{known.upper().replace('SS', '')}–—‘’“”¿¡]"), F.lit(False))
+
+
+def _folded(c: Column) -> Column:
+    """fold of texts that are not odd."""
     low = F.lower(c)
     one = {k: v for k, v in {**_LATIN, **CYRILLIC, **SINGLES}.items() if len(v) == 1 and k not in "ςİ"}
     native = F.translate(low, "".join(one), "".join(one.values()))
     several = {k: v for k, v in {**CYRILLIC, **SINGLES}.items() if len(v) != 1 and k not in "ςİ"}
     for k, v in several.items():
         native = F.replace(native, F.lit(k), F.lit(v))
-    native = F.trim(F.regexp_replace(native, "[^a-z0-9]+", " "))
-    known = "".join(sorted({**_LATIN, **CYRILLIC, **{k: v for k, v in SINGLES.items() if k not in "ςİ"}}))
-    odd = c.rlike(f"[^\\x00-\\x7f{known}{known.upper().replace('SS', '')}–—‘’“”¿¡]")
+    return F.trim(F.regexp_replace(native, "[^a-z0-9]+", " "))
+
+
+def _dual(c: Column, odd: Column, native: Column, f, kind: str) -> Column:
     # null on the usual path: only odd texts cost the trip through Python
-    slow = _lists(lambda x: None if x is None else fold_py(x), "string")(F.when(odd, c))
-    return F.when(odd, slow).otherwise(native)
+    return F.when(odd, _lists(lambda x: None if x is None else f(x), kind)(F.when(odd, c))).otherwise(native)
+
+
+def fold(c: Column) -> Column:
+    """The folded text; null stays null."""
+    return _dual(c, _odd(c), _folded(c), fold_py, "string")
+
+
+def tokens(c: Column) -> Column:
+    """Tokens of any script: abbreviations spelled out, generic words dropped unless nothing is left, unspaced scripts in bigrams."""
+    return _dual(c, _odd(c), _spelled(_folded(c)), tokens_py, "array<string>")
+
+
+def index_tokens(c: Column) -> Column:
+    """What the index holds of a name of any script."""
+    return _dual(c, _odd(c), _indexed(c, lambda x: _spelled(_folded(x))), index_tokens_py, "array<string>")
+
+
+def each(c: Column, native, f) -> Column:
+    """f of each text of an array: native where no text is odd."""
+    texts = F.coalesce(c, F.array().cast("array<string>"))
+    return _dual(texts, F.exists(texts, _odd), F.transform(texts, native), lambda xs: [f(x) for x in xs], "array<array<string>>")
+
+
+def tokens_each(c: Column) -> Column:
+    return each(c, lambda x: _spelled(_folded(x)), tokens_py)
+
+
+def index_tokens_each(c: Column) -> Column:
+    return each(c, lambda x: _indexed(x, lambda y: _spelled(_folded(y))), index_tokens_py)
 
 
 def native_fold(c: Column) -> Column:
@@ -128,24 +163,37 @@ def native_fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
 
 
-def native_tokens(c: Column) -> Column:
-    """tokens over native_fold: abbreviations spelled out, generic words dropped unless nothing is left."""
+def _spelled(folded: Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    words = F.filter(F.split(native_fold(c), " "), lambda t: t != "")
+    words = F.filter(F.split(folded, " "), lambda t: t != "")
     full = F.transform(words, lambda t: F.coalesce(F.try_element_at(m, t), t))
     short = F.filter(full, lambda t: ~t.isin(*GENERIC))
     return F.when(F.size(short) > 0, short).otherwise(full)
 
 
-def native_index_tokens(c: Column) -> Column:
+def _indexed(c: Column, tokens_of) -> Column:
     wide = F.replace(F.replace(F.replace(F.lower(c), F.lit("ä"), F.lit("ae")), F.lit("ö"), F.lit("oe")), F.lit("ü"), F.lit("ue"))
-    found = F.concat(native_tokens(c), native_tokens(wide))
+    found = F.concat(tokens_of(c), tokens_of(wide))
     return F.array_distinct(F.concat(found, F.transform(found, lambda t: F.regexp_replace(t, "s{3,}", "ss"))))
 
 
+def native_tokens(c: Column) -> Column:
+    """tokens over native_fold."""
+    return _spelled(native_fold(c))
+
+
+def native_index_tokens(c: Column) -> Column:
+    return _indexed(c, native_tokens)
+
+
 def register(spark) -> None:
-    """SQL names of the text functions."""
+    """SQL names of the text and distance functions. The latter are SQL functions: no Python in their plans."""
     spark.udf.register("fold", _lists(fold_py, "string"))
     spark.udf.register("tokens", _lists(tokens_py, "array<string>"))
     spark.udf.register("index_tokens", _lists(index_tokens_py, "array<string>"))
     spark.udf.register("query_variants", _lists(query_variants_py, "array<array<string>>"))
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION haversine_m(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN "
+        "2 * 6371008.8D * asin(sqrt(least(power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2), 1D)))"
+    )
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cell_key(lat DOUBLE, lon DOUBLE) RETURNS BIGINT RETURN (floor(lat / 0.05D) + 4096) * 16384 + floor(lon / 0.05D) + 4096")
