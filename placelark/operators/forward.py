@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelark.functions import geo
+from placelark.functions.text import native_fold
 from placelark.operators.index import leading_int
 
 # Fixed values.
@@ -21,12 +22,23 @@ def prefix_hits(prefixes: DataFrame, terms: DataFrame) -> DataFrame:
     return p.join(keyed, ["_n", "_k"]).filter(F.startswith("term", "prefix")).drop("_n", "_k")
 
 
-def candidates(tokens: DataFrame, posts: DataFrame, weights: DataFrame) -> DataFrame:
+def candidates(tokens: DataFrame, posts: DataFrame, weights: DataFrame, df: DataFrame | None = None) -> DataFrame:
     """(query_id, anchor_id, text_weight): anchors that hold every token (query_id, pos, form) in one of its forms; each
-    position adds its idf, over the documents of its forms together."""
-    n = tokens.groupBy("query_id").agg(F.countDistinct("pos").alias("n"))
-    hits = tokens.join(posts, tokens["form"] == posts["term"]).select("query_id", "pos", "anchor_id").distinct()
-    return hits.join(weights, ["query_id", "pos"]).groupBy("query_id", "anchor_id").agg(F.count(F.lit(1)).alias("hit"), F.sum("w").alias("text_weight")).join(n, "query_id").filter("hit = n").drop("hit", "n")
+    position adds its idf, over the documents of its forms together.
+
+    A query's rarest position, by the documents (term, df) of its forms, is looked up first. The others are only asked for the anchors found, in
+    a join on term and anchor together: a common word costs a query no more rows than its rarest word has, and no task its postings.
+    """
+    df = df if df is not None else posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = tokens.join(df, tokens["form"] == df["term"], "left").groupBy("query_id", "pos").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
+    lead = known.groupBy("query_id").agg(F.min(F.struct("df", "pos"))["pos"].alias("lead"), F.count(F.lit(1)).alias("n"))
+    each = tokens.join(lead, "query_id")
+    found = each.filter("pos = lead").join(posts, F.col("form") == posts["term"]).select("query_id", "anchor_id", "n").distinct()
+    rest = found.filter("n > 1").join(each.filter("pos <> lead").select("query_id", "pos", "form"), "query_id")
+    held = rest.join(posts.withColumnRenamed("term", "form"), ["form", "anchor_id"], "left_semi").groupBy("query_id", "anchor_id", "n").agg(F.countDistinct("pos").alias("hit")).filter("hit = n - 1")
+    total = weights.join(lead.select("query_id"), "query_id").groupBy("query_id").agg(F.sum("w").alias("text_weight"), F.count(F.lit(1)).alias("weighed"))
+    both = found.filter("n = 1").select("query_id", "anchor_id", "n").unionByName(held.select("query_id", "anchor_id", "n"))
+    return both.join(total, "query_id").filter("weighed = n").select("query_id", "anchor_id", "text_weight")
 
 
 def relevance(query: Column, variant: Column, locality: Column, forms: bool = False) -> Column:
@@ -93,24 +105,47 @@ def drop_near(ranked: DataFrame, limit: int = 10) -> DataFrame:
     return kept.select("query_id", F.posexplode("kept").alias("pos", "r")).select("query_id", (F.col("pos") + 1).alias("rank"), "r.anchor_id", "r.score")
 
 
-def match_house(asked: DataFrame, addresses: DataFrame, composed=("cz", "sk")) -> DataFrame:
-    """(query_id, anchor_id, country, number) to one address: exact, orientation, numeric, conscription, by precedence and
-    then run order; factor `missing` without any."""
-    n = leading_int(F.col("number"))
-    own = F.lower(F.regexp_replace("house_number", "\\s+", ""))
-    want = F.lower(F.regexp_replace("number", "\\s+", ""))
+def orientation_of(number: Column) -> Column:
+    """The digits right after the last slash, nine at most; null without them."""
+    return F.regexp_extract(number, "/([0-9]{1,9})(?![0-9])[^/]*$", 1).try_cast("bigint")
+
+
+def composed(number: Column) -> Column:
+    return F.contains(number, F.lit("/"))
+
+
+def asked_int(number: Column) -> Column:
+    """The query's reading of a number: its first digits, null without any."""
+    return F.regexp_extract(number, "[0-9]+", 0).try_cast("bigint")
+
+
+def match_house(asked: DataFrame, addresses: DataFrame, countries=("cz", "sk")) -> DataFrame:
+    """(query_id, anchor_id, country, number) to one address of the anchor, the first in run order (sort_key, house_number) of the first kind that there is.
+
+    1: the number as folded. In countries of composed numbers the half after the slash, or a number alone, is asked for as the orientation
+    number; 2: where both halves were asked, an address of that number alone; 3: any with that orientation number, whole if no
+    other half was asked. 4: the same leading number, less if the first of these is composed there. `missing` without any.
+    """
+    n, slash = asked_int(F.col("number")), composed(F.col("number"))
+    half = F.when(slash, asked_int(F.regexp_extract("number", "/(.*)$", 1))).otherwise(n)
     a = addresses.select(F.col("anchor_id").alias("_a"), "address_id", "house_number", leading_int(F.col("house_number")).alias("sort_key"))
-    j = asked.join(a, asked["anchor_id"] == a["_a"], "left")
-    both = F.col("country").isin(*composed)
-    after = F.regexp_extract("house_number", "/([0-9]+)[^/]*$", 1).try_cast("bigint")
-    slash = F.contains("number", F.lit("/"))
-    kind = F.when(own == want, 1).when(both & slash & (F.col("sort_key") == n) & ~F.contains("house_number", F.lit("/")), 2)
-    kind = kind.when(both & (after == n), F.when(slash, 3).otherwise(2)).when(F.col("sort_key") == n, F.when(both & F.contains("house_number", F.lit("/")), 4).otherwise(3))
-    best = j.withColumn("kind", kind).groupBy("query_id", "anchor_id").agg(F.min(F.when(F.col("kind").isNotNull(), F.struct("kind", "sort_key", "house_number", "address_id"))).alias("b"))
-    factor = F.when(F.col("b.kind") <= 2, HOUSE["exact"]).when(F.col("b.kind") == 3, HOUSE["numeric"]).when(F.col("b.kind") == 4, HOUSE["conscription"]).otherwise(HOUSE["missing"])
+    j = asked.withColumn("_n", n).withColumn("_half", half).withColumn("_slash", slash).withColumn("_cs", F.col("country").isin(*countries)).withColumn("_want", native_fold(F.col("number")))
+    j = j.join(a, j["anchor_id"] == a["_a"], "left").withColumn("_own", composed(F.col("house_number")))
+    kind = F.when((F.col("sort_key") == F.col("_n")) & (native_fold(F.col("house_number")) == F.col("_want")), 1).when(F.col("_cs") & F.col("_slash") & (F.col("sort_key") == F.col("_half")) & ~F.col("_own"), 2)
+    kind = kind.when(F.col("_cs") & (orientation_of(F.col("house_number")) == F.col("_half")), 3).when(F.col("sort_key") == F.col("_n"), 4)
+    best = j.withColumn("kind", F.when(F.col("_n").isNotNull(), kind)).groupBy("query_id", "anchor_id").agg(
+        F.min(F.when(F.col("kind").isNotNull(), F.struct("kind", "sort_key", "house_number", "address_id"))).alias("b"), F.first("_slash").alias("_slash"), F.first("_cs").alias("_cs")
+    )
+    factor = F.when(F.col("b.kind") == 1, HOUSE["exact"]).when((F.col("b.kind") == 2) | (F.col("b.kind") == 3) & ~F.col("_slash"), HOUSE["orientation"]).when(F.col("b.kind") == 3, HOUSE["numeric"])
+    factor = factor.when(F.col("b.kind") == 4, F.when(F.col("_cs") & composed(F.col("b.house_number")), HOUSE["conscription"]).otherwise(HOUSE["numeric"])).otherwise(HOUSE["missing"])
     return best.select("query_id", "anchor_id", F.col("b.address_id").alias("address_id"), factor.alias("factor"))
 
 
+def score_bound(cheap: Column, n_query: Column, n_shortest: Column, has_number: Column) -> Column:
+    """What a candidate's score can't exceed: its cheap score, the best relevance for its shortest name, an exact house number."""
+    return cheap * bound(n_query, n_shortest) * F.when(has_number, HOUSE["exact"]).otherwise(1.0)
+
+
 def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(word, term, df): terms within one edit of words of five characters or more that are no terms. An edit leaves one
     half whole: halves meet in equi-joins, from the front and from the back."""
