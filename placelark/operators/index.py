@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelark.functions import geo
-from placelark.functions.text import native_fold, native_index_tokens
+from placelark.functions.text import fold, native_index_tokens
+from placelark.operators.lineage import cut
 
 
 def postings(anchors: DataFrame) -> DataFrame:
@@ -33,30 +34,31 @@ def leading_int(s: Column) -> Column:
 def bind_streets(addresses: DataFrame, anchors: DataFrame) -> DataFrame:
     """addresses (address_id, country, street, city) to street anchors by country, folded name and folded locality; a key
     without an anchor makes one, of the id -(smallest address id) - 1."""
-    key = lambda name, loc: F.concat_ws("|", "country", native_fold(F.col(name)), native_fold(F.col(loc)))
+    key = lambda name, loc: F.concat_ws("|", "country", fold(F.col(name)), fold(F.col(loc)))
     known = anchors.withColumn("key", key("name", "locality")).groupBy("key").agg(F.min("anchor_id").alias("known_id"))
     own = addresses.withColumn("key", key("street", "city"))
     made = own.join(known, "key", "left_anti").groupBy("key").agg((-F.min("address_id") - 1).alias("made_id"))
     return own.join(known, "key", "left").join(made, "key", "left").select("address_id", F.coalesce("known_id", "made_id").alias("anchor_id"), F.col("known_id").isNull().alias("synthetic"))
 
 
-def bind_places(addresses: DataFrame, places: DataFrame) -> DataFrame:
-    """addresses (address_id, country, place, lat, lon) to the nearest place of the same folded name, by planar distance
-    scaled at the address; ties to the smallest id; without a place, none."""
-    p = places.select("country", native_fold(F.col("name")).alias("k"), "anchor_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    a = addresses.withColumn("k", native_fold(F.col("place")))
+def bind_places(addresses: DataFrame, places: DataFrame, key=lambda c: F.array(fold(c))) -> DataFrame:
+    """addresses (address_id, country, place, lat, lon) to the nearest place of the same name, by planar distance
+    scaled at the address; ties to the smallest id; without a place, none. `key`: what names are compared by, an array of words."""
+    p = places.select("country", key(F.col("name")).alias("k"), "anchor_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    a = addresses.withColumn("k", key(F.col("place")))
     dx, dy = (F.col("plon") - F.col("lon")) * F.cos(F.radians("lat")), F.col("plat") - F.col("lat")
     return a.join(p, ["country", "k"]).groupBy("address_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "anchor_id"))["anchor_id"].alias("anchor_id"))
 
 
 def address_runs(addresses: DataFrame) -> DataFrame:
-    """(anchor_id, n, first): a run's length, and its offset among runs ordered by anchor. Offsets are sums of sums by
-    range, so that no task orders all anchors."""
-    counts = addresses.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("anchor_id") / 4096))
+    """(anchor_id, n, first): a run's length, and its offset among runs ordered by anchor. Offsets are sums of sums by range of
+    ids, whatever their gaps: one row a range is ordered as a whole, and a range's anchors in its own task."""
+    counts = addresses.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("anchor_id").withColumn("b", F.spark_partition_id())
+    counts = cut(counts)  # a range's number must not change
     by_block = counts.groupBy("b").agg(F.sum("n").alias("s"))
     starts = by_block.withColumn("start", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     own = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("anchor_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(starts, "b").select("anchor_id", "n", (F.col("start") + own).alias("first"))
+    return counts.join(F.broadcast(starts), "b").select("anchor_id", "n", (F.col("start") + own).alias("first"))  # a row a range
 
 
 def centroids(addresses: DataFrame) -> DataFrame:

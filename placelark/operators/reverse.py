@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placelark.functions import geo
 from placelark.operators.index import cell_listing
+from placelark.operators.lineage import cut
 
 MAX_CONTAINING = 3
 
@@ -29,7 +30,7 @@ def top_containing(found: DataFrame, n: int = MAX_CONTAINING) -> DataFrame:
 def nearest(points: DataFrame, features: DataFrame, limit: int = 5, radius: float = 5000.0, on: tuple[str, ...] = ()) -> DataFrame:
     """(point_id, feature_id, distance_m, rank): the nearest within the radius. The first round of 150 m, 600 m ... that finds
     `limit` ends a point's search: the points left go on against a coarser grid, so a dense area is never searched wide.
-    Columns `on`, of both sides, must be equal."""
+    Columns `on`, of both sides, must be equal. Each round's hits are checkpointed: its points and the next round's follow from them."""
     r, out, left = min(150.0, radius), None, points
     while True:
         step = r / geo.METRES_PER_DEGREE
@@ -39,6 +40,7 @@ def nearest(points: DataFrame, features: DataFrame, limit: int = 5, radius: floa
         d = geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
         hits = p.join(f, ["cy", "cx", *on]).withColumn("distance_m", d).filter(F.col("distance_m") <= r).select("point_id", "feature_id", "distance_m")
         last = r >= radius
+        hits = hits if last else cut(hits)
         enough = hits.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("point_id")
         done = hits if last else hits.join(enough, "point_id", "left_semi")
         out = done if out is None else out.unionByName(done)

@@ -119,6 +119,26 @@ def simplified(ring: Column) -> Column:
 
 
 def representative_point(ring: Column) -> Column:
-    """struct<lat, lon>; null without points."""
-    got = _mapped(lambda r: representative(_points(r)), "array<double>")(ring)
-    return F.struct(F.get(got, 0).alias("lat"), F.get(got, 1).alias("lon"))
+    """struct<lat, lon>: the area centroid; the mean of the vertices if the area is nothing or the centroid is outside the box; the first
+    point of what is no polygon; null without points. Built-in functions only; sums go about the first vertex: far from zero
+    the products would cancel."""
+    n, o = F.size(ring), F.get(ring, 0)
+    k = F.cos(F.radians(o["lat"]))
+    edges = F.transform(ring, lambda p, i: F.struct((p["lat"] - o["lat"]).alias("y0"), (p["lon"] - o["lon"]).alias("x0"), (F.get(ring, F.pmod(i + 1, n))["lat"] - o["lat"]).alias("y1"), (F.get(ring, F.pmod(i + 1, n))["lon"] - o["lon"]).alias("x1")))
+
+    def add(acc, e):
+        c = (e["x0"] * e["y1"] - e["x1"] * e["y0"]) * k
+        return F.struct((acc["a"] + c).alias("a"), (acc["x"] + (e["x0"] + e["x1"]) * k * c).alias("x"), (acc["y"] + (e["y0"] + e["y1"]) * c).alias("y"))
+
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    each = lambda c: F.transform(ring, lambda p: p[c])
+    mean = point(*[F.aggregate(each(c), F.lit(0.0), lambda acc, x: acc + x) / n for c in ("lat", "lon")])
+
+    def from_sums(g):
+        lat, lon = o["lat"] + g["y"] / (3 * g["a"]), o["lon"] + g["x"] / (3 * g["a"]) / k
+        within = lat.between(F.array_min(each("lat")), F.array_max(each("lat"))) & lon.between(F.array_min(each("lon")), F.array_max(each("lon")))
+        return F.when(F.abs(g["a"]) < 2e-12, mean).when(within, point(lat, lon)).otherwise(mean)
+
+    sums = F.aggregate(edges, zero, add)
+    return F.when(n < 1, F.lit(None)).when(n < 3, point(o["lat"], o["lon"])).otherwise(F.get(F.transform(F.array(sums), from_sums), 0))
