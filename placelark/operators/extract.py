@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelark.functions.geo import METRES_PER_DEGREE
 from placelark.operators import shapes
-from placelark.operators.features import is_addressed, is_place, is_street, poi_category, tag
+from placelark.operators.features import ALIASES, is_addressed, is_place, is_street, poi_category, tag
 
 # Fixed values.
 RING_M, STREET_M, RING_POINTS = 60.0, 150.0, 4
@@ -72,6 +72,37 @@ def first_claim(feats: DataFrame, size_col: str = "extract_size") -> DataFrame:
     return feats.groupBy("osm_type", "osm_id").agg(best.alias("r")).select("r.*")
 
 
+def places_only(elements: DataFrame) -> DataFrame:
+    """The elements that a pass over the settlements of every extract needs: named places, before any extract's other features are made. Columns and
+    rows are pruned at the source; the nodes of places drawn as ways are kept with them."""
+    places = elements.filter("kind <> 'node'").filter(is_place(F.col("tags")))
+    refs = places.filter("kind = 'way'").select(F.explode("refs").alias("id")).distinct()
+    nodes = elements.filter("kind = 'node'")
+    return places.filter("kind = 'way'").unionByName(nodes.filter(is_place(F.col("tags")))).unionByName(nodes.filter(~is_place(F.col("tags"))).join(refs, "id", "left_semi").select(*elements.columns))
+
+
+def build_counters(feats: DataFrame) -> DataFrame:
+    """(name, n): elements that several extracts hold, and coordinates that are out of range."""
+    bad = ~(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    per = feats.groupBy("osm_type", "osm_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    one = per.agg(F.sum(F.col("n") - 1).alias("dedup_cross_extract"), F.sum("bad").alias("bad_coordinate"))
+    return one.select(F.explode(F.map_from_arrays(F.array(F.lit("dedup_cross_extract"), F.lit("bad_coordinate")), F.array("dedup_cross_extract", "bad_coordinate"))).alias("name", "n")).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def name_profile(elements: DataFrame, top: int = 14) -> DataFrame:
+    """(section, key, n) of named elements: how many there are, how many have another name, values with a semicolon; how many have each
+    alias tag, languages counted together; the most frequent languages."""
+    t = elements.filter(tag(F.col("tags"), "name").isNotNull()).select(F.map_filter("tags", lambda k, v: (v != "") & (k.rlike("^name:.{1,3}$") & (F.octet_length(k) <= 8) | k.isin(*ALIASES, "brand", "operator"))).alias("a"))
+    semi = F.size(F.map_filter("a", lambda k, v: ~k.startswith("name:") & F.contains(v, F.lit(";"))))
+    whole = t.agg(F.count(F.lit(1)).alias("named"), F.count_if(F.size("a") > 0).alias("with alias"), F.coalesce(F.sum(semi), F.lit(0)).alias("semicolons"))
+    names = ["named", "with alias", "semicolons"]
+    head = whole.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").alias("n")) for n in names])).alias("x")).select(F.lit("all").alias("section"), "x.key", "x.n")
+    per = t.select(F.explode(F.map_keys("a")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    tags = per.groupBy(F.when(F.col("k").startswith("name:"), "name:<lang>").otherwise(F.col("k")).alias("key")).agg(F.sum("n").alias("n")).select(F.lit("tag").alias("section"), "key", "n")
+    langs = per.filter("k LIKE 'name:%'").select(F.lit("language").alias("section"), F.substring("k", 6, 8).alias("key"), "n").orderBy(F.desc("n"), "key").limit(top)
+    return head.unionByName(tags).unionByName(langs)
+
+
 def poi_profile(feats: DataFrame, top: int = 60) -> DataFrame:
     """(category, n, nodes, ways, addressed): the most frequent categories."""
     n = lambda c: F.count_if(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelark.functions.text import native_index_tokens
+from placelark.functions.text import index_tokens, index_tokens_each
 from placelark.operators.features import alt_names, is_addressed, is_place, tag
 
 SCHEMA = (
@@ -20,6 +20,12 @@ def composed_number(conscription: Column, orientation: Column, provisional: Colu
     return F.coalesce(both, conscription, orientation, provisional)
 
 
+def anchor_of(street: Column, place: Column) -> Column:
+    """struct<name, kind>: what an address hangs off, its street, else its place, else nothing."""
+    s, p = F.nullif(street, F.lit("")), F.nullif(place, F.lit(""))
+    return F.struct(F.coalesce(s, p).alias("name"), F.when(s.isNotNull(), "street").when(p.isNotNull(), "place").otherwise("none").alias("kind"))
+
+
 def _joined(*parts: Column) -> Column:
     return F.nullif(F.concat_ws(", ", *parts), F.lit(""))
 
@@ -66,10 +72,10 @@ def from_tags(feats: DataFrame) -> DataFrame:
 
 def with_tokens(rows: DataFrame) -> DataFrame:
     """tokens: what a user might type of a record, each once, in order."""
-    part = lambda c: F.when(F.col("layer").isin("address", "poi"), native_index_tokens(F.coalesce(c, F.lit("")))).otherwise(F.array().cast("array<string>"))
-    text = lambda c: native_index_tokens(F.coalesce(c, F.lit("")))
-    alts = F.flatten(F.transform(F.coalesce("alt_names", F.array().cast("array<string>")), native_index_tokens))
-    return rows.withColumn("tokens", F.array_distinct(F.concat(*[text(c) for c in ("name", "street", "place", "city")], alts, *[part(c) for c in ("house_number", "conscription", "orientation", "postcode")])))
+    part = lambda c: F.when(F.col("layer").isin("address", "poi"), text(c)).otherwise(F.array().cast("array<string>"))
+    text = lambda c: index_tokens(F.coalesce(c, F.lit("")))
+    alts = F.flatten(index_tokens_each(F.col("alt_names")))
+    return rows.withColumn("tokens", F.array_distinct(F.concat(*[text(F.col(c)) for c in ("name", "street", "place", "city")], alts, *[part(F.col(c)) for c in ("house_number", "conscription", "orientation", "postcode")])))
 
 
 def attach_locality(rows: DataFrame, bound: DataFrame) -> DataFrame:
