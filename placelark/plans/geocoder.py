@@ -8,16 +8,14 @@ from these postings (term, anchor_id), terms (term, df) and coverage (country, b
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placelark.functions import geo
 from placelark.functions.query import parse
-from placelark.functions.text import native_fold, native_index_tokens, native_tokens
+from placelark.functions.text import fold, index_tokens, index_tokens_each, tokens, tokens_each
 from placelark.operators import features, forward, index, reverse
+from placelark.operators.lineage import cut
 
 # Fixed values.
 VERSION, LIMIT, REVERSE_LIMIT, MOST, RADIUS, MOST_RADIUS = 1, 10, 5, 50, 5000.0, 50000.0
@@ -25,17 +23,9 @@ TABLES = ["anchors", "addresses", "shapes", "postings", "terms", "coverage"]
 _NO_SHAPES = "shape_id long, closed boolean, ring array<struct<lat:double,lon:double>>, min_lat double, max_lat double, min_lon double, max_lon double"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "placelark-checkpoints"))
-    return df.checkpoint()
-
-
 def filter_locally(results: DataFrame, text: Column) -> DataFrame:
     """Results whose rendered name holds the text, both folded; an empty text keeps all."""
-    return results.filter(F.contains(native_fold(F.col("place_name")), native_fold(F.coalesce(text, F.lit("")))))
+    return results.filter(F.contains(fold(F.col("place_name")), fold(F.coalesce(text, F.lit("")))))
 
 
 def within_coverage(points: DataFrame, coverage: DataFrame, radius: float) -> DataFrame:
@@ -69,11 +59,11 @@ class Geocoder:
     @classmethod
     def build(cls, anchors: DataFrame, addresses: DataFrame, shapes: DataFrame | None = None) -> Geocoder:
         spark = anchors.sparkSession
-        alts = F.flatten(F.transform(F.coalesce("alt_names", F.array().cast("array<string>")), native_index_tokens))
-        own = F.array_distinct(F.concat(native_index_tokens(F.coalesce("name", F.lit(""))), native_index_tokens(F.coalesce("locality", F.lit(""))), alts))
+        text = lambda c: F.coalesce(c, F.lit(""))
+        own = F.array_distinct(F.concat(index_tokens(text("name")), index_tokens(text("locality")), F.flatten(index_tokens_each(F.col("alt_names")))))
         posts = anchors.select(F.explode(own).alias("term"), "anchor_id")
-        names = F.concat(F.array(native_tokens(F.coalesce("name", F.lit("")))), F.transform(F.coalesce("alt_names", F.array().cast("array<string>")), native_tokens))
-        anchors = anchors.withColumn("names", names).withColumn("loc_tokens", native_tokens(F.coalesce("locality", F.lit(""))))
+        names = F.concat(F.array(tokens(text("name"))), tokens_each(F.col("alt_names")))
+        anchors = anchors.withColumn("names", names).withColumn("loc_tokens", tokens(text("locality")))
         spots = anchors.select("country", "lat", "lon").unionByName(addresses.join(anchors.select("anchor_id", "country"), "anchor_id").select("country", "lat", "lon"))
         a = addresses.withColumn("sort_key", index.leading_int(F.col("house_number")))
         return cls({"anchors": anchors, "addresses": a, "shapes": shapes if shapes is not None else spark.createDataFrame([], _NO_SHAPES), "postings": posts, "terms": index.term_df(posts), "coverage": index.coverage(spots)})
@@ -163,7 +153,7 @@ class Geocoder:
             again = again.select("query_id", "reading", F.transform("p", lambda x: x["t"]).alias("tokens"))
             redo = left.drop("tokens", "variants", "corrected").join(again, ["query_id", "reading"]).withColumn("variants", F.transform("tokens", lambda t: F.array(t))).withColumn("corrected", F.array_join("tokens", " "))
             scored = scored.unionByName(self._search(cut(redo), near))
-        ranked = cut(forward.top(self._numbered(scored), limit + forward.HEADROOM).withColumn("k", native_fold(F.col("name"))))
+        ranked = cut(forward.top(self._numbered(scored), limit + forward.HEADROOM).withColumn("k", fold(F.col("name"))))
         kept = forward.drop_near(ranked.drop("number").withColumnRenamed("house_number", "number"), limit).select("query_id", F.col("rank").alias("place"), "anchor_id")
         out = ranked.join(kept, ["query_id", "anchor_id"]).withColumn("place_name", features.place_name(F.col("name"), F.col("house_number"), F.col("locality"), F.col("country")))
         return out.select("query_id", F.col("place").alias("rank"), "anchor_id", "address_id", "layer", "name", "house_number", "locality", "country", "category", "lat", "lon", "score", "corrected", "place_name")

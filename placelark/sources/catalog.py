@@ -32,3 +32,7 @@ def resolve(selection: str, countries: DataFrame, groups: DataFrame) -> DataFram
 
 def file_name(path):
     return F.concat(F.element_at(F.split(path, "/"), -1), F.lit("-latest.osm.pbf"))
+
+
+def url(base: str, path):
+    return F.concat(F.lit(base.rstrip("/") + "/"), path, F.lit("-latest.osm.pbf"))
