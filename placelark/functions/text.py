@@ -104,22 +104,11 @@ def _lists(f, kind):
 
 
 def _odd(c: Column) -> Column:
-    """Whether a text has a character that the table does not fold."""
-    known = "".join(sorted({**_LATIN, **CYRILLIC, **{k: v for k, v in SINGLES.items() if k not in "ςİ"}}))
+    """Whether a text has a character that native_fold does not fold: other scripts go through Python, which keeps the plan short."""
+    known = "".join(sorted({**_LATIN, **{k: v for k, v in SINGLES.items() if k not in "ςİ"}}))
     return F.coalesce(c.rlike(f"[^\\x00-\\x7f{known}{known.upper().replace('SS', '')}–—‘’“”¿¡]"), F.lit(False))
 
 
-def _folded(c: Column) -> Column:
-    """fold of texts that are not odd."""
-    low = F.lower(c)
-    one = {k: v for k, v in {**_LATIN, **CYRILLIC, **SINGLES}.items() if len(v) == 1 and k not in "ςİ"}
-    native = F.translate(low, "".join(one), "".join(one.values()))
-    several = {k: v for k, v in {**CYRILLIC, **SINGLES}.items() if len(v) != 1 and k not in "ςİ"}
-    for k, v in several.items():
-        native = F.replace(native, F.lit(k), F.lit(v))
-    return F.trim(F.regexp_replace(native, "[^a-z0-9]+", " "))
-
-
 def _dual(c: Column, odd: Column, native: Column, f, kind: str) -> Column:
     # null on the usual path: only odd texts cost the trip through Python
     return F.when(odd, _lists(lambda x: None if x is None else f(x), kind)(F.when(odd, c))).otherwise(native)
@@ -127,17 +116,17 @@ def _dual(c: Column, odd: Column, native: Column, f, kind: str) -> Column:
 
 def fold(c: Column) -> Column:
     """The folded text; null stays null."""
-    return _dual(c, _odd(c), _folded(c), fold_py, "string")
+    return _dual(c, _odd(c), native_fold(c), fold_py, "string")
 
 
 def tokens(c: Column) -> Column:
     """Tokens of any script: abbreviations spelled out, generic words dropped unless nothing is left, unspaced scripts in bigrams."""
-    return _dual(c, _odd(c), _spelled(_folded(c)), tokens_py, "array<string>")
+    return _dual(c, _odd(c), _spelled(native_fold(c)), tokens_py, "array<string>")
 
 
 def index_tokens(c: Column) -> Column:
     """What the index holds of a name of any script."""
-    return _dual(c, _odd(c), _indexed(c, lambda x: _spelled(_folded(x))), index_tokens_py, "array<string>")
+    return _dual(c, _odd(c), _indexed(c, lambda x: _spelled(native_fold(x))), index_tokens_py, "array<string>")
 
 
 def each(c: Column, native, f) -> Column:
@@ -147,11 +136,11 @@ def each(c: Column, native, f) -> Column:
 
 
 def tokens_each(c: Column) -> Column:
-    return each(c, lambda x: _spelled(_folded(x)), tokens_py)
+    return each(c, lambda x: _spelled(native_fold(x)), tokens_py)
 
 
 def index_tokens_each(c: Column) -> Column:
-    return each(c, lambda x: _indexed(x, lambda y: _spelled(_folded(y))), index_tokens_py)
+    return each(c, lambda x: _indexed(x, lambda y: _spelled(native_fold(y))), index_tokens_py)
 
 
 def native_fold(c: Column) -> Column:

@@ -51,9 +51,9 @@ def utf16_key(s: Column) -> Column:
 def _ranked(values: DataFrame, order: Column) -> DataFrame:
     """values with `id`, their rank by order. Ranges of the order are ranked each in its own task, and start where those before end."""
     v = cut(values.withColumn("_o", order).repartitionByRange("_o").withColumn("_b", F.spark_partition_id()))
-    starts = v.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).withColumn("s", F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = v.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_at", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_b").orderBy("_o")) - 1
-    return v.join(F.broadcast(starts.select("_b", "s")), "_b").withColumn("id", (F.col("s") + own).cast("bigint")).drop("_b", "_o", "s")  # starts: a row a range
+    return v.join(F.broadcast(starts.select("_b", "_at")), "_b").withColumn("id", (F.col("_at") + own).cast("bigint")).drop("_b", "_o", "_at")  # starts: a row a range
 
 
 def term_ids(terms: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def grid_entries(shapes: DataFrame) -> DataFrame:
 def ring_cells(lat: Column, lon: Column, ring: Column) -> Column:
     """Cells of the ring that lies `ring` cells off a point: rows by latitude, as many columns wider as a degree of longitude is shorter."""
     k = F.least(ring, F.lit(MAX_RINGS))
-    wide = lambda n: F.ceil(n / F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(0.01))).cast("int")
+    wide = lambda n: F.ceil(n / F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(0.01)) - F.lit(1e-6)).cast("int")
     y, x = F.floor(lat / geo.CELL), F.floor(lon / geo.CELL)
     inner = F.when(k > 0, wide(k - 1)).otherwise(-1)
     cells = F.flatten(F.transform(F.sequence(-k, k), lambda dy: F.transform(F.sequence(-wide(k), wide(k)), lambda dx: F.struct(dy.alias("dy"), dx.alias("dx")))))

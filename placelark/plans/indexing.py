@@ -121,6 +121,6 @@ def from_features(feats: DataFrame) -> dict[str, DataFrame]:
 
     if "extract_size" in feats.columns:
         feats = first_claim(feats)
-    return tables(curated(records.from_tags(feats)))
+    return tables(cut(curated(records.from_tags(feats))))  # read by each table
 
 
