@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from placelark.functions import geo
 from placelark.functions.priors import CATCHMENT_KM, PLACE_BASE, POI_PRIOR, place_prior, poi_prior
 from placelark.functions.text import ABBREVIATIONS, GENERIC, fold, native_fold, native_index_tokens, native_tokens
-from placelark.operators import features, forward, index, reverse
+from placelark.operators import columns, features, forward, index, reverse
+from placelark.plans import literals
 from placelark.sources import corpus
 from placelark.sources.corpus import CATEGORIES, PLACE_CLASSES
 
@@ -183,7 +184,7 @@ def _forward(s, d):
     c = _cheap(s, d).join(_query_tokens(corpus.anchors(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("q")), "query_id")
     q = F.transform("q", lambda x: x["form"])
     variants = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
-    return c.withColumn("score", F.round(F.col("score") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
+    return c.withColumn("cheap", F.col("score")).withColumn("score", F.round(F.col("score") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
 
 
 @query("forward_topk")
@@ -221,6 +222,19 @@ def _(s, d):
     return forward.match_house(asked, corpus.addresses(s, d))
 
 
+@query("house_number_composed", f"""WITH {ANCHORS}, {ADDRESSES}, asked AS (SELECT anchor_id AS query_id, anchor_id, anchor_id%97+1 AS n, anchor_id%31+1 AS h, anchor_id % 2 = 0 AS slash FROM anchors),
+k AS (SELECT q.*, address_id, house_number, CAST(regexp_extract(house_number,'[0-9]+') AS BIGINT) AS sk, TRY_CAST(regexp_extract(house_number, '/([0-9]+)$', 1) AS BIGINT) AS o, contains(house_number,'/') AS own, CASE WHEN slash THEN h ELSE n END AS half FROM asked q LEFT JOIN addresses USING (anchor_id)),
+c AS (SELECT *, CASE WHEN sk = n AND trim(regexp_replace(lower(house_number), '[^a-z0-9]+', ' ', 'g')) = n || CASE WHEN slash THEN ' ' || h ELSE '' END THEN 1 WHEN slash AND sk = half AND NOT own THEN 2 WHEN o = half THEN 3 WHEN sk = n THEN 4 END AS kind FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind NULLS LAST, sk, house_number, address_id) AS r FROM c)
+SELECT query_id, anchor_id, CASE WHEN kind IS NOT NULL THEN address_id END AS address_id, CAST(CASE WHEN kind IN (1, 2) OR kind = 3 AND NOT slash THEN 18 WHEN kind = 3 THEN 6 WHEN kind = 4 THEN CASE WHEN own THEN 3 ELSE 6 END ELSE 0.4 END AS DOUBLE) AS factor FROM b WHERE r = 1""")
+def _(s, d):
+    """Half of the numbers asked have both halves."""
+    n, h = (F.col("anchor_id") % 97 + 1).cast("string"), (F.col("anchor_id") % 31 + 1).cast("string")
+    number = F.when(F.col("anchor_id") % 2 == 0, F.concat(n, F.lit("/"), h)).otherwise(n)
+    asked = corpus.anchors(s, d).select(F.col("anchor_id").alias("query_id"), "anchor_id", F.lit("cz").alias("country"), number.alias("number"))
+    return forward.match_house(asked, corpus.addresses(s, d))
+
+
 @query("address_runs_csr", f"WITH {ADDRESSES}, c AS (SELECT anchor_id, count(*) AS n FROM addresses GROUP BY anchor_id) SELECT anchor_id, n, CAST(coalesce(sum(n) OVER (ORDER BY anchor_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS first FROM c")
 def _(s, d):
     return index.address_runs(corpus.addresses(s, d))
@@ -231,9 +245,10 @@ def _(s, d):
     return index.centroids(corpus.addresses(s, d))
 
 
-@query("coverage_bbox", f"WITH {ANCHORS} SELECT country, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM anchors GROUP BY country")
+@query("coverage_bbox", f"WITH {ANCHORS}, {ADDRESSES}, spots AS (SELECT country, lat, lon FROM anchors UNION ALL SELECT a.country, x.lat, x.lon FROM addresses x JOIN anchors a USING (anchor_id)) SELECT country, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM spots GROUP BY country")
 def _(s, d):
-    return index.coverage(corpus.anchors(s, d))
+    a = corpus.anchors(s, d)
+    return index.coverage(a.select("country", "lat", "lon").unionByName(corpus.addresses(s, d).join(a.select("anchor_id", "country"), "anchor_id").select("country", "lat", "lon")))
 
 
 @query("address_binding_street", f"""WITH {ANCHORS}, {ADDRESSES}, own AS (SELECT x.address_id, concat_ws('|', a.country, {_foldsql('a.name')}, {_foldsql("CASE WHEN x.address_id % 5 = 0 THEN 'nowhere' ELSE a.locality END")}) AS key FROM addresses x JOIN anchors a USING (anchor_id)),
@@ -299,6 +314,17 @@ def _(s, d):
     return reverse.nearest(corpus.points(s, d), f, 5, 1500.0).select("point_id", "feature_id", F.round("distance_m", 3).alias("distance_m"), "rank")
 
 
+_north = lambda df, c: df.withColumns({"lat": F.lit(70.0) + F.col(c) * 7919 % 10000 / F.lit(10000.0), "lon": F.pmod(F.lit(179.5) + F.col(c) * 104729 % 10000 / F.lit(10000.0) + 180, F.lit(360.0)) - 180})
+_northsql = lambda c: f"70 + ({c}*7919 % 10000)/CAST(10000 AS DOUBLE) AS lat, (179.5 + ({c}*104729 % 10000)/CAST(10000 AS DOUBLE) + 180) % 360 - 180 AS lon"
+
+
+@query("reverse_knn_north", f"WITH p AS (SELECT c_custkey AS point_id, {_northsql('c_custkey')} FROM customer), f AS (SELECT doc_id AS feature_id, {_northsql('doc_id')} FROM documents), h AS (SELECT point_id, feature_id, {hav('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS m FROM p JOIN f ON abs(p.lat-f.lat) < 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, feature_id) AS r FROM h WHERE m <= 3000) SELECT point_id, feature_id, round(m,3) AS distance_m, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 5")
+def _(s, d):
+    """70 to 71 degrees north, on both sides of the date line."""
+    f = _north(corpus.anchors(s, d), "anchor_id").select(F.col("anchor_id").alias("feature_id"), "lat", "lon")
+    return reverse.nearest(_north(corpus.points(s, d), "point_id"), f, 5, 3000.0).select("point_id", "feature_id", F.round("distance_m", 3).alias("distance_m"), "rank")
+
+
 @query("transposition_hint", f"WITH {POINTS} SELECT point_id, NOT (plon BETWEEN 47 AND 48 AND plat BETWEEN 9 AND 10) AND plat BETWEEN 47 AND 48 AND plon BETWEEN 9 AND 10 AS transposed FROM points")
 def _(s, d):
     p = corpus.points(s, d)
@@ -312,23 +338,61 @@ def _(s, d):
     return features.catchment(a.filter("layer = 2").select(F.col("anchor_id").alias("id"), "country", "lat", "lon"), a.filter("layer = 1").withColumnRenamed("anchor_id", "place_id")).select("id", "place_id")
 
 
-@query("street_grouping")
+@query("street_grouping", f"""WITH {ANCHORS}, {ADDRESSES}, g AS (SELECT x.address_id AS seq, a.country, array_to_string({_tokensql('a.name')}, ' ') AS k, array_to_string({_tokensql('a.locality')}, ' ') AS l, x.lat, x.lon FROM addresses x JOIN anchors a USING (anchor_id)),
+m AS (SELECT *, row_number() OVER w AS r, count(*) OVER p AS n, avg(lat) OVER p AS mlat, avg(lon) OVER p AS mlon FROM g WINDOW w AS (PARTITION BY country, k, l ORDER BY seq), p AS (PARTITION BY country, k, l)),
+b AS (SELECT *, row_number() OVER (PARTITION BY country, k, l ORDER BY round(pow((lat-mlat)*1e6,2) + pow((lon-mlon)*1e6*cos(radians(mlat)),2), 2), seq) AS best FROM m WHERE r <= 16) SELECT country, k, l, n, lat, lon FROM b WHERE best = 1""")
 def _(s, d):
     a = corpus.anchors(s, d)
     seg = corpus.addresses(s, d).join(a.select("anchor_id", "country", "name", "locality"), "anchor_id").select(F.col("address_id").alias("seq"), "country", "name", "locality", "lat", "lon")
-    return features.group_streets(seg)
+    return features.group_streets(seg).select("country", "k", "l", "n", "lat", "lon")
+
+
+def _twice(s, d, layer):
+    """Records of a layer on a coarse grid, so that names meet in cells: id, tokens of the name, rank."""
+    a = corpus.anchors(s, d).filter(F.col("layer") == layer)
+    at = {"lat": F.lit(47) + F.col("anchor_id") % 3 / F.lit(8.0), "lon": F.lit(9.0)}
+    return a.withColumns(at).withColumn("id", F.lpad(F.col("anchor_id").cast("string"), 12, "0")).withColumn("tokens", native_index_tokens(F.concat_ws(" ", "name", "locality")))
 
 
-@query("poi_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, category, {_foldsql('name')}, CAST(floor(lat*10) AS BIGINT) ORDER BY population DESC, anchor_id) AS r FROM anchors WHERE layer = 2) WHERE r = 1")
+TWICE = "47 + (anchor_id % 3) / CAST(8 AS DOUBLE)"
+_both = lambda c: f"list_distinct(list_concat({_tokensql(c)}, {_tokensql('replace(replace(replace(lower(' + c + '),chr(228),chr(97)||chr(101)),chr(246),chr(111)||chr(101)),chr(252),chr(117)||chr(101))')}))"
+TOKENS = f"len(list_distinct(list_concat({_both('(name || chr(32) || locality)')}, list_transform({_both('(name || chr(32) || locality)')}, lambda x: regexp_replace(x,'s{{3,}}','ss','g')))))"
+
+
+@query("poi_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, category, {_tokensql('name')}, floor({TWICE}*1000+0.5) ORDER BY {TOKENS} DESC, anchor_id) AS r FROM anchors WHERE layer = 2) WHERE r = 1")
 def _(s, d):
-    a = corpus.anchors(s, d).filter("layer = 2").withColumn("key", F.concat_ws("|", "country", "category", native_fold(F.col("name")), F.floor(F.col("lat") * 10)))
-    return features.keep_first(a, "key", [F.desc("population"), "anchor_id"]).select("anchor_id")
+    return features.dedup_pois(_twice(s, d, 2)).select("anchor_id")
 
 
-@query("cross_source_dedup", "SELECT l_partkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+@query("place_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, {_tokensql('name')}, floor({TWICE}*100+0.5) ORDER BY coalesce(population,0)/1e6 + CASE place_type WHEN 'city' THEN 6 WHEN 'town' THEN 5 WHEN 'village' THEN 4 WHEN 'suburb' THEN 3 WHEN 'borough' THEN 3 WHEN 'quarter' THEN 2 WHEN 'neighbourhood' THEN 2 ELSE 1 END DESC, anchor_id) AS r FROM anchors WHERE layer = 1) WHERE r = 1")
 def _(s, d):
-    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
-    return features.keep_first(rows, "l_partkey", [F.desc("l_suppkey"), "l_orderkey", "l_linenumber"]).select("l_partkey", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
+    return features.dedup_places(_twice(s, d, 1)).select("anchor_id")
+
+
+@query("anchor_dedup", f"""WITH {ANCHORS}, k AS (SELECT *, CASE layer WHEN 1 THEN concat_ws('|', country, 'p', array_to_string({_tokensql('name')},' '), CAST(floor(({TWICE})/0.25) AS BIGINT), 36) WHEN 2 THEN 'poi|' || anchor_id ELSE concat_ws('|', country, 's', array_to_string({_tokensql('name')},' '), array_to_string({_tokensql('locality')},' ')) END AS key FROM anchors WHERE name <> '')
+SELECT anchor_id AS id, layer FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN layer = 1 THEN -(CASE place_type WHEN 'city' THEN 6 WHEN 'borough' THEN 4.5 WHEN 'municipality' THEN 4 WHEN 'town' THEN 3.5 WHEN 'suburb' THEN 2.5 WHEN 'quarter' THEN 2 WHEN 'village' THEN 2 WHEN 'neighbourhood' THEN 1.5 WHEN 'hamlet' THEN 1.2 ELSE 1 END + CASE WHEN population > 0 THEN log10(population) ELSE 0 END) ELSE 0 END, anchor_id) AS r FROM k) WHERE r = 1""")
+def _(s, d):
+    from placelark.plans import indexing
+
+    rows = [_twice(s, d, i) for i in range(3)]
+    r = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("city", F.col("locality")).withColumn("street", F.col("name"))
+    layer = F.element_at(F.array(F.lit("street"), F.lit("place"), F.lit("poi")), F.col("layer") + 1)
+    return indexing.dedup_anchors(r.withColumn("number", F.col("anchor_id")).withColumn("layer", layer).drop("anchor_id")).select(F.col("number").alias("id"), "layer")
+
+
+@query("settlement_rank", f"WITH {ANCHORS} SELECT anchor_id, round(coalesce(population,0)/1e6 + CASE place_type WHEN 'city' THEN 6 WHEN 'town' THEN 5 WHEN 'village' THEN 4 WHEN 'suburb' THEN 3 WHEN 'borough' THEN 3 WHEN 'quarter' THEN 2 WHEN 'neighbourhood' THEN 2 ELSE 1 END, 9) AS rank FROM anchors WHERE layer = 1")
+def _(s, d):
+    from placelark.functions.priors import settlement_rank
+
+    return corpus.anchors(s, d).filter("layer = 1").select("anchor_id", F.round(settlement_rank(F.col("place_type"), F.col("population")), 9).alias("rank"))
+
+
+@query("cross_source_dedup", "SELECT l_partkey AS osm_id, l_suppkey AS extract_size, min(l_returnflag) AS country FROM lineitem JOIN (SELECT l_partkey AS p, max(l_suppkey) AS m FROM lineitem GROUP BY l_partkey) ON l_partkey = p AND l_suppkey = m GROUP BY l_partkey, l_suppkey")
+def _(s, d):
+    from placelark.operators import extract
+
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.lit("n").alias("osm_type"), F.col("l_partkey").alias("osm_id"), F.col("l_suppkey").alias("extract_size"), F.col("l_returnflag").alias("country"))
+    return extract.first_claim(rows).select("osm_id", "extract_size", "country")
 
 
 @query("place_name_render", f"WITH {ANCHORS} SELECT anchor_id, concat_ws(', ', concat_ws(' ', nullif(name,''), (anchor_id%97)||''), CASE WHEN lower(locality) <> lower(name) THEN nullif(locality,'') END, upper(country)) AS place_name FROM anchors")
@@ -441,12 +505,6 @@ def _(s, d):
     return corpus.anchors(s, d).filter(n > 0).select("anchor_id", F.round(forward.bound(F.lit(2), n), 6).alias("bound"))
 
 
-@query("place_dedup", f"WITH {ANCHORS} SELECT anchor_id FROM (SELECT anchor_id, row_number() OVER (PARTITION BY country, {_foldsql('name')} ORDER BY CAST({PRIOR} AS DOUBLE) DESC, anchor_id) AS r FROM anchors WHERE layer = 1) WHERE r = 1")
-def _(s, d):
-    a = corpus.anchors(s, d).filter("layer = 1").withColumn("prior", _prior(None)).withColumn("key", F.concat_ws("|", "country", native_fold(F.col("name"))))
-    return features.keep_first(a, "key", [F.desc("prior"), "anchor_id"]).select("anchor_id")
-
-
 @query("tag_combo_stats", "SELECT combo, count(*) AS n, min(event_id) AS sample FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'props+type' ELSE 'type' END AS combo FROM events) GROUP BY combo ORDER BY n DESC, combo LIMIT 8")
 def _(s, d):
     e = s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.col("props").cast("string").alias("props"))
@@ -454,38 +512,55 @@ def _(s, d):
     return features.combo_stats(e.select(F.col("event_id").alias("id"), tags.alias("tags")))
 
 
-@query("reverse_two_tier")
+OFF = "points AS (SELECT c_custkey AS point_id, 47 + (c_custkey*7919 % 10000)/10000 + CAST(0.0000137 AS DOUBLE) AS plat, 9 + (c_custkey*104729 % 10000)/10000 + CAST(0.0000137 AS DOUBLE) AS plon FROM customer)"
+
+
+@query("reverse_two_tier", f"""WITH {ANCHORS}, {SHAPES}, {OFF}, i AS (SELECT point_id, shape_id AS feature_id, area_deg*111320.0*111320.0*cos(radians(min_lat)) AS area, row_number() OVER (PARTITION BY point_id ORDER BY area_deg*cos(radians(min_lat)), shape_id) AS r FROM points JOIN shapes ON plat > min_lat AND plat < max_lat AND plon > min_lon AND plon < max_lon AND closed AND NOT (shape_id % 2 = 1 AND plat > lat AND plon > lon)),
+h AS (SELECT point_id, anchor_id AS feature_id, {hav('plat', 'plon', 'lat', 'lon')} AS m FROM points JOIN anchors ON abs(plat-lat) < 0.02 AND abs(plon-lon) < 0.03), n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, feature_id) AS r FROM h WHERE m <= 1500)
+SELECT point_id, 1 AS tier, feature_id, CAST(r AS INTEGER) AS rank, round(1000/(1+area/1e4), 6) AS score FROM i WHERE r <= 3 UNION ALL SELECT point_id, 2, feature_id, CAST(r AS INTEGER), round(1/(1+m), 6) FROM n WHERE r <= 5""")
 def _(s, d):
-    inside = reverse.top_containing(reverse.containing(corpus.points(s, d), corpus.shapes(s, d)))
-    near = reverse.nearest(corpus.points(s, d), corpus.anchors(s, d).select(F.col("anchor_id").alias("feature_id"), "lat", "lon"), 5, 1500.0)
-    head = inside.select("point_id", F.lit(1).alias("tier"), F.col("shape_id").alias("feature_id"), "rank", (1000 / (1 + F.col("area_m2") / 1e4)).alias("score"))
-    return head.unionByName(near.select("point_id", F.lit(2).alias("tier"), "feature_id", "rank", (1 / (1 + F.col("distance_m"))).alias("score")))
+    p = corpus.points(s, d).withColumn("lat", F.col("lat") + 0.0000137).withColumn("lon", F.col("lon") + 0.0000137)
+    inside = reverse.top_containing(reverse.containing(p, corpus.shapes(s, d)))
+    near = reverse.nearest(p, corpus.anchors(s, d).select(F.col("anchor_id").alias("feature_id"), "lat", "lon"), 5, 1500.0)
+    head = inside.select("point_id", F.lit(1).alias("tier"), F.col("shape_id").alias("feature_id"), "rank", F.round(1000 / (1 + F.col("area_m2") / 1e4), 6).alias("score"))
+    return head.unionByName(near.select("point_id", F.lit(2).alias("tier"), "feature_id", "rank", F.round(1 / (1 + F.col("distance_m")), 6).alias("score")))
 
 
 # --- the engine as a whole, records, profiles -------------------------------------------------------------------------
-def _engine(s, d):
+_engines: dict[tuple[str, str], str] = {}
+
+
+def stored_engine(s, d):
+    """The engine over the gazetteer's index, which is written to the shared folder once an application and folder."""
+    from placelark.operators.lineage import cut
     from placelark.plans.geocoder import Geocoder
 
-    a = corpus.anchors(s, d).withColumn("prior", _prior(None)).withColumn("alt_names", F.when(F.col("alias") != "", F.array("alias")))
-    return Geocoder.build(a, corpus.addresses(s, d), corpus.shapes(s, d).withColumn("shape_id", F.col("shape_id") + 10**9)).cached()
+    key = (s.sparkContext.applicationId, d)
+    if key not in _engines:
+        cut(s.range(1))  # a folder that all executors share is set now
+        path = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{len(_engines)}-{key[0]}"
+        a = corpus.anchors(s, d).withColumn("prior", _prior(None)).withColumn("alt_names", F.when(F.col("alias") != "", F.array("alias")))
+        Geocoder.build(a, corpus.addresses(s, d), corpus.shapes(s, d).withColumn("shape_id", F.col("shape_id") + 10**9)).write(path)
+        _engines[key] = path
+    return Geocoder.load(s, _engines[key])
 
 
 @query("geocode_forward")
 def _(s, d):
     a = corpus.anchors(s, d).filter("name <> ''").select(F.col("anchor_id").alias("query_id"), F.concat("name", F.lit(" "), (F.col("anchor_id") % 97 + 1).cast("string")).alias("q"), "country")
-    return _engine(s, d).forward(a)
+    return stored_engine(s, d).forward(a)
 
 
 @query("geocode_corrected")
 def _(s, d):
     word = F.get(F.split("name", " "), 0)
     a = corpus.anchors(s, d).select(F.col("anchor_id").alias("query_id"), F.concat(F.left(word, F.lit(2)), F.substring(word, 4, 100)).alias("q"))
-    return _engine(s, d).forward(a, limit=3)
+    return stored_engine(s, d).forward(a, limit=3)
 
 
 @query("geocode_reverse")
 def _(s, d):
-    return _engine(s, d).reverse(corpus.points(s, d), radius=1500.0)
+    return stored_engine(s, d).reverse(corpus.points(s, d), radius=1500.0)
 
 
 @query("candidates_variant_or", f"WITH {ANCHORS}, {POSTS}, f AS (SELECT anchor_id AS query_id, unnest(list_concat({_tokensql('locality')}, {_tokensql('alias')})) AS form FROM anchors) SELECT DISTINCT query_id, p.anchor_id FROM f JOIN posts p ON form = term")
@@ -593,3 +668,61 @@ def _(s, d):
 def _(s, d):
     v = F.col("l_quantity").cast("double")
     return s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("shape")).agg(*[F.round(F.percentile(v, q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+# --- the index as columns of numbers --------------------------------------------------------------------------------------
+@query("term_ids", f"WITH {ANCHORS}, {POSTS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM posts)")
+def _(s, d):
+    return columns.term_ids(index.postings(corpus.anchors(s, d)))
+
+
+@query("term_postings", f"WITH {ANCHORS}, {POSTS}, t AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM posts)) SELECT id, array_to_string(list_sort(list(anchor_id)), ',') AS postings FROM posts JOIN t USING (term) GROUP BY id")
+def _(s, d):
+    return columns.term_columns(index.postings(corpus.anchors(s, d))).select("id", F.array_join(F.transform("postings", lambda x: x.cast("string")), ",").alias("postings"))
+
+
+@query("reversed_dictionary", f"WITH {ANCHORS}, {POSTS} SELECT reversed, row_number() OVER (ORDER BY reversed) - 1 AS id FROM (SELECT DISTINCT reverse(term) AS reversed FROM posts)")
+def _(s, d):
+    return columns.reversed_dictionary(index.postings(corpus.anchors(s, d)))
+
+
+@query("anchor_terms", f"""WITH {ANCHORS}, {POSTS}, t AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM posts)),
+v AS (SELECT anchor_id, 0 AS place, {_tokensql('locality')} AS w FROM anchors UNION ALL SELECT anchor_id, 1, {_tokensql('name')} FROM anchors), u AS (SELECT anchor_id, place, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM v),
+g AS (SELECT anchor_id, place, string_agg(coalesce(id, -1)::VARCHAR, ',' ORDER BY pos) AS terms FROM u LEFT JOIN t USING (term) GROUP BY anchor_id, place) SELECT v.anchor_id, v.place, coalesce(terms, '') AS terms FROM v LEFT JOIN g ON g.anchor_id = v.anchor_id AND g.place = v.place""")
+def _(s, d):
+    a = corpus.anchors(s, d)
+    lists = a.select("anchor_id", native_tokens(F.col("locality")).alias("loc_tokens"), F.array(native_tokens(F.col("name"))).alias("names"))
+    got = columns.anchor_terms(lists, columns.term_ids(index.postings(a)))
+    return got.select("anchor_id", "place", F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"))
+
+
+@query("string_table", f"WITH {ANCHORS}, u AS (SELECT DISTINCT name AS s FROM anchors) SELECT s, row_number() OVER (ORDER BY s) - 1 AS id, CAST(coalesce(sum(strlen(s)) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, strlen(s) AS length FROM u")
+def _(s, d):
+    return columns.string_table(corpus.anchors(s, d), "name")
+
+
+@query("grid_entries", f"WITH {SHAPES}, y AS (SELECT *, unnest(range(CAST(floor(min_lat/CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(floor(max_lat/CAST(0.05 AS DOUBLE)) AS BIGINT)+1)) AS cy FROM shapes WHERE closed AND greatest(max_lat-min_lat,max_lon-min_lon)*111320 >= 30), x AS (SELECT *, unnest(range(CAST(floor(min_lon/CAST(0.05 AS DOUBLE)) AS BIGINT), CAST(floor(max_lon/CAST(0.05 AS DOUBLE)) AS BIGINT)+1)) AS cx FROM y), c AS (SELECT CAST((cy+4096)*16384+cx+4096 AS BIGINT) AS cell, shape_id FROM x) SELECT cell, shape_id, row_number() OVER (ORDER BY cell, shape_id) - 1 AS at FROM c")
+def _(s, d):
+    return columns.grid_entries(corpus.shapes(s, d))
+
+
+@query("fixed_points", f"WITH {ADDRESSES} SELECT address_id, CAST(round(lat*1e7) AS INTEGER) AS lat_e7, CAST(round(lon*1e7) AS INTEGER) AS lon_e7, round(CAST(round(lat*1e7) AS INTEGER)/1e7, 7) AS lat FROM addresses")
+def _(s, d):
+    a = corpus.addresses(s, d)
+    fixed = columns.to_fixed(F.col("lat"))
+    return a.select("address_id", fixed.alias("lat_e7"), columns.to_fixed(F.col("lon")).alias("lon_e7"), F.round(columns.to_degrees(fixed), 7).alias("lat"))
+
+
+@query("score_bound", "SELECT CAST(0 AS BIGINT) AS violations")
+def _(s, d):
+    """No score is above its bound: over all queries and candidates, with their relevance and an exact number."""
+    c = _forward(s, d)
+    n = F.size("q")
+    names = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
+    shortest = F.greatest(F.array_min(F.transform(F.filter(names, lambda x: F.size(x) > 0), lambda x: F.size(x))), F.lit(1))
+    top = forward.score_bound(F.col("cheap"), n, shortest, F.lit(True))
+    return c.agg(F.count_if(F.col("score") * forward.HOUSE["exact"] > top * (1 + 1e-9) + 1e-4).alias("violations"))
+
+
+QUERIES |= literals.QUERIES
+SQL |= literals.SQL
