@@ -27,6 +27,8 @@ GENERIC = "ulice ulica street road avenue namesti plac aleja trida osiedle nabre
 UNSPACED = "぀-ゟ゠-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 #: Accented Latin letters with one base letter, by rule: what decomposes to an ASCII letter and marks.
 _LATIN = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if chr(c).islower() and unicodedata.normalize("NFKD", chr(c))[0].isascii() and all(unicodedata.category(x) == "Mn" for x in unicodedata.normalize("NFKD", chr(c))[1:])}
+_ABBREVIATIONS = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in ABBREVIATIONS.items()) + ")"
+_GENERIC = "array(" + ", ".join(f"'{x}'" for x in GENERIC) + ")"
 _unspaced = re.compile(f"[{UNSPACED}]+|[^{UNSPACED}]+")
 
 
@@ -153,10 +155,10 @@ def native_fold(c: Column) -> Column:
 
 
 def _spelled(folded: Column) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    m, generic = F.expr(_ABBREVIATIONS), F.expr(_GENERIC)  # literals of one expression each: the plan is made in less time
     words = F.filter(F.split(folded, " "), lambda t: t != "")
     full = F.transform(words, lambda t: F.coalesce(F.try_element_at(m, t), t))
-    short = F.filter(full, lambda t: ~t.isin(*GENERIC))
+    short = F.filter(full, lambda t: ~F.array_contains(generic, t))
     return F.when(F.size(short) > 0, short).otherwise(full)
 
 

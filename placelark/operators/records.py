@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelark.functions.text import index_tokens, index_tokens_each
+from placelark.functions.text import index_tokens_each
 from placelark.operators.features import alt_names, is_addressed, is_place, tag
 
 SCHEMA = (
@@ -72,10 +72,11 @@ def from_tags(feats: DataFrame) -> DataFrame:
 
 def with_tokens(rows: DataFrame) -> DataFrame:
     """tokens: what a user might type of a record, each once, in order."""
-    part = lambda c: F.when(F.col("layer").isin("address", "poi"), text(c)).otherwise(F.array().cast("array<string>"))
-    text = lambda c: index_tokens(F.coalesce(c, F.lit("")))
-    alts = F.flatten(index_tokens_each(F.col("alt_names")))
-    return rows.withColumn("tokens", F.array_distinct(F.concat(*[text(F.col(c)) for c in ("name", "street", "place", "city")], alts, *[part(F.col(c)) for c in ("house_number", "conscription", "orientation", "postcode")])))
+    some = lambda *cs: F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cs])
+    none = F.array().cast("array<string>")
+    numbers = F.when(F.col("layer").isin("address", "poi"), some("house_number", "conscription", "orientation", "postcode")).otherwise(none)
+    texts = F.filter(F.concat(some("name", "street", "place", "city"), F.coalesce("alt_names", none), numbers), lambda x: x != "")
+    return rows.withColumn("tokens", F.array_distinct(F.flatten(index_tokens_each(texts))))
 
 
 def attach_locality(rows: DataFrame, bound: DataFrame) -> DataFrame:
