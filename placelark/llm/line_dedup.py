@@ -39,9 +39,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = (common.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE
     hot = common.filter(F.col("_n") > least).select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), F.col("_first").alias("_hot"))
     met = lines.join(F.broadcast(hot), (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), "left")
-    again = met.filter("_hot IS NOT NULL AND _k > _hot").select("_k", "_d", "_pos")
-    cold = met.filter("_hot IS NULL").join(common.filter(F.col("_n") <= least).select("_h1", "_h2", "_first"), ["_h1", "_h2"]).filter("_k > _first").select("_k", "_d", "_pos")
-    drop = again.unionByName(cold).groupBy("_k", "_d").agg(F.collect_set("_pos").alias("_drop"))
+    # frequent lines go through the same join, so that lines are split twice, not three times: each by a key of its own, which spreads them
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64("_k", "_d", "_pos", "_h2")).otherwise(F.col("_h1"))
+    met = met.select("_k", "_d", "_pos", "_hot", spread.alias("_h1"), "_h2").join(common.filter(F.col("_n") <= least).select("_h1", "_h2", "_first"), ["_h1", "_h2"], "left")
+    drop = met.filter(F.col("_k") > F.coalesce("_hot", "_first")).groupBy("_k", "_d").agg(F.collect_set("_pos").alias("_drop"))
     got = d.join(drop, ["_k", "_d"], "left").withColumn("_lines", F.when(F.col("_drop").isNotNull(), split(F.col("_t"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
     kept = F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
