@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,18 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of so many rows while a job runs: both sides of the pipe to Python hold a whole batch of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def values(batch, name: str):
     """Values of a column of an Arrow batch, one at a time: long texts aren't all held as Python strings."""
     return (x.as_py() for x in batch.column(name))
@@ -127,7 +140,7 @@ def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         inv = np.ones(m, np.uint64)
         inv[1:] = np.uint64(pow(base, -1, 2**64))
         got = (np.multiply.accumulate(one), np.multiply.accumulate(inv))
-        if m <= 1 << 22:
+        if m <= 1 << 20:
             _powers[base] = got
     return got
 
@@ -162,17 +175,19 @@ def window_hashes(norm: bytes, width: int, bases: tuple[int, ...] = BASES[:1]) -
     return out
 
 
-#: Windows of a part of a text: what is hashed at once, however long the text.
-PART_WINDOWS = 500_000
+#: Bytes of a part of a text: what is hashed at once, at some 60 bytes a byte, however long the text.
+PART_BYTES = 1 << 19
 
 
 def parts(norm: bytes, width: int, most: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(first window, bytes) of parts of a normed text, which overlap by a window less a word: each window is in one part."""
-    most = most or PART_WINDOWS
-    if len(norm) <= most:  # no more windows than bytes
+    most = most or PART_BYTES
+    if len(norm) <= most:
         yield 0, norm
         return
     s, e = word_bounds(norm)
-    n = len(s) - width + 1
-    for a in range(0, n, most):
-        yield a, norm[s[a] : e[min(n, a + most) + width - 2]]
+    n, a = len(s) - width + 1, 0
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(s, s[a] + most))))
+        yield a, norm[s[a] : e[b + width - 2]]
+        a = b

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelark.llm.common import BASES, discard, mix, n_partitions, parts, probably_in, table, values, window_hashes, written
+from placelark.llm.common import BASES, discard, mix, n_partitions, parts, probably_in, small_batches, table, values, window_hashes, written
 
 #: Cells of a row of the sketch: about one for each word, between these bounds; merged, a bit each on every worker
 #: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
 MIN_CELLS_LOG2, MAX_CELLS_LOG2, BLOCK_LOG2 = 22, 30, 18
 #: Windows of a chunk: what a worker holds at once.
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 800_000
 #: Rows of a batch that goes back to the JVM.
 BATCH_ROWS = 100_000
 
@@ -200,10 +200,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketched = d.select("_t").mapInArrow(_sketch(cells_log2, width), "block int, gaps binary, twice binary, n int")
     merged = sketched.repartition(n, "block").mapInPandas(_merge, "block int, bits binary")
     bits = np.zeros((2 << cells_log2 - BLOCK_LOG2, 1 << BLOCK_LOG2 - 3), np.uint8)
-    for b, x in merged.toLocalIterator():  # of bounded size, whatever the input
-        bits[b] = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
+    with small_batches(spark):
+        for b, x in merged.toLocalIterator():  # of bounded size, whatever the input
+            bits[b] = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
-    found = written(d.select("_k", "_d", "_t").mapInArrow(_candidates(shared, cells_log2, width), "_k long, _d long, h1 long, h2 long, start int, starts binary"), "windows")
+    del bits
+    with small_batches(spark):
+        found = written(d.select("_k", "_d", "_t").mapInArrow(_candidates(shared, cells_log2, width), "_k long, _d long, h1 long, h2 long, start int, starts binary"), "windows")
     order = Window.partitionBy("h1", "h2").orderBy("_k", "_d", "start")
     later = found.filter("starts IS NULL").select("_k", "_d", "h1", "h2", "start").withColumn("_rank", F.rank().over(order)).filter("_rank > 1").select("_k", "_d", "start")
     pieces = later.select("_k", "_d", "start", F.lit(None).cast("binary").alias("starts")).unionByName(found.filter("starts IS NOT NULL").select("_k", "_d", F.lit(None).cast("int").alias("start"), "starts"))
