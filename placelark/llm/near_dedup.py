@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelark.llm.common import discard, mix, n_partitions, parts, probably_in, table, values, window_hashes, written
+from placelark.llm.common import discard, mix, n_partitions, parts, probably_in, small_batches, table, values, window_hashes, written
 
 BANDS, ROWS, BITS = 32, 5, 4
 #: Signatures of a block of the estimating step, and shingles of a block of the confirming step.
@@ -233,7 +233,8 @@ def spanned(members: DataFrame, payload: DataFrame, prepare, block: int, name: s
     seen = F.when((F.col("_id") == F.col("center")) & (F.col("nb") > 1), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("x"))
     held = m.join(payload, "_id").withColumn("x", F.explode(seen)).select("g", "x", "_id", "center", "nb", "_p")
     kind = "g long, a long, b long"
-    inside = written(held.repartition(n, "g", "x").sortWithinPartitions("g", "x").mapInArrow(_inside(prepare), kind), name)
+    with small_batches(spark):
+        inside = written(held.repartition(n, "g", "x").sortWithinPartitions("g", "x").mapInArrow(_inside(prepare), kind), name)
     edges = inside.filter("b IS NOT NULL").select("a", "b")
     lone = inside.filter("b IS NULL").select("g", F.col("a").alias("_id"))
     if lone.isEmpty():
@@ -281,7 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     under 1e-8; groups of any size are tested whole, in bounded blocks. Other columns are ignored. An empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    sigs = written(d.mapInArrow(_signatures(width), "_id long, n int, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
+    with small_batches(docs.sparkSession):
+        sigs = written(d.mapInArrow(_signatures(width), "_id long, n int, s1 long, s2 long, bands array<long>, sig binary"), "signatures")
     known = sigs.filter("n > 0 AND _id IS NOT NULL")
     reps = written(known.groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep")), "classes")
     rep_sigs = written(known.join(reps.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").select("_id", "bands", F.col("sig").alias("_p")), "representatives")
