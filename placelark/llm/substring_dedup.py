@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelark.llm.common import BASES, discard, mix, n_partitions, parts, probably_in, small_batches, table, values, window_hashes, written
+from placelark.llm.quality_rules import words_of
 
 #: Cells of a row of the sketch: about one for each word, between these bounds; merged, a bit each on every worker
 #: (128 MB a row at most). BLOCK_LOG2: cells of a block of it.
@@ -158,26 +159,20 @@ def _candidates(bits, cells_log2: int, width: int):
     return run
 
 
-def _keep(width: int):
-    def one(t, starts, many):
-        words = t.encode("utf-8", "surrogatepass").split() if t else []
-        at = [np.asarray(starts, np.int64)] if starts else []
-        at += [np.frombuffer(x, np.int32).astype(np.int64) for x in many or ()]
-        if at:
-            edge = np.zeros(len(words) + 1, np.int64)
-            for x in at:
-                np.add.at(edge, x, 1)
-                np.add.at(edge, x + width, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            kept = [w for w, g in zip(words, gone, strict=True) if not g]
-        else:
-            kept = words
-        return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")
+def _gaps(width: int):
+    """What stays of a document between the windows that go: the first word and the number of words of each piece, to the document's end."""
+
+    def one(starts, many):
+        at = np.sort(np.concatenate([np.asarray(starts or (), np.int64), *(np.frombuffer(x, np.int32).astype(np.int64) for x in many or ())]))
+        cut = np.flatnonzero(np.diff(at) > width)
+        begin, end = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + width
+        return (end - begin).sum(), np.concatenate(([0], end)), np.concatenate((begin[:1], begin[1:] - end[:-1], [2**31 - 1]))
 
     def run(batches):
         for batch in batches:
-            columns = zip(*(one(*x) for x in zip(*(values(batch, c) for c in ("_t", "_starts", "_many")), strict=True)), strict=True) if batch.num_rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["_id", "n_words", "n_removed", "kept"])
+            gone, first, n = zip(*(one(*x) for x in zip(values(batch, "_starts"), values(batch, "_many"), strict=True)), strict=True) if batch.num_rows else [()] * 3
+            columns = pa.array(gone, pa.int64()), pa.array(first, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_d"), *columns], ["_k", "_d", "_gone", "_first", "_n"])
 
     return run
 
@@ -210,13 +205,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = Window.partitionBy("h1", "h2").orderBy("_k", "_d", "start")
     later = found.filter("starts IS NULL").select("_k", "_d", "h1", "h2", "start").withColumn("_rank", F.rank().over(order)).filter("_rank > 1").select("_k", "_d", "start")
     pieces = later.select("_k", "_d", "start", F.lit(None).cast("binary").alias("starts")).unionByName(found.filter("starts IS NOT NULL").select("_k", "_d", F.lit(None).cast("int").alias("start"), "starts"))
-    repeats = written(pieces.groupBy("_k", "_d").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many")), "repeats")
+    starts = pieces.groupBy("_k", "_d").agg(F.collect_list("start").alias("_starts"), F.collect_list("starts").alias("_many"))
+    with small_batches(spark):
+        repeats = written(starts.mapInArrow(_gaps(width), "_k long, _d long, _gone long, _first array<int>, _n array<int>"), "repeats")
     discard(found)
-    # only texts that lose words meet their starts: the others aren't shuffled
+    # only texts that lose words meet their gaps: the others aren't shuffled; texts don't go to Python again
     marked = d.withColumn("_in", probably_in(repeats.select(F.xxhash64("_k", "_d").alias("_id")), F.xxhash64("_k", "_d")))
-    cut = marked.filter("_in").join(repeats, ["_k", "_d"], "left").select("_id", "_t", "_starts", "_many")
-    whole = marked.filter("NOT _in").select("_id", "_t", F.lit(None).cast("array<int>").alias("_starts"), F.lit(None).cast("array<binary>").alias("_many"))
-    out = cut.unionByName(whole).mapInArrow(_keep(width), "_id long, n_words long, n_removed long, kept string")
+    cut = marked.filter("_in").join(repeats, ["_k", "_d"], "left").select("_id", "_t", "_gone", "_first", "_n")
+    none = F.lit(None).cast("array<int>")
+    whole = marked.filter("NOT _in").select("_id", "_t", F.lit(None).cast("long").alias("_gone"), none.alias("_first"), none.alias("_n"))
+    out = cut.unionByName(whole).withColumn("_w", words_of(F.col("_t")))
+    stay = F.flatten(F.zip_with("_first", "_n", lambda first, n: F.slice(F.col("_w"), first + 1, F.least(n, F.size("_w")))))
+    kept = F.array_join(F.when(F.col("_first").isNull(), F.col("_w")).otherwise(stay), " ")
+    out = out.select("_id", F.size("_w").cast("long").alias("n_words"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
     return out.withColumnRenamed("_id", id_col)
 
 
