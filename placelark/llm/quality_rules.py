@@ -155,3 +155,22 @@ def apply_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMP
 def op9_quality(spark, sf_dir):
     out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The base and the rules in SQL: a verdict doesn't depend on the cascade's order.
+SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+s AS (SELECT doc_id, start, array_to_string(w[start:start + 7], ' ') AS words FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS start FROM d)),
+r AS (SELECT doc_id, start, count(*) OVER (PARTITION BY doc_id, words) AS n FROM s),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(generate_series(start, start + 7)) AS pos FROM r WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+             CAST(length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS BIGINT) AS letters, CAST(length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS BIGINT) AS capitals
+      FROM d LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > word_chars OR (n_lines >= 5 AND 10 * n_dup_lines > 4 * n_lines) OR word_chars > 40 * n_words
+            OR (letters > 50 AND 10 * capitals > 7 * letters) OR 4 * letters < word_chars OR (20 * n_distinct < n_words AND n_distinct * n_distinct < 5 * n_words)) AS kept
+FROM b"""

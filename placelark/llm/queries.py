@@ -14,4 +14,9 @@ QUERIES = {
     "op9_quality": quality_rules.op9_quality,
     "op10_mix": mixing.op10_mix,
 }
-SQL = {"op4_line_dedup": line_dedup.SQL}
+SQL = {
+    "op4_line_dedup": line_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op7_near_dedup": near_dedup.SQL,
+    "op9_quality": quality_rules.SQL,
+}

@@ -223,3 +223,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op6_substring_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+s AS (SELECT doc_id, pos, string_agg(word, ' ') OVER f AS words, count(*) OVER f AS n FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) AS nth FROM s WHERE n = 20),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 19)) AS pos FROM r WHERE nth > 1),
+k AS (SELECT doc_id, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE g.pos IS NULL) AS kept FROM p LEFT JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
