@@ -146,7 +146,7 @@ def _(s, d):
 _prior = lambda a: F.when(F.col("layer") == 1, place_prior(F.col("place_type"), F.col("population"))).when(F.col("layer") == 2, poi_prior(F.col("category"))).otherwise(1.0)
 PRIOR = f"CASE layer WHEN 1 THEN {_map(PLACE_BASE)}[place_type] + CASE WHEN population > 0 THEN log10(population) ELSE 0 END WHEN 2 THEN coalesce({_map({c: p for p, cs in POI_PRIOR.items() for c in cs})}[category], 1.8) ELSE 1.0 END"
 CHEAP = f"""pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors), loc AS (SELECT name AS locality, max(prior) AS best FROM pr WHERE layer = 1 GROUP BY name),
-cheap AS (SELECT query_id, anchor_id, round(text_weight * prior * CASE layer WHEN 1 THEN 1.25 WHEN 0 THEN 1 + coalesce(best,0)/10 ELSE 1 END, 6) AS score FROM cand JOIN pr USING (anchor_id) LEFT JOIN loc USING (locality))"""
+cheap AS (SELECT query_id, anchor_id, text_weight * prior * CASE layer WHEN 1 THEN 1.25 WHEN 0 THEN 1 + coalesce(best,0)/10 ELSE 1 END AS whole, round(whole, 6) AS score FROM cand JOIN pr USING (anchor_id) LEFT JOIN loc USING (locality))"""
 
 
 def _cheap(s, d):
@@ -154,7 +154,7 @@ def _cheap(s, d):
     a = a.withColumn("prior", _prior(a))
     best = a.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("best"))
     boost = F.when(F.col("layer") == 1, 1.25).when(F.col("layer") == 0, 1 + F.coalesce("best", F.lit(0.0)) / 10).otherwise(1.0)
-    return c.join(a, "anchor_id").join(best, "locality", "left").withColumn("score", F.round(F.col("text_weight") * F.col("prior") * boost, 6))
+    return c.join(a, "anchor_id").join(best, "locality", "left").withColumn("cheap", F.col("text_weight") * F.col("prior") * boost).withColumn("score", F.round("cheap", 6))
 
 
 @query("cheap_score", f"WITH {ANCHORS}, {POSTS}, {CAND}, {CHEAP} SELECT query_id, anchor_id, score FROM cheap")
@@ -184,15 +184,31 @@ def _forward(s, d):
     c = _cheap(s, d).join(_query_tokens(corpus.anchors(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("q")), "query_id")
     q = F.transform("q", lambda x: x["form"])
     variants = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
-    return c.withColumn("cheap", F.col("score")).withColumn("score", F.round(F.col("score") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
+    return c.withColumn("score", F.round(F.col("cheap") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
 
 
-@query("forward_topk")
+# names have two words at most: the last of a query's words claims by prefix, one before it a whole word, each another word of a variant, else of the locality
+RANKED = f"""words AS (SELECT anchor_id, layer, country, name, locality, lat, lon, {_foldsql('name')} AS folded, {_tokensql('name')} AS q, {_tokensql('locality')} AS place, {_tokensql('alias')} AS other FROM anchors),
+pairs AS (SELECT c.query_id, c.anchor_id, c.whole AS cheap, x.q, y.place, unnest([y.q, y.other]) AS v, unnest([CAST(1 AS DOUBLE), CAST({forward.ALIAS} AS DOUBLE)]) AS worth FROM cheap c JOIN words x ON x.anchor_id = c.query_id JOIN words y ON y.anchor_id = c.anchor_id),
+claim1 AS (SELECT *, CASE WHEN len(q) = 2 THEN list_position(v, q[1]) END AS n1, CASE WHEN len(q) = 2 AND n1 IS NULL THEN list_position(place, q[1]) END AS l1 FROM pairs),
+claim2 AS (SELECT *, list_filter(range(1, len(v) + 1), lambda j: starts_with(v[j], q[-1]) AND j <> coalesce(n1, 0))[1] AS n2, CASE WHEN n2 IS NULL THEN list_filter(range(1, len(place) + 1), lambda j: starts_with(place[j], q[-1]) AND j <> coalesce(l1, 0))[1] END AS l2 FROM claim1),
+claims AS (SELECT *, (n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT AS n, (l1 IS NOT NULL)::INT + (l2 IS NOT NULL)::INT AS l FROM claim2),
+based AS (SELECT *, greatest((n + CAST({forward.LOCALITY_CREDIT} AS DOUBLE)*l)/len(q), CAST({forward.FLOOR} AS DOUBLE)) * (CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE)*least(n/len(v), 1)) AS base FROM claims WHERE len(v) > 0),
+scored AS (SELECT query_id, anchor_id, round(any_value(cheap) * max(base*base * CASE WHEN n = len(v) AND n = len(q) THEN CAST({forward.EXACT} AS DOUBLE) ELSE 1 END * worth), 6) AS score FROM based GROUP BY query_id, anchor_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor_id) AS INTEGER) AS rank FROM scored JOIN words USING (anchor_id))"""
+FORWARD = f"{ANCHORS}, {POSTS}, {CAND}, {CHEAP}, {RANKED}"
+
+
+@query("forward_topk", f"WITH {FORWARD} SELECT query_id, rank, anchor_id, name, locality, country, score FROM ranked WHERE rank <= 10")
 def _(s, d):
     return forward.top(_forward(s, d)).select("query_id", "rank", "anchor_id", "name", "locality", "country", "score")
 
 
-@query("forward_dedup")
+@query("forward_dedup", f"""WITH RECURSIVE {FORWARD}, few AS MATERIALIZED (SELECT query_id, rank, {{'id': anchor_id, 'layer': layer, 'k': folded, 'lat': lat, 'lon': lon, 'score': score}} AS r FROM ranked WHERE rank <= {10 + forward.HEADROOM}),
+step AS (SELECT query_id, rank, [r] AS kept FROM few WHERE rank = 1 UNION ALL SELECT query_id, few.rank, CASE WHEN len(list_filter(kept, lambda a: a.layer = r.layer AND a.k = r.k AND {hav('a.lat', 'a.lon', 'r.lat', 'r.lon')} <= {forward.DUPLICATE_M})) > 0 THEN kept ELSE list_append(kept, r) END FROM step JOIN few USING (query_id) WHERE few.rank = step.rank + 1),
+last AS (SELECT query_id, arg_max(kept, rank)[1:10] AS kept FROM step GROUP BY query_id),
+each AS (SELECT query_id, unnest(kept) AS r, generate_subscripts(kept, 1) AS rank FROM last)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, r.id AS anchor_id, r.score AS score FROM each""")
 def _(s, d):
     ranked = forward.top(_forward(s, d), 10 + forward.HEADROOM).withColumn("k", native_fold(F.col("name"))).withColumn("number", F.lit(None).cast("string"))
     return forward.drop_near(ranked)
@@ -303,7 +319,11 @@ def _(s, d):
     return corpus.shapes(s, d).select("shape_id", F.round(geo.bbox_distance_m(F.lit(47.5), F.lit(9.5), c("min_lat"), c("min_lon"), c("max_lat"), c("max_lon")), 3).alias("m"))
 
 
-@query("distance_to_shape")
+@query("distance_to_shape", f"""WITH {SHAPES}, v AS (SELECT *, CASE WHEN shape_id % 2 = 0 THEN [[-1,-1],[-1,1],[1,1],[1,-1]] ELSE [[-1,-1],[-1,1],[0,1],[0,0],[1,0],[1,-1]] END AS o FROM shapes),
+p AS (SELECT shape_id, closed, i, (lon + h*o[i][2] - 9.5)*111320*cos(radians(47.5)) AS ax, (lat + h*o[i][1] - 47.5)*111320 AS ay, (lon + h*o[i % len(o) + 1][2] - 9.5)*111320*cos(radians(47.5)) AS bx, (lat + h*o[i % len(o) + 1][1] - 47.5)*111320 AS yy FROM (SELECT *, unnest(generate_series(1, len(o))) AS i FROM v)),
+e AS (SELECT *, bx - ax AS dx, yy - ay AS dy FROM p),
+f AS (SELECT *, greatest(0, least(1, -(ax*dx + ay*dy)/(dx*dx + dy*dy))) AS t FROM e)
+SELECT shape_id, round(sqrt(min(CASE WHEN closed THEN pow(ax + t*dx, 2) + pow(ay + t*dy, 2) ELSE ax*ax + ay*ay END)), 3) AS m FROM f GROUP BY shape_id""")
 def _(s, d):
     return corpus.shapes(s, d).select("shape_id", F.round(geo.distance_to_shape_m(F.col("ring"), F.col("closed"), F.lit(47.5), F.lit(9.5)), 3).alias("m"))
 
@@ -464,17 +484,9 @@ def _(s, d):
     return corpus.shapes(s, d).select("shape_id", F.size(shapes.simplified(F.col("ring"))).alias("points"))
 
 
-@query("representative_point", f"WITH {SHAPES} SELECT shape_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM shapes WHERE shape_id % 2 = 0")
-def _(s, d):
-    from placelark.operators import shapes
-
-    r = corpus.shapes(s, d).filter("shape_id % 2 = 0").select("shape_id", shapes.representative_point(F.col("ring")).alias("p"))
-    return r.select("shape_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
-
-
-@query("representative_point_all")
+@query("representative_point", f"WITH {SHAPES} SELECT shape_id, round(lat - CASE WHEN shape_id % 2 = 1 THEN h/6 ELSE 0 END, 6) AS lat, round(lon - CASE WHEN shape_id % 2 = 1 THEN h/6 ELSE 0 END, 6) AS lon FROM shapes")
 def _(s, d):
-    """Of every shape, the concave ones too."""
+    """An L of three squares of side h has the mean of their centres: a sixth of h from its inner corner, both ways."""
     from placelark.operators import shapes
 
     r = corpus.shapes(s, d).select("shape_id", shapes.representative_point(F.col("ring")).alias("p"))
