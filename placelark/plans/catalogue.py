@@ -8,6 +8,7 @@ from placelark.functions import geo
 from placelark.functions.priors import CATCHMENT_KM, PLACE_BASE, POI_PRIOR, place_prior, poi_prior
 from placelark.functions.text import ABBREVIATIONS, GENERIC, fold, native_fold, native_index_tokens, native_tokens
 from placelark.operators import columns, features, forward, index, reverse
+from placelark.operators.lineage import cut
 from placelark.plans import literals
 from placelark.sources import corpus
 from placelark.sources.corpus import CATEGORIES, PLACE_CLASSES
@@ -126,11 +127,13 @@ def _query_tokens(a):
 
 
 def _candidates(s, d):
-    a, posts, t = _df(s, d)
+    a = corpus.anchors(s, d)
+    posts = cut(index.postings(a))  # read four times
+    t = index.term_df(posts)
     q = _query_tokens(a)
     w = index.idf(t, a.agg(F.count(F.lit(1)).alias("n"))).select(F.col("term").alias("form"), "idf")
     weights = q.join(w, "form").groupBy("query_id", "pos").agg(F.max("idf").alias("w"))
-    return a, forward.candidates(q, posts, weights)
+    return a, forward.candidates(q, posts, weights, t)
 
 
 CAND = f"""qt AS (SELECT query_id, unnest(toks) AS form, generate_subscripts(toks,1) AS pos, len(toks) AS n FROM (SELECT anchor_id AS query_id, {_tokensql('name')} AS toks FROM anchors)),
@@ -149,9 +152,9 @@ CHEAP = f"""pr AS (SELECT *, CAST({PRIOR} AS DOUBLE) AS prior FROM anchors), loc
 cheap AS (SELECT query_id, anchor_id, text_weight * prior * CASE layer WHEN 1 THEN 1.25 WHEN 0 THEN 1 + coalesce(best,0)/10 ELSE 1 END AS whole, round(whole, 6) AS score FROM cand JOIN pr USING (anchor_id) LEFT JOIN loc USING (locality))"""
 
 
-def _cheap(s, d):
+def _cheap(s, d, **more):
     a, c = _candidates(s, d)
-    a = a.withColumn("prior", _prior(a))
+    a = a.withColumn("prior", _prior(a)).withColumns(more)
     best = a.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("best"))
     boost = F.when(F.col("layer") == 1, 1.25).when(F.col("layer") == 0, 1 + F.coalesce("best", F.lit(0.0)) / 10).otherwise(1.0)
     return c.join(a, "anchor_id").join(best, "locality", "left").withColumn("cheap", F.col("text_weight") * F.col("prior") * boost).withColumn("score", F.round("cheap", 6))
@@ -181,10 +184,11 @@ def _(s, d):
 
 
 def _forward(s, d):
-    c = _cheap(s, d).join(_query_tokens(corpus.anchors(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("q")), "query_id")
+    # tokens are made once an anchor, below the joins
+    c = _cheap(s, d, variants=F.array(native_tokens(F.col("name")), native_tokens(F.col("alias"))), place=native_tokens(F.col("locality")))
+    c = c.join(_query_tokens(corpus.anchors(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("q")), "query_id")
     q = F.transform("q", lambda x: x["form"])
-    variants = F.array(native_tokens(F.col("name")), native_tokens(F.col("alias")))
-    return c.withColumn("score", F.round(F.col("cheap") * forward.best_relevance(q, variants, native_tokens(F.col("locality"))), 6))
+    return c.withColumn("score", F.round(F.col("cheap") * forward.best_relevance(q, F.col("variants"), F.col("place")), 6))
 
 
 # names have two words at most: the last of a query's words claims by prefix, one before it a whole word, each another word of a variant, else of the locality

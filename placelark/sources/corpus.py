@@ -16,7 +16,9 @@ def _at(id_col: str, a: int, base: int):
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
-    d = d.withColumn("w", F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("\\p{L}+"), F.lit(0)), 1, 4)).drop("text")
+    # the match ends with the fourth word: the rest of a text isn't scanned
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), "(?:\\p{L}+\\P{L}+){0,3}\\p{L}+", 0)
+    d = d.withColumn("w", F.regexp_extract_all(head, F.lit("\\p{L}+"), F.lit(0))).drop("text")
     pick = lambda values, c: F.get(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values)).cast("int"))
     return d.select(
         F.col("doc_id").alias("anchor_id"),
