@@ -14,6 +14,14 @@ from placelark.operators.lineage import cut
 MAX_CONTAINING = 3
 
 
+def once_each(points: DataFrame, search, on: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+    """search(points) for all points, where those that agree in `on` are searched once: rows of a location go to every point_id there.
+    The search sees the location itself as point_id, so its rows must not depend on that."""
+    at = F.struct(*on)
+    found = search(points.select(*on).distinct().withColumn("point_id", at))
+    return points.select("point_id", at.alias("_at")).join(found.withColumnRenamed("point_id", "_at"), "_at").select(*found.columns)
+
+
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(point_id, shape_id, area_m2): cells meet in an equi-join; boxes and rings refine."""
     p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cell", geo.cell_key(F.col("plat"), F.col("plon")))
