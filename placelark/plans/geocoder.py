@@ -38,17 +38,23 @@ def within_coverage(points: DataFrame, coverage: DataFrame, radius: float) -> Da
 
 
 def ring_distances(points: DataFrame, shapes: DataFrame, radius: float) -> DataFrame:
-    """(point_id, feature_id, distance_m) of shapes within the radius, 0 inside: the cells of boxes padded by the radius meet
-    the points' cells in an equi-join."""
-    pad = radius / geo.METRES_PER_DEGREE
-    wide = pad / F.greatest(F.cos(F.radians(F.greatest(F.abs("min_lat"), F.abs("max_lat")))), F.lit(0.01))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / geo.CELL), F.floor(b / geo.CELL)))
-    s = shapes.withColumn("cy", cells(F.col("min_lat") - pad, F.col("max_lat") + pad)).withColumn("cx", cells(F.col("min_lon") - wide, F.col("max_lon") + wide))
-    s = s.select(F.col("shape_id").alias("feature_id"), "closed", "ring", "cy", "cx")
-    p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cy", F.floor(F.col("plat") / geo.CELL)).withColumn("cx", F.floor(F.col("plon") / geo.CELL))
+    """(point_id, feature_id, distance_m) of shapes within the radius, 0 inside; points may have a smaller radius of their own, `within`.
+    The cells of the shapes' boxes meet those within a point's radius in an equi-join; a pair counts in the first cell that both have. Boxes go before rings."""
+    span = lambda n, lo, hi: {f"{n}0": F.floor(lo / geo.CELL), f"{n}1": F.floor(hi / geo.CELL)}
+    each = lambda df, y, x: df.withColumn("cy", F.explode(F.sequence(f"{y}0", f"{y}1"))).withColumn("cx", F.explode(F.sequence(f"{x}0", f"{x}1")))
+    box = ("min_lat", "min_lon", "max_lat", "max_lon")
+    s = shapes.select(F.col("shape_id").alias("feature_id"), "closed", "ring", *box).withColumns(span("sy", F.col("min_lat"), F.col("max_lat")) | span("sx", F.col("min_lon"), F.col("max_lon")))
+    within = F.least(F.col("within"), F.lit(radius)) if "within" in points.columns else F.lit(radius)
+    p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), within.alias("within"))
+    pad = (F.col("within") * 1.0001 + 0.01) / geo.METRES_PER_DEGREE
+    wide = pad / F.greatest(F.cos(F.radians("plat")), F.lit(0.01))
+    p = p.withColumns(span("py", F.col("plat") - pad, F.col("plat") + pad) | span("px", F.col("plon") - wide, F.col("plon") + wide))
     at = (F.col("plat"), F.col("plon"))
+    first = (F.col("cy") == F.greatest("sy0", "py0")) & (F.col("cx") == F.greatest("sx0", "px0"))
+    near = geo.bbox_distance_m(*at, *map(F.col, box)) <= F.col("within") * 1.0001 + 0.01
     d = F.when(F.col("closed") & geo.contains(F.col("ring"), *at), 0.0).otherwise(geo.distance_to_shape_m(F.col("ring"), F.col("closed"), *at))
-    return p.join(s, ["cy", "cx"]).withColumn("distance_m", d).filter(F.col("distance_m") <= radius).select("point_id", "feature_id", "distance_m")
+    pairs = each(p, "py", "px").join(each(s, "sy", "sx"), ["cy", "cx"]).filter(first & near)
+    return pairs.withColumn("distance_m", d).filter(F.col("distance_m") <= F.col("within")).select("point_id", "feature_id", "distance_m")
 
 
 class Geocoder:
@@ -163,9 +169,13 @@ class Geocoder:
         """points (point_id, lat, lon; country if there) to (point_id, rank, tier, anchor_id, address_id, distance_m, score).
 
         Tier 1: the three smallest regions that contain the point. Tier 2: what is nearest within the radius, addresses
-        and anchors alike; other containing regions are at distance 0.
+        and anchors alike; other containing regions are at distance 0. Points at one place are searched once.
         """
         limit, radius = max(1, min(MOST, limit)), max(1.0, min(MOST_RADIUS, radius))
+        on = [c for c in ("lat", "lon", "country") if c in points.columns]
+        return reverse.once_each(points, lambda spots: self._reverse(spots, limit, radius), tuple(on))
+
+    def _reverse(self, points: DataFrame, limit: int, radius: float) -> DataFrame:
         anchors, addresses, shapes = self.t["anchors"], self.t["addresses"], self.t["shapes"]
         by_country = "country" in points.columns
         if by_country:
@@ -175,18 +185,22 @@ class Geocoder:
         spots = addresses.select(F.struct(F.lit(0).alias("kind"), F.col("address_id").alias("id")).alias("feature_id"), "anchor_id", "lat", "lon")
         lone = anchors.join(shapes.select(F.col("shape_id").alias("anchor_id")), "anchor_id", "left_anti")
         spots = spots.unionByName(lone.select(F.struct(F.lit(1).alias("kind"), F.col("anchor_id").alias("id")).alias("feature_id"), "anchor_id", "lat", "lon"))
-        rings = ring_distances(p, shapes, radius).select("point_id", F.col("feature_id").alias("anchor_id"), F.lit(None).cast("long").alias("address_id"), "distance_m")
+        rings = lambda p: ring_distances(p, shapes, radius).select("point_id", F.col("feature_id").alias("anchor_id"), F.lit(None).cast("long").alias("address_id"), "distance_m")
         if by_country:  # the country filters before the limit
             want = points.select("point_id", F.lower("country").alias("want"))
             of = anchors.select("anchor_id", "country")
             mine = lambda df: df.join(want, "point_id").join(of, "anchor_id").filter("want IS NULL OR want = country").drop("want", "country")
             inside = mine(inside.withColumnRenamed("shape_id", "anchor_id")).withColumnRenamed("anchor_id", "shape_id")
-            rings = mine(rings)
             listed = points.select("point_id", "lat", "lon", F.lower("country").alias("country"))
             got = reverse.nearest(listed.filter("country IS NOT NULL"), spots.join(of, "anchor_id"), limit, radius, on=("country",))
             got = got.unionByName(reverse.nearest(listed.filter("country IS NULL"), spots, limit, radius))
         else:
             got = reverse.nearest(p, spots, limit, radius)
+        got = cut(got)  # read for its distances and its rows
+        # a shape farther than a point's last hit, where there are `limit`, can't come before those
+        enough = got.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance_m").alias("within")).filter(F.col("n") >= limit).select("point_id", "within")
+        rings = rings(p.join(enough, "point_id", "left").withColumn("within", F.coalesce("within", F.lit(radius))))
+        rings = mine(rings) if by_country else rings
         head = reverse.top_containing(inside).select("point_id", F.col("shape_id").alias("anchor_id"), F.lit(None).cast("long").alias("address_id"), F.lit(1).alias("tier"), F.lit(0.0).alias("distance_m"), (1000 / (1 + F.col("area_m2") / 1e4)).alias("score"))
         near = got.join(spots.select("feature_id", "anchor_id"), "feature_id").select("point_id", "anchor_id", F.when(F.col("feature_id.kind") == 0, F.col("feature_id.id")).alias("address_id"), "distance_m")
         near = near.unionByName(rings.join(head.select("point_id", "anchor_id"), ["point_id", "anchor_id"], "left_anti").select(near.columns))

@@ -43,3 +43,19 @@ def test_a_place_is_searched_once(spark, alike, monkeypatch, name):
     seen = asked(monkeypatch, reverse, "containing")
     same_as_sql(spark, alike, name)
     assert seen == [30]
+
+
+def test_engine_searches_a_place_once(spark, alike, monkeypatch):
+    seen = asked(monkeypatch, reverse, "containing")
+    d, c = alike
+    got = catalogue.QUERIES["geocode_reverse"](spark, d)
+    assert seen == [30] and got.select("point_id").distinct().count() == 1200
+
+
+def test_rings_within_a_points_own_radius(spark):
+    at = lambda lat, lon: f"named_struct('lat', {lat}D, 'lon', {lon}D)"
+    square = lambda i, lat: f"SELECT {i}L AS shape_id, true AS closed, array({at(lat, 9)}, {at(lat, 9.2)}, {at(lat + 0.2, 9.2)}, {at(lat + 0.2, 9)}) AS ring, {lat}D AS min_lat, 9D AS min_lon, {lat + 0.2}D AS max_lat, 9.2D AS max_lon"
+    s = spark.sql(f"{square(1, 47)} UNION ALL {square(2, 47.21)}")
+    p = spark.sql("SELECT 1L AS point_id, 47.195D AS lat, 9.1D AS lon, 1000D AS within UNION ALL SELECT 2L, 47.195D, 9.1D, 5000D UNION ALL SELECT 3L, 47.1D, 9.21D, 1e9D")
+    got = sorted((r.point_id, r.feature_id, round(r.distance_m)) for r in geocoder.ring_distances(p, s, 3000.0).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (2, 2, 1670), (3, 1, 758)]
