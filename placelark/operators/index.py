@@ -41,13 +41,34 @@ def bind_streets(addresses: DataFrame, anchors: DataFrame) -> DataFrame:
     return own.join(known, "key", "left").join(made, "key", "left").select("address_id", F.coalesce("known_id", "made_id").alias("anchor_id"), F.col("known_id").isNull().alias("synthetic"))
 
 
-def bind_places(addresses: DataFrame, places: DataFrame, key=lambda c: F.array(fold(c))) -> DataFrame:
+def bind_places(addresses: DataFrame, places: DataFrame, key=lambda c: F.array(fold(c)), few: int = 32) -> DataFrame:
     """addresses (address_id, country, place, lat, lon) to the nearest place of the same name, by planar distance
-    scaled at the address; ties to the smallest id; without a place, none. `key`: what names are compared by, an array of words."""
-    p = places.select("country", key(F.col("name")).alias("k"), "anchor_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    a = addresses.withColumn("k", key(F.col("place")))
+    scaled at the address; ties to the smallest id; without a place, none. `key`: what names are compared by, an array of words.
+
+    Names of up to `few` places meet them all. Others have a grid of their own, some four places a cell: an address meets the nine cells about it, and
+    is settled if its nearest there is no farther than what lies outside can be. The rest go on to cells of four times the side, then meet all."""
+    group = ["country", "k"]
+    p = places.select("country", key(F.col("name")).alias("k"), "anchor_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).groupBy(*group, "plat", "plon").agg(F.min("anchor_id").alias("anchor_id"))
+    span = F.greatest(F.max("plat") - F.min("plat"), F.max("plon") - F.min("plon"))
+    stats = p.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), span.alias("span"), F.count_if(F.isnull("plat") | F.isnull("plon")).alias("unplaced"))
+    dense = (F.col("n") > few) & (F.col("span") > 0) & ~F.isnan("span") & (F.col("unplaced") == 0)
+    stats = cut(stats.select(*group, F.when(dense, F.col("span") / F.sqrt(F.col("n") / 4)).alias("step")))
+    p = cut(p.join(stats, group))
+    left = cut(addresses.select("address_id", "country", key(F.col("place")).alias("k"), "lat", "lon").join(stats, group))
     dx, dy = (F.col("plon") - F.col("lon")) * F.cos(F.radians("lat")), F.col("plat") - F.col("lat")
-    return a.join(p, ["country", "k"]).groupBy("address_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "anchor_id"))["anchor_id"].alias("anchor_id"))
+    nearest = F.min(F.struct((dx * dx + dy * dy).alias("d"), "anchor_id")).alias("b")
+    out = None
+    for times in (1, 4):
+        step = F.col("step") * times
+        cell = lambda c: F.floor(F.col(c) / step)  # noqa: E731, B023
+        about = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: E731, B023
+        near = left.filter("step IS NOT NULL").withColumn("cy", cell("lat")).withColumn("cx", cell("lon")).withColumn("reach", F.pow(step * F.cos(F.radians("lat")), F.lit(2)) * (1 - 1e-9)).drop("step")
+        tiles = p.filter("step IS NOT NULL").withColumn("cy", about("plat")).withColumn("cx", about("plon")).drop("step")
+        hits = near.join(tiles, [*group, "cy", "cx"]).groupBy("address_id").agg(nearest, F.min("reach").alias("reach"))
+        done = cut(hits.filter(F.col("b.d") <= F.col("reach")).select("address_id", F.col("b.anchor_id").alias("anchor_id")))
+        left = left.join(done, "address_id", "left_anti")
+        out = done if out is None else out.unionByName(done)
+    return out.unionByName(left.drop("step").join(p.drop("step"), group).groupBy("address_id").agg(nearest).select("address_id", F.col("b.anchor_id").alias("anchor_id")))
 
 
 def address_runs(addresses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from placelark.operators import reverse
+from placelark.operators import index, reverse
 from placelark.plans import catalogue, geocoder
 
 
@@ -59,3 +59,17 @@ def test_rings_within_a_points_own_radius(spark):
     p = spark.sql("SELECT 1L AS point_id, 47.195D AS lat, 9.1D AS lon, 1000D AS within UNION ALL SELECT 2L, 47.195D, 9.1D, 5000D UNION ALL SELECT 3L, 47.1D, 9.21D, 1e9D")
     got = sorted((r.point_id, r.feature_id, round(r.distance_m)) for r in geocoder.ring_distances(p, s, 3000.0).collect())
     assert got == [(1, 1, 0), (2, 1, 0), (2, 2, 1670), (3, 1, 758)]
+
+
+def test_nearest_of_many_places(spark, monkeypatch):
+    """All of one name, in clusters and far from them; brute force."""
+    lat, lon = "47 + pmod(id * 7919, 10000) / 10000D", "9 + pmod(id * 4729, 10000) / 10000D"
+    p = spark.range(600).selectExpr("'de' AS country", "'Ort' AS name", "id AS anchor_id", f"CASE WHEN id < 300 THEN 47 + ({lat} - 47) / 50 ELSE {lat} END AS lat", f"CASE WHEN id < 300 THEN 9 + ({lon} - 9) / 50 ELSE {lon} END AS lon")
+    a = spark.range(1000, 1400).selectExpr("id AS address_id", "'de' AS country", "'Ort' AS place", f"CASE WHEN id % 50 = 0 THEN 44D ELSE {lat} END AS lat", f"{lon} AS lon")
+    met = index.bind_places(a, p)
+    dx, dy = (F.col("p.lon") - F.col("a.lon")) * F.cos(F.radians("a.lat")), F.col("p.lat") - F.col("a.lat")
+    want = a.alias("a").join(p.alias("p")).groupBy("address_id").agg(F.min(F.struct(dx * dx + dy * dy, "anchor_id"))["anchor_id"].alias("anchor_id"))
+    assert sorted(met.collect()) == sorted(want.collect()) and met.count() == 400
+    seen = asked(monkeypatch, index, "cut")
+    index.bind_places(a, p)
+    assert sum(seen[3:]) == 392  # settled on the grid: all but those far from every place
