@@ -1,7 +1,7 @@
 """The engine over an index: build its tables, store and load them, answer batches of queries and of points.
 
 Tables: anchors (anchor_id, layer 0 street / 1 place / 2 poi, country, name, locality, alt_names, category, prior, lat, lon; names and
-loc_tokens, the tokens of each name, canonical first, and of the locality, are added),
+loc_tokens, the tokens of each name, canonical first, and of the locality, and own, the terms of all its postings, are added),
 addresses (address_id, anchor_id, house_number, sort_key, lat, lon), shapes (shape_id = anchor_id, closed, ring, box), and
 from these postings (term, anchor_id), terms (term, df) and coverage (country, box).
 """
@@ -18,7 +18,7 @@ from placelark.operators import features, forward, index, reverse
 from placelark.operators.lineage import cut
 
 # Fixed values.
-VERSION, LIMIT, REVERSE_LIMIT, MOST, RADIUS, MOST_RADIUS = 1, 10, 5, 50, 5000.0, 50000.0
+VERSION, LIMIT, REVERSE_LIMIT, MOST, RADIUS, MOST_RADIUS = 2, 10, 5, 50, 5000.0, 50000.0
 TABLES = ["anchors", "addresses", "shapes", "postings", "terms", "coverage"]
 _NO_SHAPES = "shape_id long, closed boolean, ring array<struct<lat:double,lon:double>>, min_lat double, max_lat double, min_lon double, max_lon double"
 
@@ -67,25 +67,32 @@ class Geocoder:
         spark = anchors.sparkSession
         text = lambda c: F.coalesce(c, F.lit(""))
         own = F.array_distinct(F.concat(index_tokens(text("name")), index_tokens(text("locality")), F.flatten(index_tokens_each(F.col("alt_names")))))
-        posts = anchors.select(F.explode(own).alias("term"), "anchor_id")
         names = F.concat(F.array(tokens(text("name"))), tokens_each(F.col("alt_names")))
-        anchors = anchors.withColumn("names", names).withColumn("loc_tokens", tokens(text("locality")))
+        anchors = anchors.withColumn("names", names).withColumn("loc_tokens", tokens(text("locality"))).withColumn("own", own)
         spots = anchors.select("country", "lat", "lon").unionByName(addresses.join(anchors.select("anchor_id", "country"), "anchor_id").select("country", "lat", "lon"))
+        posts = cls._postings(anchors)
         a = addresses.withColumn("sort_key", index.leading_int(F.col("house_number")))
         return cls({"anchors": anchors, "addresses": a, "shapes": shapes if shapes is not None else spark.createDataFrame([], _NO_SHAPES), "postings": posts, "terms": index.term_df(posts), "coverage": index.coverage(spots)})
 
+    @staticmethod
+    def _postings(anchors: DataFrame) -> DataFrame:
+        return anchors.select(F.explode("own").alias("term"), "anchor_id")
+
     def cached(self) -> Geocoder:
         """The same over tables that executors hold, on disk where memory is short; for an index of one session."""
         return Geocoder({k: v.persist() for k, v in self.t.items()})
 
     def write(self, path: str) -> None:
-        """The tables under path, each clustered by what queries join it on, and a manifest of their version and rows."""
+        """The tables under path, each clustered by what queries join it on, and a manifest of their version and rows.
+        Postings and terms are made of the stored tables: names are read into tokens once."""
         order = {"postings": ["term", "anchor_id"], "addresses": ["anchor_id", "sort_key", "house_number"], "anchors": ["anchor_id"], "terms": ["term"]}
         spark = self.t["anchors"].sparkSession
+        stored = lambda name: spark.read.parquet(f"{path}/{name}")
+        made = {"postings": lambda: self._postings(stored("anchors")), "terms": lambda: index.term_df(stored("postings"))}
         for name in TABLES:
-            df, by = self.t[name], order.get(name)
+            df, by = made[name]() if name in made else self.t[name], order.get(name)
             (df.repartition(by[0]).sortWithinPartitions(*by) if by else df).write.parquet(f"{path}/{name}")
-        rows = [(name, VERSION, spark.read.parquet(f"{path}/{name}").count()) for name in TABLES]
+        rows = [(name, VERSION, stored(name).count()) for name in TABLES]
         spark.createDataFrame(rows, "name string, version int, n long").coalesce(1).write.json(f"{path}/manifest")
 
     @classmethod
@@ -101,68 +108,84 @@ class Geocoder:
         return cls(t)
 
     # --- forward ------------------------------------------------------------------------------------------------------
-    def _search(self, asked: DataFrame, proximity: bool) -> DataFrame:
-        """asked (query_id, reading, tokens, variants, number, country, at_lat, at_lon, corrected) to scored anchors of the
-        first reading that finds any."""
-        key = ["query_id", "reading"]
-        anchors, posts, terms = (self.t[x] for x in ("anchors", "postings", "terms"))
+    def _search(self, texts: DataFrame) -> DataFrame:
+        """texts (text, tokens, variants) to anchors (text, anchor_id, country, lat, lon, cheap, fit): each text is searched once, whoever asks it."""
+        anchors, terms = self.t["anchors"], self.t["terms"]
         n_anchors = anchors.agg(F.count(F.lit(1)).alias("n"))
-        pos = asked.select(*key, "tokens", F.size("variants").alias("n_pos"), F.posexplode("variants").alias("pos", "forms"))
-        pos = pos.withColumn("once", F.array_position("tokens", F.get("tokens", F.col("pos"))) == F.col("pos") + 1)
-        form = pos.select(*key, "n_pos", "pos", "once", F.explode("forms").alias("form"))
-        # complete tokens: any spelling, weighed by the documents of all of them
-        exact = form.filter("pos < n_pos - 1").join(terms, form["form"] == terms["term"]).select(*key, "pos", "once", "term", "df")
-        weight = index.idf(exact.groupBy(*key, "pos").agg(F.sum("df").alias("df")), n_anchors).select(*key, "pos", "idf")
-        whole = exact.join(weight, [*key, "pos"]).join(posts, "term").groupBy(*key, "pos", "anchor_id").agg(F.max(F.when(F.col("once"), F.col("idf")).otherwise(0.0)).alias("w"))
-        # the last token: all terms that it starts, nearer to whole ones first
-        last = form.filter("pos = n_pos - 1").withColumnRenamed("form", "prefix").filter("prefix <> ''")
-        hits = forward.prefix_hits(last, terms)
-        total = index.idf(hits.select(*key, "term", "df").distinct().groupBy(*key).agg(F.sum("df").alias("df")), n_anchors).select(*key, "idf")
-        share = F.pow(F.char_length("prefix") / F.char_length("term"), F.lit(2))
-        tail = hits.join(total, key).withColumn("w", F.col("idf") * share).join(posts, "term").groupBy(*key, "pos", "anchor_id").agg(F.max("w").alias("w"))
-        found = whole.unionByName(tail).groupBy(*key, "anchor_id").agg(F.count(F.lit(1)).alias("hit"), F.sum("w").alias("text_weight"))
-        found = found.join(asked.withColumn("n_pos", F.size("variants")), key).filter("hit = n_pos").join(anchors, "anchor_id").filter(F.col("want").isNull() | (F.col("want") == F.col("country")))
-        first = found.withColumn("_first", F.min("reading").over(Window.partitionBy("query_id"))).filter("reading = _first").drop("_first")
         best = anchors.filter("layer = 1").groupBy(F.col("name").alias("locality")).agg(F.max("prior").alias("locality_best"))
         boost = F.when(F.col("layer") == 1, 1.25).when(F.col("layer") == 0, 1 + F.coalesce("locality_best", F.lit(0.0)) / 10).otherwise(1.0)
-        near = F.when(F.col("at_lat").isNotNull() & F.col("at_lon").isNotNull(), forward.proximity(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))).otherwise(1.0) if proximity else F.lit(1.0)
-        fit = forward.best_relevance(F.col("variants"), F.col("names"), F.col("loc_tokens"), forms=True)
-        return first.join(best, "locality", "left").withColumn("score", F.col("text_weight") * F.col("prior") * boost * near * fit)
+        known = anchors.join(best, "locality", "left").select("anchor_id", "country", "lat", "lon", "prior", boost.alias("boost"), "own", "names", "loc_tokens")
+        found = forward.text_candidates(texts, known, terms, n_anchors)
+        return cut(found.select("text", "anchor_id", "country", "lat", "lon", (F.col("text_weight") * F.col("prior") * F.col("boost")).alias("cheap"), "fit"))
+
+    @staticmethod
+    def _first(asked: DataFrame, found: DataFrame) -> DataFrame:
+        """asked (ask, reading, text, number, want) to the first reading of each that finds an anchor of its country."""
+        alive = found.groupBy("text").agg(F.collect_set("country").alias("countries"))
+        some = asked.join(alive, "text").filter(F.col("want").isNull() | F.array_contains("countries", F.col("want")))
+        return some.groupBy("ask").agg(F.min(F.struct("reading", "text", "number")).alias("r")).select("ask", "r.text", "r.number")
+
+    def _corrected(self, texts: DataFrame) -> DataFrame:
+        """texts (text, tokens) that have unknown words with a correction, with these in place: (text, tokens)."""
+        word = texts.select("text", F.posexplode("tokens").alias("pos", "word"))
+        fixed = forward.best_correction(forward.corrections(word.select("word").distinct(), self.t["terms"])).withColumnRenamed("term", "fix")
+        again = word.join(fixed, "word", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fix", "word").alias("t")))).alias("p"), F.max(F.col("fix").isNotNull()).alias("changed")).filter("changed")
+        return again.select("text", F.transform("p", lambda x: x["t"]).alias("tokens"))
 
     def _numbered(self, scored: DataFrame) -> DataFrame:
         """Scores with the factor of the house number that was asked for, and the address found."""
-        asked = scored.filter("number IS NOT NULL")
-        got = forward.match_house(asked.select("query_id", "anchor_id", "country", "number"), self.t["addresses"])
-        at = got.join(self.t["addresses"].select("address_id", "house_number", F.col("lat").alias("hlat"), F.col("lon").alias("hlon")), "address_id", "left")
-        out = scored.join(at, ["query_id", "anchor_id"], "left")
-        return out.select(*[c for c in scored.columns if c not in ("lat", "lon", "score")], "address_id", "house_number", F.coalesce("hlat", "lat").alias("lat"), F.coalesce("hlon", "lon").alias("lon"), (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
+        got = forward.match_house(scored.filter("number IS NOT NULL").select("query_id", "anchor_id", "country", "number"), self.t["addresses"])
+        out = scored.join(got, ["query_id", "anchor_id"], "left")
+        return out.select("query_id", "anchor_id", "address_id", "corrected", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
+
+    def _ranked(self, chosen: DataFrame, found: DataFrame, proximity: bool, most: int) -> DataFrame:
+        """chosen (ask, text, number, want, at_lat, at_lon, corrected) to their best anchors, with the address of the number that was asked for."""
+        near = F.when(F.col("at_lat").isNotNull() & F.col("at_lon").isNotNull(), forward.proximity(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))).otherwise(1.0) if proximity else F.lit(1.0)
+        scored = chosen.withColumnRenamed("ask", "query_id").join(found, "text").filter(F.col("want").isNull() | (F.col("want") == F.col("country")))
+        scored = cut(scored.select("query_id", "anchor_id", "number", "corrected", "country", (F.col("cheap") * near * F.col("fit")).alias("score")))
+        return self._shown(forward.top(self._numbered(scored), most))
+
+    def _shown(self, best: DataFrame) -> DataFrame:
+        """Ranked rows with the columns of their anchors and addresses, and the name that duplicates agree in."""
+        at = self.t["addresses"].select("address_id", "house_number", F.col("lat").alias("hlat"), F.col("lon").alias("hlon"))
+        rows = best.select("query_id", "anchor_id", "address_id", "rank", "score", "corrected").join(self.t["anchors"], "anchor_id").join(at, "address_id", "left")
+        rows = rows.withColumn("lat", F.coalesce("hlat", "lat")).withColumn("lon", F.coalesce("hlon", "lon")).withColumn("k", fold(F.col("name")))
+        return cut(rows.select("query_id", "anchor_id", "address_id", "rank", "score", "corrected", "layer", "name", "k", "house_number", "locality", "country", "category", "lat", "lon"))
 
     def forward(self, queries: DataFrame, limit: int = LIMIT, fuzzy: bool = True) -> DataFrame:
         """queries (query_id, q; country, lat, lon if there) to (query_id, rank, anchor_id, address_id, ..., score, corrected).
 
         Readings are tried in order, after the country filter. Queries that nothing matches are tried once more with
         their unknown words corrected; `corrected` is then the text that was searched. Every candidate is scored.
+        Queries that ask the same are answered once, and texts that several of them read are searched once.
         """
         limit = max(1, min(MOST, limit))
         has = set(queries.columns)
         opt = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind)
-        asked = queries.select("query_id", F.posexplode(parse(F.col("q"))).alias("reading", "r"), F.lower(opt("country", "string")).alias("want"), opt("lat", "double").alias("at_lat"), opt("lon", "double").alias("at_lon"))
-        asked = asked.select("query_id", "reading", "r.tokens", "r.variants", "r.number", "want", "at_lat", "at_lon", F.lit(None).cast("string").alias("corrected"))
-        asked = cut(asked)  # texts are parsed once
-        near = {"lat", "lon"} <= has
-        scored = cut(self._search(asked, near))  # read by the second try and by both sides of later joins
+        queries = queries.select("query_id", F.struct(F.col("q"), F.lower(opt("country", "string")).alias("want"), opt("lat", "double").alias("at_lat"), opt("lon", "double").alias("at_lon")).alias("what"))
+        asks = cut(queries.select("what").distinct().withColumn("ask", F.monotonically_increasing_id()))  # a number must not change
+        members = queries.join(asks, "what").select(F.col("ask").alias("query_id"), F.col("query_id").alias("member"))
+        read = cut(asks.select("ask", F.col("what.want").alias("want"), F.posexplode(parse(F.col("what.q"))).alias("reading", "r")).select("ask", "want", "reading", "r.tokens", "r.variants", "r.number"))  # texts are parsed once
+        texts = cut(read.select("tokens", "variants").distinct().withColumn("text", F.monotonically_increasing_id()))
+        read = read.join(texts, ["tokens", "variants"]).select("ask", "reading", "text", "number", "want")
+        found = self._search(texts)
+        chosen = self._first(read, found).withColumn("corrected", F.lit(None).cast("string"))
         if fuzzy:
-            left = asked.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-            word = left.select("query_id", "reading", F.posexplode("tokens").alias("pos", "word"))
-            fixed = forward.best_correction(forward.corrections(word.select("word").distinct(), self.t["terms"])).withColumnRenamed("term", "fix")
-            again = word.join(fixed, "word", "left").groupBy("query_id", "reading").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fix", "word").alias("t")))).alias("p"), F.max(F.col("fix").isNotNull()).alias("changed")).filter("changed")
-            again = again.select("query_id", "reading", F.transform("p", lambda x: x["t"]).alias("tokens"))
-            redo = left.drop("tokens", "variants", "corrected").join(again, ["query_id", "reading"]).withColumn("variants", F.transform("tokens", lambda t: F.array(t))).withColumn("corrected", F.array_join("tokens", " "))
-            scored = scored.unionByName(self._search(cut(redo), near))
-        ranked = cut(forward.top(self._numbered(scored), limit + forward.HEADROOM).withColumn("k", fold(F.col("name"))))
-        kept = forward.drop_near(ranked.drop("number").withColumnRenamed("house_number", "number"), limit).select("query_id", F.col("rank").alias("place"), "anchor_id")
+            chosen = cut(chosen)
+            left = cut(read.join(chosen.select("ask"), "ask", "left_anti"))
+            fixed = cut(self._corrected(left.select("text").distinct().join(texts, "text").select("text", "tokens")))
+            again = cut(fixed.select("tokens").distinct().withColumn("text", -1 - F.monotonically_increasing_id()).withColumn("variants", F.transform("tokens", lambda t: F.array(t))))
+            other = fixed.join(again.select("tokens", F.col("text").alias("other")), "tokens").select("text", "other")
+            redone = self._search(again)
+            redo = left.join(other, "text").drop("text").withColumnRenamed("other", "text")
+            chosen = chosen.unionByName(self._first(redo, redone).join(again.select("text", F.array_join("tokens", " ").alias("corrected")), "text"))
+            found = found.unionByName(redone)
+        chosen = chosen.join(asks.select("ask", "what.want", "what.at_lat", "what.at_lon"), "ask")
+        ranked = self._ranked(chosen, found, {"lat", "lon"} <= has, limit + forward.HEADROOM)
+        kept = forward.drop_near(ranked.withColumnRenamed("house_number", "number"), limit).select("query_id", F.col("rank").alias("place"), "anchor_id")
         out = ranked.join(kept, ["query_id", "anchor_id"]).withColumn("place_name", features.place_name(F.col("name"), F.col("house_number"), F.col("locality"), F.col("country")))
-        return out.select("query_id", F.col("place").alias("rank"), "anchor_id", "address_id", "layer", "name", "house_number", "locality", "country", "category", "lat", "lon", "score", "corrected", "place_name")
+        out = out.select("query_id", F.col("place").alias("rank"), "anchor_id", "address_id", "layer", "name", "house_number", "locality", "country", "category", "lat", "lon", "score", "corrected", "place_name")
+        return forward.expand(out, members)
 
     # --- reverse ------------------------------------------------------------------------------------------------------
     def reverse(self, points: DataFrame, limit: int = REVERSE_LIMIT, radius: float = RADIUS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Work that must not grow with copies: what the operators are asked, on tables with many rows alike; answers by SQL or by brute force."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,38 @@ def test_expand_deals_a_name_out(spark):
     m = spark.range(500).selectExpr("0L AS query_id", "id AS member")
     got = forward.expand(spark.createDataFrame([(7, 0), (8, 0)], "anchor_id long, query_id long"), m, size=10)
     assert got.columns == ["anchor_id", "query_id"] and sorted(map(tuple, got.collect())) == sorted((a, q) for a in (7, 8) for q in range(500))
+
+
+def test_engine_answers_alike_queries_once(spark, alike, monkeypatch):
+    """140 queries of a few words: what is searched and ranked are those, and each query has the answers of its word."""
+    seen = asked(monkeypatch, forward, "expand")
+    d, c = alike
+    got = catalogue.QUERIES["geocode_corrected"](spark, d).collect()
+    assert len(seen) == 1 and 8 <= seen[0] <= 24
+    word = dict(c.sql("select doc_id, regexp_extract(text, '\\p{L}+') from documents").fetchall())
+    by_word = {}
+    for r in got:
+        by_word.setdefault(word[r.query_id], {}).setdefault(r.query_id, []).append((r["rank"], r.anchor_id, r.score, r.corrected))
+    asking = {w: sum(x == w for x in word.values()) for w in by_word}
+    assert all(len(q) == asking[w] and len({tuple(sorted(x)) for x in q.values()}) == 1 for w, q in by_word.items())
+    assert {w: {x[3] for q in of.values() for x in q} for w, of in by_word.items()} == {"Ouwhea": {"ouwhea"}, "The": {None}, "the": {None}, "Rue": {None}, "more": {None}}
+
+
+def test_text_candidates_by_every_pair(spark):
+    """Against all pairs of a text and an anchor: repeated words, several forms, a prefix that starts another, rarest words first and last."""
+    own = [["a", "ab", "abc"], ["ab", "x"], ["x", "a"], ["x", "y", "ab"], ["y"], ["ss", "x"], ["sss", "y", "x"], ["x", "xa"]] + [["x"]] * 3
+    a = spark.createDataFrame([(i, w, [w[:1]], w[1:]) for i, w in enumerate(own)], "anchor_id long, own array<string>, names array<array<string>>, loc_tokens array<string>")
+    df = {t: sum(t in w for w in own) for w in own for t in w}
+    variants = [[["a"]], [["x"], ["a"]], [["x"], ["x"]], [["x", "y"], ["ab"]], [["sss", "ss"]], [["abc"], ["a"]], [["q"], ["a"]], [["x"], ["q"]], [["x"], [""]], [["y"], ["x"], ["a", "ab"]]]
+    texts = spark.createDataFrame([(i, [f[0] for f in v], v) for i, v in enumerate(variants)], "text long, tokens array<string>, variants array<array<string>>")
+    terms = spark.createDataFrame(list(df.items()), "term string, df long")
+    got = {(r.text, r.anchor_id): round(r.text_weight, 9) for r in forward.text_candidates(texts, a, terms, a.selectExpr("count(*) AS n")).collect()}
+    idf = lambda ts: math.log(1 + len(own) / (500 + sum(df[t] for t in ts)))
+    want = {}
+    for i, v in enumerate(variants):
+        starts = {t for t in df if any(p and t.startswith(p) for p in v[-1])}
+        for j, w in enumerate(own):
+            if all(set(f) & set(w) for f in v[:-1]) and starts & set(w):
+                heads = [idf(set(f) & set(df)) if [x[0] for x in v].index(f[0]) == k else 0.0 for k, f in enumerate(v[:-1])]
+                want[i, j] = round(sum(heads) + max(idf(starts) * (len(p) / len(t)) ** 2 for p in v[-1] if p for t in starts & set(w) if t.startswith(p)), 9)
+    assert len(want) > 20 and got == want
