@@ -132,18 +132,18 @@ class Geocoder:
         again = word.join(fixed, "word", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fix", "word").alias("t")))).alias("p"), F.max(F.col("fix").isNotNull()).alias("changed")).filter("changed")
         return again.select("text", F.transform("p", lambda x: x["t"]).alias("tokens"))
 
-    def _numbered(self, scored: DataFrame) -> DataFrame:
-        """Scores with the factor of the house number that was asked for, and the address found."""
-        got = forward.match_house(scored.filter("number IS NOT NULL").select("query_id", "anchor_id", "country", "number"), self.t["addresses"])
-        out = scored.join(got, ["query_id", "anchor_id"], "left")
-        return out.select("query_id", "anchor_id", "address_id", "corrected", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
-
     def _ranked(self, chosen: DataFrame, found: DataFrame, proximity: bool, most: int) -> DataFrame:
-        """chosen (ask, text, number, want, at_lat, at_lon, corrected) to their best anchors, with the address of the number that was asked for."""
+        """chosen (ask, text, number, want, at_lat, at_lon, corrected) to their best anchors, with the address of the number that was asked for.
+        Those that differ in their number alone are scored as one group."""
         near = F.when(F.col("at_lat").isNotNull() & F.col("at_lon").isNotNull(), forward.proximity(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))).otherwise(1.0) if proximity else F.lit(1.0)
-        scored = chosen.withColumnRenamed("ask", "query_id").join(found, "text").filter(F.col("want").isNull() | (F.col("want") == F.col("country")))
-        scored = cut(scored.select("query_id", "anchor_id", "number", "corrected", "country", (F.col("cheap") * near * F.col("fit")).alias("score")))
-        return self._shown(forward.top(self._numbered(scored), most))
+        place = F.struct("text", "want", "at_lat", "at_lon")
+        chosen = cut(chosen.withColumn("place", place))
+        groups = cut(chosen.select("place").distinct().withColumn("group", F.monotonically_increasing_id()))
+        scored = groups.select("group", "place.*").join(found, "text").filter(F.col("want").isNull() | (F.col("want") == F.col("country")))
+        scored = scored.select("group", "anchor_id", "country", (F.col("cheap") * near * F.col("fit")).alias("score"))
+        asked = chosen.join(groups, "place").select(F.col("ask").alias("query_id"), "group", "number")
+        best = forward.top_houses(asked, scored, self.t["addresses"], most)
+        return self._shown(best.join(chosen.select(F.col("ask").alias("query_id"), "corrected"), "query_id"))
 
     def _shown(self, best: DataFrame) -> DataFrame:
         """Ranked rows with the columns of their anchors and addresses, and the name that duplicates agree in."""

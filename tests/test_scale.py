@@ -124,3 +124,26 @@ def test_text_candidates_by_every_pair(spark):
                 heads = [idf(set(f) & set(df)) if [x[0] for x in v].index(f[0]) == k else 0.0 for k, f in enumerate(v[:-1])]
                 want[i, j] = round(sum(heads) + max(idf(starts) * (len(p) / len(t)) ** 2 for p in v[-1] if p for t in starts & set(w) if t.startswith(p)), 9)
     assert len(want) > 20 and got == want
+
+
+def test_top_houses_by_match_house(spark, monkeypatch):
+    """Against all pairs: composed numbers, ties, groups with and without numbers, scores of 0; only pairs with a common number are made."""
+    numbers = ["5", "12/5", "5/12", "ev.5", "", "x", "0", "12", "5a", "7/"]
+    a = spark.createDataFrame([(100 * k + i, k, numbers[(k * 3 + i) % 10]) for k in range(40) for i in range(k % 5)], "address_id long, anchor_id long, house_number string")
+    scored = spark.createDataFrame([(g, k, "cz" if k % 2 else None if k % 3 else "de", float((k * 7 + g) % 9)) for g in range(4) for k in range(40) if k % (g + 1) == 0], "group long, anchor_id long, country string, score double")
+    asked = spark.createDataFrame([(10 * g + i, g, n) for g in range(4) for i, n in enumerate([None, "5", "5a", "12/5", "5/", "0", "99", "٣"])], "query_id long, group long, number string")
+    pairs = asked.join(scored, "group")
+    got = forward.match_house(pairs.filter("number IS NOT NULL").select("query_id", "anchor_id", "country", "number"), a)
+    want = forward.top(pairs.join(got, ["query_id", "anchor_id"], "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))), 5)
+    columns = ["query_id", "rank", "anchor_id", "address_id", "score"]
+    rows = lambda df: sorted(tuple(map(repr, r)) for r in df.select(*columns).collect())
+    assert rows(forward.top_houses(asked, scored, a, 5)) == rows(want) and want.count() == 160
+
+
+def test_engine_makes_no_pairs_of_numbers_and_anchors(spark, alike, monkeypatch):
+    """Forty queries of a name that twenty anchors have, by number: most anchors have none of the numbers."""
+    seen = asked(monkeypatch, forward, "match_house")
+    made = asked(monkeypatch, forward, "cut")
+    d, c = alike
+    assert catalogue.QUERIES["geocode_forward"](spark, d).select("query_id").distinct().count() > 100
+    assert not seen and made[-1] < 140
