@@ -10,10 +10,14 @@ from placelark.functions.text import fold, native_index_tokens
 from placelark.operators.lineage import cut
 
 
+def own_terms() -> Column:
+    """An anchor's terms, distinct."""
+    return F.array_distinct(F.concat(*[native_index_tokens(F.col(c)) for c in ("name", "locality", "alias")]))
+
+
 def postings(anchors: DataFrame) -> DataFrame:
     """(term, anchor_id), distinct. Terms of one anchor are distinct by array, so nothing is shuffled."""
-    tokens = F.array_distinct(F.concat(*[native_index_tokens(F.col(c)) for c in ("name", "locality", "alias")]))
-    return anchors.select(F.explode(tokens).alias("term"), "anchor_id")
+    return anchors.select(F.explode(own_terms()).alias("term"), "anchor_id")
 
 
 def term_df(posts: DataFrame) -> DataFrame:

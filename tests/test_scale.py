@@ -147,3 +147,20 @@ def test_engine_makes_no_pairs_of_numbers_and_anchors(spark, alike, monkeypatch)
     d, c = alike
     assert catalogue.QUERIES["geocode_forward"](spark, d).select("query_id").distinct().count() > 100
     assert not seen and made[-1] < 140
+
+
+def test_variants_meet_anchors_once(spark, alike, monkeypatch):
+    """Pairs are not gathered to be told apart."""
+    seen = asked(monkeypatch, forward, "candidates")
+    same_as_sql(spark, alike, "candidates_variant_or")
+    assert not seen
+
+
+@pytest.mark.parametrize("size", [2, 1000])
+def test_any_of_by_every_pair(spark, size):
+    own = [["a", "b"], ["a"], ["b", "c"], ["a", "b", "c", "d"], [], ["d"], ["a", "c"]] * 3
+    forms = [["a"], ["a", "b"], ["b", "a", "b"], ["c", "d"], ["q"], [], ["q", "c", "a"], ["a", "b", "c", "d"]] * 2
+    a = spark.createDataFrame(list(enumerate(own)), "anchor_id long, own array<string>")
+    q = spark.createDataFrame(list(enumerate(forms)), "query_id long, forms array<string>")
+    want = sorted((i, j) for i, f in enumerate(forms) for j, w in enumerate(own) if set(f) & set(w))
+    assert sorted(map(tuple, forward.any_of(q, a, size).collect())) == want
