@@ -16,18 +16,20 @@ MAX_CONTAINING = 3
 
 def once_each(points: DataFrame, search, on: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
     """search(points) for all points, where those that agree in `on` are searched once: rows of a location go to every point_id there.
-    The search sees the location itself as point_id, so its rows must not depend on that."""
+    The search sees the location itself as point_id, so its rows must not depend on that. Points are never broadcast: Spark takes their size from
+    compressed files, and a broadcast passes the driver."""
     at = F.struct(*on)
     found = search(points.select(*on).distinct().withColumn("point_id", at))
-    return points.select("point_id", at.alias("_at")).join(found.withColumnRenamed("point_id", "_at"), "_at").select(*found.columns)
+    return points.select("point_id", at.alias("_at")).hint("merge").join(found.withColumnRenamed("point_id", "_at"), "_at").select(*found.columns)
 
 
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(point_id, shape_id, area_m2): cells meet in an equi-join; boxes and rings refine."""
+    """(point_id, shape_id, area_m2): cells meet in an equi-join; boxes and rings refine. The listing is never broadcast: it holds a ring for each
+    cell, far more than the compressed files that Spark takes its size from. Its rows stream past a cell's points."""
     p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cell", geo.cell_key(F.col("plat"), F.col("plon")))
     s = cell_listing(shapes.withColumn("area_m2", geo.ring_area_m2(F.col("ring")))).drop("lat", "lon")
     box = F.col("plat").between(F.col("min_lat"), F.col("max_lat")) & F.col("plon").between(F.col("min_lon"), F.col("max_lon"))
-    return p.join(s, "cell").filter(box).filter(geo.contains(F.col("ring"), F.col("plat"), F.col("plon"))).select("point_id", "shape_id", "area_m2")
+    return s.hint("merge").join(p, "cell").filter(box).filter(geo.contains(F.col("ring"), F.col("plat"), F.col("plon"))).select("point_id", "shape_id", "area_m2")
 
 
 def top_containing(found: DataFrame, n: int = MAX_CONTAINING) -> DataFrame:

@@ -47,6 +47,16 @@ def test_a_place_is_searched_once(spark, alike, monkeypatch, name):
     assert seen == [30]
 
 
+@pytest.mark.parametrize("name", ["point_in_polygon", "containing_regions_top3"])
+def test_neither_points_nor_shapes_pass_the_driver(spark, alike, name):
+    """However small their files: Spark takes a table's size from those. The plan that ran, under Spark's own threshold for broadcasts."""
+    same_as_sql(spark, alike, name)
+    df = catalogue.QUERIES[name](spark, alike[0])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_engine_searches_a_place_once(spark, alike, monkeypatch):
     seen = asked(monkeypatch, reverse, "containing")
     d, c = alike
